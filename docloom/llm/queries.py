@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import bpe, order_minhash, sharding
+from docloom.llm import bpe, html_text, language_id, mixing, order_minhash, sharding, toxicity, vector_tree
 from docloom.llm.common import read
 
 
@@ -24,12 +25,37 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources flattened until the rarest is drawn twice as often as the commonest."""
+    return mixing.mix(read(spark, sf_dir, "documents"), repeat=2.0, keep=("doc_id", "source"))
+
+
+def op4_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_tree.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_order_minhash, op9_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_order_minhash, op3_mixing, op4_vector_tree, op6_html_text, op7_toxicity, op9_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
