@@ -2,9 +2,9 @@
 
 The texts are split into words in Spark tasks.  Each task numbers the distinct words of
 a block of documents and writes two things: the documents as word numbers, and the
-block's word list.  Every distinct word is then encoded once, wherever it occurs, and
-its ids go back to the blocks by (block, word number); ids reach their places through
-the word numbers, which are the positions' keys.  Neither texts nor word positions are
+block's word list, in buckets by a hash of the word.  Every distinct word is then encoded
+once, wherever it occurs, and its ids go back to the blocks by (block, word number); ids
+reach their places through the word numbers, which are the positions' keys.  Neither texts nor word positions are
 ever shuffled: the numbered documents are bucketed by block when they are written.
 Decoding maps ids to pieces by the id-to-piece table, whose size is the vocabulary's.
 """
@@ -14,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+"
 #: A block ends with the document that brings it to so many words, or so many distinct ones.
 BLOCK_WORDS, BLOCK_DISTINCT = 4_000_000, 400_000
+#: Words are dealt to so many tasks at most: a block has a row for each.
+MOST_BUCKETS = 4096
 
 
 @lru_cache(maxsize=4)
@@ -95,17 +99,33 @@ class Splitter:
         return out
 
 
-def number_words(rows: Iterator[pd.DataFrame], part: int, spec: bytes) -> Iterator[pd.DataFrame]:
-    """Rows of kind 0: a document as word numbers; of kind 1: a block's words."""
+def pack(a: np.ndarray) -> bytes:
+    """Numbers as byte planes, which compress well when most are small."""
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def number_words(rows: Iterator[pd.DataFrame], part: int, spec: bytes, buckets: int) -> Iterator[pd.DataFrame]:
+    """Rows of kind 0: a document as word numbers.  Rows of kind 1: those of a block's
+    words that fall into a bucket (by a hash of the word), with their numbers."""
     split, count = Splitter(spec), 0
 
     def block_end(number: dict[str, int], docs: list):
         block = (part << 24) + count
-        if docs:
-            yield pd.DataFrame({"block": block, "kind": 0, "doc_id": pd.array([d for d, _ in docs], dtype="Int64"), "codes": [c for _, c in docs], "word": None, "code": 0})
-        words = list(number)
-        for i in range(0, len(words), 100_000):
-            yield pd.DataFrame({"block": block, "kind": 1, "doc_id": pd.array([None] * len(words[i : i + 100_000]), dtype="Int64"), "codes": None, "word": words[i : i + 100_000], "code": np.arange(i, min(len(words), i + 100_000), dtype=np.int32)})
+        yield pd.DataFrame({"block": block, "kind": 0, "doc_id": pd.array([d for d, _ in docs], dtype="Int64"), "codes": [c for _, c in docs], "bucket": 0, "words": None})
+        words = np.array(list(number), object)
+        own = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(own, kind="stable")
+        ends = np.flatnonzero(np.diff(own[order], append=-1)) + 1
+        out = []
+        for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+            some = order[a:b]  # ascending numbers: the gaps are small
+            out.append((int(own[some[0]]), zlib.compress(pack(np.diff(some, prepend=0)), 3), zlib.compress("\n".join(words[some]).encode("utf-8", "surrogatepass"), 3)))
+        if out:
+            yield pd.DataFrame({"block": block, "kind": 1, "doc_id": pd.array([None] * len(out), dtype="Int64"), "codes": [x[1] for x in out], "bucket": [x[0] for x in out], "words": [x[2] for x in out]})
 
     number: dict[str, int] = {}
     docs, seen = [], 0
@@ -113,7 +133,7 @@ def number_words(rows: Iterator[pd.DataFrame], part: int, spec: bytes) -> Iterat
         for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
             words = split.words(text) if isinstance(text, str) else []
             codes = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words))
-            docs.append((None if pd.isna(doc_id) else int(doc_id), codes.tobytes()))
+            docs.append((None if pd.isna(doc_id) else int(doc_id), pack(codes)))
             seen += len(words)
             if seen >= BLOCK_WORDS or len(number) >= BLOCK_DISTINCT:
                 yield from block_end(number, docs)
@@ -123,20 +143,27 @@ def number_words(rows: Iterator[pd.DataFrame], part: int, spec: bytes) -> Iterat
 
 
 def encode_words(rows: Iterator[pd.DataFrame], spec: bytes) -> Iterator[pd.DataFrame]:
-    """Rows sorted by word: each distinct word is encoded once, its ids go to each block."""
+    """All words of a bucket come here; each distinct one is encoded once, and its ids go
+    to each block that asked."""
     tok, special = _word_encoder(spec), _specials(spec)
-    last, last_ids = None, b""
+    bucket, known = None, {}
     for pdf in rows:
-        words = pdf["word"].tolist()
-        fresh = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
-        plain = [w for w in fresh if w[0] != " "]
-        known = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(plain, tok.encode_batch(plain, add_special_tokens=False), strict=True)}
-        known |= {w: np.array([special[w[1:]]], np.uint32).tobytes() for w in fresh if w[0] == " "}
-        if last is not None:
-            known.setdefault(last, last_ids)
-        yield pd.DataFrame({"block": pdf["block"], "code": pdf["code"], "ids": [known[w] for w in words]})
-        if words:
-            last, last_ids = words[-1], known[words[-1]]
+        out = []
+        for own, raw in zip(pdf["bucket"].tolist(), pdf["words"].tolist(), strict=True):
+            if own != bucket:
+                bucket, known = own, {}
+            words = zlib.decompress(raw).decode("utf-8", "surrogatepass").split("\n")
+            fresh = [w for w in words if w not in known]
+            plain = [w for w in fresh if w[0] != " "]
+            for w, e in zip(plain, tok.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+                known[w] = e.ids
+            for w in fresh:
+                if w[0] == " ":
+                    known[w] = [special[w[1:]]]
+            ids = [known[w] for w in words]
+            lens = np.fromiter(map(len, ids), np.uint32, len(ids))
+            out.append((zlib.compress(pack(lens), 3), zlib.compress(pack(np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))), 3)))
+        yield pd.DataFrame({"block": pdf["block"], "codes": pdf["codes"], "lens": [x[0] for x in out], "ids": [x[1] for x in out]})
 
 
 def pieces(spec: bytes) -> list[str]:
@@ -151,14 +178,18 @@ def pieces(spec: bytes) -> list[str]:
 def place_ids(docs: pd.DataFrame, words: pd.DataFrame, spec: bytes, keep: bool) -> pd.DataFrame:
     """One block: ids take the places of word numbers, pieces the places of ids."""
     table = pieces(spec)
-    words = words.sort_values("code")
-    raw = words["ids"].tolist()
-    starts = np.concatenate([[0], np.cumsum(np.fromiter((len(b) // 4 for b in raw), np.int64, len(raw)))]).astype(np.int64)
-    flat = np.frombuffer(b"".join(raw), np.uint32)
+    lists = [(np.cumsum(unpack(zlib.decompress(c)), dtype=np.int64), unpack(zlib.decompress(n)).astype(np.int64), unpack(zlib.decompress(i))) for c, n, i in zip(words["codes"], words["lens"], words["ids"], strict=True)]
+    lens_of = np.zeros(sum(len(c) for c, _, _ in lists), np.int64)
+    for codes, n, _ in lists:
+        lens_of[codes] = n
+    starts = np.concatenate([[0], np.cumsum(lens_of)]).astype(np.int64)
+    flat = np.zeros(int(starts[-1]), np.uint32)
+    for codes, n, ids in lists:
+        flat[np.repeat(starts[codes] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
     text_of = [" ".join(map(table.__getitem__, flat[a:b].tolist())) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
     rows = []
     for doc_id, codes in zip(docs["doc_id"].array, docs["codes"].array, strict=True):
-        c = np.frombuffer(codes, np.uint32).astype(np.int64)
+        c = unpack(codes).astype(np.int64)
         lens = starts[c + 1] - starts[c]
         total = int(lens.sum())
         first = np.cumsum(lens) - lens
@@ -184,17 +215,19 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         spec = f.read()
     _check(spec)
 
+    buckets = min(partitions(spark), MOST_BUCKETS)
+
     def number(rows):
         from pyspark import TaskContext
 
-        return number_words(rows, TaskContext.get().partitionId(), spec)
+        return number_words(rows, TaskContext.get().partitionId(), spec, buckets)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     numbered = store_bucketed(
-        slim.mapInPandas(number, "block long, kind int, doc_id long, codes binary, word string, code int"), "numbered", "block", partitions(spark)
+        slim.mapInPandas(number, "block long, kind int, doc_id long, codes binary, bucket int, words binary"), "numbered", "block", partitions(spark)
     )
-    lists = numbered.filter("kind = 1").select("block", "word", "code").repartition(partitions(spark), "word").sortWithinPartitions("word")
-    placed = lists.mapInPandas(lambda rows: encode_words(rows, spec), "block long, code int, ids binary")
+    lists = numbered.filter("kind = 1").select("block", "bucket", "codes", "words").repartitionById(buckets, "bucket")
+    placed = lists.mapInPandas(lambda rows: encode_words(rows, spec), "block long, codes binary, lens binary, ids binary")
     texts = numbered.filter("kind = 0").select("block", "doc_id", "codes")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
     # Both sides of a block are bounded by BLOCK_WORDS, BLOCK_DISTINCT and one text.

@@ -141,5 +141,5 @@ def test_small_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_WORDS", 5)
     with open(queries.vocabulary_path(), "rb") as f:
         spec = f.read()
-    parts = list(bpe.number_words(iter([pd.DataFrame({"doc_id": [1, 2, None], "text": ["a b c d e f", "", "a a"]})]), 3, spec))
+    parts = list(bpe.number_words(iter([pd.DataFrame({"doc_id": [1, 2, None], "text": ["a b c d e f", "", "a a"]})]), 3, spec, 4))
     assert [p["block"].iloc[0] for p in parts if p["kind"].iloc[0] == 0] == [3 << 24, (3 << 24) + 1]
