@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, html_text, language_id, mixing, order_minhash, sharding, toxicity, vector_tree
+from docloom.llm import bpe, html_text, language_id, mixing, near_dup, order_minhash, sharding, toxicity, vector_tree
 from docloom.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op4_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_tree.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(read(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
@@ -55,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_order_minhash, op3_mixing, op4_vector_tree, op6_html_text, op7_toxicity, op9_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_sharding, op2_order_minhash, op3_mixing, op4_vector_tree, op5_near_dup, op6_html_text, op7_toxicity, op9_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
