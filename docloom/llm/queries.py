@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, html_text, language_id, mixing, near_dup, order_minhash, sharding, toxicity, vector_tree
+from docloom.llm import bpe, html_text, language_id, mixing, near_dup, order_minhash, sharding, suffix_dedup, toxicity, vector_tree
 from docloom.llm.common import read
 
 
@@ -47,6 +47,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -59,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_order_minhash, op3_mixing, op4_vector_tree, op5_near_dup, op6_html_text, op7_toxicity, op9_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_sharding, op2_order_minhash, op3_mixing, op4_vector_tree, op5_near_dup, op6_html_text, op7_toxicity, op8_suffix_dedup, op9_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
