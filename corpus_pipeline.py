@@ -20,9 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model, fitted on the labels, rejects go."""
-    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity.severity(docs, model, extra=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.filter(~scored.toxic).select(*docs.columns)
+    return toxicity.reject(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +35,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are drawn up to twice as often as the largest; each document at least once."""
-    return mixing.mix(docs, repeat=2.0, keep=tuple(docs.columns)).select(*docs.columns)
+    return mixing.draw(docs, repeat=2.0)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,16 @@ def mix(docs: DataFrame, entropy: float | None = None, repeat: float | None = No
     doesn't name are ignored.
     """
 
+    rows = _drawn(docs, entropy, repeat, id_col, text_col, source_col, keep, seed)
+    return rows.select(*keep, F.col("_mx_tokens").alias("n_tokens"), F.col("_mx_epoch").cast("int").alias("epoch"), F.col("_mx_weight").alias("weight"), F.col("_mx_place").alias("place"))
+
+
+def draw(docs: DataFrame, entropy: float | None = None, repeat: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+    """The rows of docs, each as often as mix() draws it."""
+    return _drawn(docs, entropy, repeat, id_col, text_col, source_col, tuple(docs.columns), seed).select(*docs.columns)
+
+
+def _drawn(docs: DataFrame, entropy: float | None, repeat: float | None, id_col: str, text_col: str, source_col: str, keep: tuple[str, ...], seed: int) -> DataFrame:
     def turn(epoch: Column) -> Column:  # a document's place in one of its source's permutations
         return F.md5(F.concat_ws(":", F.coalesce(F.col("_mx_id").cast("string"), F.lit("")), epoch.cast("string"), F.lit(str(seed))))
 
@@ -83,7 +93,7 @@ def mix(docs: DataFrame, entropy: float | None = None, repeat: float | None = No
     slim = store(docs.select(*own), "tokens")
     totals = store(slim.groupBy("_mx_source").agg(F.sum("_mx_tokens").alias("tokens")).withColumnRenamed("_mx_source", "source"), "sources")
     weights = store(source_weights(totals, entropy, repeat), "weights")
-    known = weights.select(F.col("source").alias("_mx_s"), "weight", F.expr("quota div tokens").alias("_mx_whole"), F.expr("quota % tokens").alias("_mx_rest"), (F.col("quota") / F.col("tokens")).alias("_mx_scale"))
+    known = weights.select(F.col("source").alias("_mx_s"), F.col("weight").alias("_mx_weight"), F.expr("quota div tokens").alias("_mx_whole"), F.expr("quota % tokens").alias("_mx_rest"), (F.col("quota") / F.col("tokens")).alias("_mx_scale"))
     same = F.col("_mx_source").eqNullSafe(F.col("_mx_s"))
     last = slim.join(known, same).filter("_mx_rest > 0").withColumn("h", turn(F.col("_mx_whole"))).withColumn("cell", F.substring("h", 1, 3))
     before = Window.partitionBy("s").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,7 +106,7 @@ def mix(docs: DataFrame, entropy: float | None = None, repeat: float | None = No
     known = store(known.join(cut, F.col("_mx_s").eqNullSafe(F.col("_mx_c")), "left").drop("_mx_c"), "cuts")
     rows = docs.select(*keep, *own).join(known, same)
     epochs = F.col("_mx_whole") - F.when(turn(F.col("_mx_whole")) <= F.col("_mx_cut"), F.lit(0)).otherwise(F.lit(1))
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
-    part = F.conv(F.substring(turn(F.col("epoch")), 1, 12), 16, 10).cast("double") / float(16**12)
-    place = F.least((F.col("epoch") + part) / F.col("_mx_scale"), F.lit(1 - 2**-40))
-    return rows.select(*keep, F.col("_mx_tokens").alias("n_tokens"), F.col("epoch").cast("int").alias("epoch"), "weight", place.alias("place"))
+    rows = rows.withColumn("_mx_epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
+    part = F.conv(F.substring(turn(F.col("_mx_epoch")), 1, 12), 16, 10).cast("double") / float(16**12)
+    place = F.least((F.col("_mx_epoch") + part) / F.col("_mx_scale"), F.lit(1 - 2**-40))
+    return rows.withColumn("_mx_place", place)

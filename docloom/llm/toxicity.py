@@ -125,30 +125,49 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(x, grades) | {"place": place}
 
 
-def severity(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+def _scores(texts: list, model: dict | None) -> np.ndarray:
+    """P(grade > k), a column for each threshold."""
+    theta = model["theta"] if model else np.zeros(1)
+    s = np.full(len(texts), -np.inf)
+    if model:
+        place, weights = model["place"], model["weights"].astype(np.float64)
+        for i, t in enumerate(texts):
+            if isinstance(t, str) and t:
+                s[i] = sum(weights[place[f]] for f in sorted(features(t) & place.keys()))
+    up = 1 / (1 + np.exp(-np.clip(s[:, None] - theta[None, :], -700, 40)))
+    up[np.isneginf(s)] = 0
+    return up
+
+
+def severity(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, severity (expected grade), p_toxic (P(grade > 0)), grade, toxic per row.
 
     Null and empty texts, and every text if there was nothing to learn from, are clean
     with severity 0.  Only the text counts, so repeated rows get equal results; whole
-    texts are used whatever their length; other columns are ignored but for `extra`,
-    which are passed on.
+    texts are used whatever their length; other columns are ignored.
     """
     prepare(docs.sparkSession)
-    place = model["place"] if model else {}
-    weights, theta = (model["weights"].astype(np.float64), model["theta"]) if model else (np.zeros(0), np.zeros(1))
 
     def score(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            texts = pdf.pop("_t")
-            s = np.full(len(pdf), -np.inf)
-            for i, t in enumerate(texts):
-                if model and isinstance(t, str) and t:
-                    s[i] = sum(weights[place[f]] for f in features(t) if f in place)
-            up = 1 / (1 + np.exp(-np.clip(s[:, None] - theta[None, :], -700, 40)))
-            up[np.isneginf(s)] = 0
-            grade = np.column_stack([1 - up[:, :1], up[:, :-1] - up[:, 1:], up[:, -1:]]).argmax(axis=1) if len(pdf) else np.zeros(0, int)
-            yield pdf.assign(severity=up.sum(axis=1), p_toxic=up[:, 0], grade=np.where(up[:, 0] >= 0.5, np.maximum(grade, 1), 0).astype(np.int32), toxic=up[:, 0] >= 0.5)
-
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), *extra, F.col(text_col).alias("_t"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_t")
-    return slim.mapInPandas(score, schema + ", severity double, p_toxic double, grade int, toxic boolean")
+            up = _scores(pdf["text"].tolist(), model)
+            grade = np.column_stack([1 - up[:, :1], up[:, :-1] - up[:, 1:], up[:, -1:]]).argmax(axis=1)
+            toxic = up[:, 0] >= 0.5
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "severity": up.sum(axis=1), "p_toxic": up[:, 0], "grade": np.where(toxic, np.maximum(grade, 1), 0).astype(np.int32), "toxic": toxic})
+
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return slim.mapInPandas(score, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
+
+
+def reject(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, whatever their columns, that aren't toxic."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), model)[:, 0] < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)

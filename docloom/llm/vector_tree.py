@@ -20,21 +20,22 @@ from pyspark.sql import functions as F
 from docloom.llm.common import partitions, prepare, store
 
 SAMPLE, BRANCH, LEAF, ROUNDS = 65_536, 12, 48, 8
-CALIBRATION, RECALL = 64, 0.97
-#: Vectors of one leaf that meet queries in one task.
-CELL = 2048
+CALIBRATION, RECALL = 64, 0.95
+#: Vectors of one leaf that meet queries in one task, and queries whose best a task holds.
+CELL, HELD = 2048, 50_000
 
 
 def grow(x: np.ndarray, seed: int = 5) -> dict:
     """Nodes as arrays: centres, children lists (leaves have none) and leaf numbers."""
     rng = np.random.default_rng(seed)
     centres, children, leaf = [x.mean(axis=0)], [[]], [-1]
+    most = max(LEAF, int(len(x) ** 0.5))  # about as many leaves as rows in one
     todo, leaves = [(0, np.arange(len(x)))], 0
     while todo:
         node, rows = todo.pop()
         split = None
-        if len(rows) > LEAF:
-            split = _kmeans(x[rows], min(BRANCH, -(-len(rows) // LEAF) + 1), rng)
+        if len(rows) > most:
+            split = _kmeans(x[rows], min(BRANCH, -(-len(rows) // most) + 1), rng)
         if split is None:
             leaf[node] = leaves
             leaves += 1
@@ -181,10 +182,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
 
 
 def _meet(batches: Iterator[pd.DataFrame], dim: int, k: int) -> Iterator[pd.DataFrame]:
-    """Rows by cell, vectors first: each query keeps its k best of the cell."""
+    """Rows by cell, vectors first: each query keeps its k best of the task's cells."""
     at, ids, xs = None, [], []
+    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def done():
+        names, d = [x for x, _ in kept.values()], [x for _, x in kept.values()]
+        return pd.DataFrame({"query_id": np.repeat(np.fromiter(kept, np.int64, len(kept)), [len(x) for x in names]), "vec_id": np.concatenate(names), "score": np.concatenate(d)})
+
     for pdf in batches:
-        out = []
         for (leaf, cell, kind), g in pdf.groupby(["leaf", "cell", "kind"], sort=False):
             if (leaf, cell) != at:
                 at, ids, xs = (leaf, cell), [], []
@@ -196,13 +202,20 @@ def _meet(batches: Iterator[pd.DataFrame], dim: int, k: int) -> Iterator[pd.Data
                 ids, xs = [np.concatenate(ids)], [np.concatenate(xs)]
             if not ids:
                 continue
-            for q_id, q in zip(g["id"].to_numpy(), _matrix(g["v"], dim), strict=True):
-                other = ids[0] != q_id
-                names, d = ids[0][other], distances(q, xs[0][other])
+            for q_id, q in zip(g["id"].tolist(), _matrix(g["v"], dim), strict=True):
+                d, names = distances(q, xs[0]), ids[0]
+                own = names == q_id
+                if own.any():
+                    d, names = d[~own], names[~own]
+                if q_id in kept:
+                    d, names = np.concatenate([kept[q_id][1], d]), np.concatenate([kept[q_id][0], names])
                 top = best(names, d, k)
-                out.append(pd.DataFrame({"query_id": q_id, "vec_id": names[top], "score": d[top]}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+                kept[q_id] = (names[top], d[top])
+            if len(kept) > HELD:
+                yield done()
+                kept.clear()
+    if kept:
+        yield done()
 
 
 def _calibrate(dealt: DataFrame, tree: dict, sizes: dict, k: int, dim: int, recall: float) -> int:
