@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import partitions, prepare, store_bucketed
+from docloom.llm.common import NO_ID, id_in, id_out, partitions, prepare, store_bucketed
 
 #: Fixed values of the word tokenizer: white space by the Unicode property, and words.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -115,7 +115,7 @@ def number_words(rows: Iterator[pd.DataFrame], part: int, spec: bytes, buckets:
 
     def block_end(number: dict[str, int], docs: list):
         block = (part << 24) + count
-        yield pd.DataFrame({"block": block, "kind": 0, "doc_id": pd.array([d for d, _ in docs], dtype="Int64"), "codes": [c for _, c in docs], "bucket": 0, "words": None})
+        yield pd.DataFrame({"block": block, "kind": 0, "doc_id": [d for d, _ in docs], "codes": [c for _, c in docs], "bucket": 0, "words": None})
         words = np.array(list(number), object)
         own = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
         order = np.argsort(own, kind="stable")
@@ -125,7 +125,7 @@ def number_words(rows: Iterator[pd.DataFrame], part: int, spec: bytes, buckets:
             some = order[a:b]  # ascending numbers: the gaps are small
             out.append((int(own[some[0]]), zlib.compress(pack(np.diff(some, prepend=0)), 3), zlib.compress("\n".join(words[some]).encode("utf-8", "surrogatepass"), 3)))
         if out:
-            yield pd.DataFrame({"block": block, "kind": 1, "doc_id": pd.array([None] * len(out), dtype="Int64"), "codes": [x[1] for x in out], "bucket": [x[0] for x in out], "words": [x[2] for x in out]})
+            yield pd.DataFrame({"block": block, "kind": 1, "doc_id": NO_ID, "codes": [x[1] for x in out], "bucket": [x[0] for x in out], "words": [x[2] for x in out]})
 
     number: dict[str, int] = {}
     docs, seen = [], 0
@@ -133,7 +133,7 @@ def number_words(rows: Iterator[pd.DataFrame], part: int, spec: bytes, buckets:
         for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
             words = split.words(text) if isinstance(text, str) else []
             codes = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words))
-            docs.append((None if pd.isna(doc_id) else int(doc_id), pack(codes)))
+            docs.append((doc_id, pack(codes)))
             seen += len(words)
             if seen >= BLOCK_WORDS or len(number) >= BLOCK_DISTINCT:
                 yield from block_end(number, docs)
@@ -195,11 +195,9 @@ def place_ids(docs: pd.DataFrame, words: pd.DataFrame, spec: bytes, keep: bool)
         first = np.cumsum(lens) - lens
         own = flat[np.repeat(starts[c] - first, lens) + np.arange(total)].astype("<u4") if total else np.zeros(0, "<u4")
         text = " ".join(map(text_of.__getitem__, c.tolist()))
-        row = (None if pd.isna(doc_id) else int(doc_id), total, hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest())
+        row = (doc_id, total, hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest())
         rows.append((*row, own.astype(np.int32), text) if keep else row)
-    done = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep)
-    done["doc_id"] = pd.array(done["doc_id"].tolist(), dtype="Int64")
-    return done
+    return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep)
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -222,7 +220,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
         return number_words(rows, TaskContext.get().partitionId(), spec, buckets)
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(id_in(id_col), F.col(text_col).alias("text"))
     numbered = store_bucketed(
         slim.mapInPandas(number, "block long, kind int, doc_id long, codes binary, bucket int, words binary"), "numbered", "block", partitions(spark)
     )
@@ -231,7 +229,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     texts = numbered.filter("kind = 0").select("block", "doc_id", "codes")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
     # Both sides of a block are bounded by BLOCK_WORDS, BLOCK_DISTINCT and one text.
-    return texts.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(lambda left, right: place_ids(left, right, spec, keep), schema)
+    return id_out(texts.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(lambda left, right: place_ids(left, right, spec, keep), schema))
 
 
 def _check(spec: bytes) -> None:

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once; keeps a batch of long texts small.
@@ -25,6 +26,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Stands for a null id inside Python steps, where null would make a column of floats.
+NO_ID = -(2**63)
+
+
+def id_in(column: str, alias: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID)).alias(alias)
+
+
+def id_out(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    return df.withColumn(column, F.when(F.col(column) != NO_ID, F.col(column)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -100,3 +113,47 @@ def bounded_sample(df: DataFrame, limit: int, *keys: str) -> DataFrame:
     """
     slim = df.select(*keys).withColumn("_h", F.xxhash64(*keys)).orderBy("_h", *keys).limit(limit).drop("_h")
     return df.join(F.broadcast(slim.distinct()), list(keys), "left_semi")
+
+
+#: Largest bitmap of possible_members(), in bits: 16 MB, whatever the number of ids.
+MOST_BITS, CHUNK_BYTES = 1 << 27, 1 << 16
+
+
+def possible_members(ids: DataFrame, column: str):
+    """A test on a column of longs: false only for values that `ids` doesn't hold.
+
+    A one-hash Bloom filter of bounded size, so a join with few ids needn't shuffle the
+    rows that can't match.  Nulls give false.
+    """
+    n = ids.count()
+    bits = 1 << 16
+    while bits < min(32 * n, MOST_BITS):
+        bits *= 2
+
+    def places(values) -> np.ndarray:
+        return (mix(np.asarray(values, np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+    def build(batches):
+        own = np.zeros(bits // 8, np.uint8)
+        for pdf in batches:
+            at = places(pdf[column])
+            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        parts = own.reshape(-1, min(CHUNK_BYTES, bits // 8))
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pd.DataFrame({"chunk": used.astype(np.int32), "bits": [parts[i].tobytes() for i in used]})
+
+    def merge(pdf):
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
+
+    schema = "chunk int, bits binary"
+    bitmap = np.zeros((bits // 8 // min(CHUNK_BYTES, bits // 8), min(CHUNK_BYTES, bits // 8)), np.uint8)
+    for r in ids.select(F.col(column).cast("long").alias(column)).filter(F.col(column).isNotNull()).mapInPandas(build, schema).groupBy("chunk").applyInPandas(merge, schema).collect():
+        bitmap[r.chunk] = np.frombuffer(bytes(r.bits), np.uint8)
+    bitmap = bitmap.ravel()
+
+    def test(values: pd.Series) -> pd.Series:
+        at = places(values)
+        return pd.Series(((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+
+    udf = F.pandas_udf(test, "boolean")
+    return lambda c: c.isNotNull() & udf(F.coalesce(c, F.lit(0).cast("long")))

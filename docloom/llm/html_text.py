@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import prepare
+from docloom.llm.common import id_in, id_out, prepare
 
 COLUMNS = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "article", "boiler", "heading", "content")
 #: The labelled table: words and link density (percent) of a block and its neighbours,
@@ -73,6 +73,8 @@ LABELLED = """
  90  10    3  90   20   0  0 0 0  1
  18   0   70   0   40   0  0 0 0  1
   8   0    3 100   60   0  0 0 1  1
+  2   0    2 100   40   0  0 0 1  1
+  4   0    1 100   90   0  0 0 1  1
   6   0   50   0   70   0  0 0 1  1
   9   0   60   0   45   0  0 0 0  1
   4   0   40   0   40   0  0 0 0  1
@@ -286,5 +288,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(h, labelled) for h in pdf["html"]]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return slim.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    slim = pages.select(id_in(id_col, "page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    return id_out(slim.mapInPandas(run, "page_id long, url string, text string, n_chars long"), "page_id")

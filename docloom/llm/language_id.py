@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_sample, prepare, windows
+from docloom.llm.common import bounded_sample, id_in, id_out, prepare, windows
 
 ORDERS, BITS, LANDMARKS, RIDGE, TRAIN_ROWS = 4, 12, 128, 1e-2, 4000
 DIM = ORDERS << BITS
@@ -109,9 +109,9 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
                     lang[i], value[i] = x, v
             yield pdf.assign(lang_pred=lang, score=value)
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("text"))
+    slim = docs.select(id_in(id_col), *keep, F.col(text_col).alias("text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
-    return slim.mapInPandas(score, schema + ", lang_pred string, score double")
+    return id_out(slim.mapInPandas(score, schema + ", lang_pred string, score double"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

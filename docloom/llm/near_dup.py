@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import partitions, prepare, store, windows
+from docloom.llm.common import id_in, id_out, partitions, possible_members, prepare, store, windows
 from docloom.llm.components import components
 
 BASE, RATE, MISS = 1.001, 20.0, 1e-9
@@ -169,7 +169,10 @@ def _cells(batches: Iterator[pd.DataFrame], sets: Sets) -> Iterator[pd.DataFrame
 def _verify(asked: DataFrame, docs: DataFrame, sets: Sets) -> DataFrame:
     """asked: (g, i, j, role, doc_id, label), a cell being (g, i, j)."""
     n = partitions(docs.sparkSession)
-    rows = docs.join(asked, "doc_id").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "role", "doc_id")
+    asked = store(asked, "asked")
+    # Only texts that may be asked for are shuffled, the same way at every size.
+    some = docs.filter(possible_members(asked, "doc_id")(F.col("doc_id")))
+    rows = some.join(asked.hint("merge"), "doc_id").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "role", "doc_id")
     return rows.select("g", "i", "j", "role", "doc_id", "label", "text").mapInPandas(lambda b: _cells(b, sets), "a long, b long")
 
 
@@ -190,9 +193,9 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_c
     def sketch(batches):
         for pdf in batches:
             done = [sets.of(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(h) for h, _ in done], "set": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h, _ in done], "k": [k.astype(">u2").tobytes() for _, k in done]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(h) for h, _ in done], "set": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h, _ in done], "k": [k.astype(">u2").tobytes() for _, k in done]})
 
-    table = store(slim.mapInPandas(sketch, "doc_id long, n long, set binary, k binary"), "sketches")
+    table = store(id_out(slim.select(id_in("doc_id"), "text").mapInPandas(sketch, "doc_id long, n long, set binary, k binary")), "sketches")
     real = table.filter("n > 0 and doc_id is not null")
     nodes = store(real.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("k").alias("k")), "nodes")
     width = 2 * rows
@@ -239,4 +242,7 @@ def _second_round(stars: DataFrame, labels: DataFrame, slim: DataFrame, sets: Se
 def deduplicate(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose document is kept: the smallest id of each component."""
     gone = classes(docs, words, num, den, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = store(gone, "gone")
+    maybe = possible_members(gone, id_col)(F.col(id_col).cast("long"))
+    sure = docs.filter(~maybe)
+    return sure.unionByName(docs.filter(maybe).join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns))

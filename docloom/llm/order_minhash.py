@@ -16,11 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import mix, partitions, prepare, windows
+from docloom.llm.common import id_in, id_out, mix, partitions, prepare, windows
 
 K, SLOTS, TUPLE = 12, 64, 2
 _BITS = SLOTS.bit_length() - 1
-_LOW = -(2**63)
 
 
 def points(text: str) -> np.ndarray:
@@ -104,10 +103,8 @@ def _follow(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 edited_f = fingerprint(edited)
                 raw = edited.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
                 out.append((own_id, len(own), hashlib.sha256(raw).hexdigest(), _hex(own_f), _hex(edited_f), likeness(own_f, edited_f), likeness(own_f, f)))
-            held = None if carry else (None if pd.isna(doc_id) else int(doc_id), cp, f)
-        done = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        done["doc_id"] = pd.array(done["doc_id"].tolist(), dtype="Int64")
-        yield done
+            held = None if carry else (doc_id, cp, f)
+        yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,7 +123,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = prepare(docs.sparkSession)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    key = F.coalesce(F.col("doc_id"), F.lit(_LOW))
+    key = id_in("doc_id", "_key")
     n = partitions(spark)
     cuts = sorted({int(x) for x in slim.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) or []}) if n > 1 else []
     bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("_key"))) if cuts else F.lit(0)
@@ -140,6 +137,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = F.when(to[F.col("_key")].isNotNull(), F.array(F.struct(bucket.cast("int").alias("b"), F.lit(0).alias("carry")), F.struct(to[F.col("_key")].cast("int").alias("b"), F.lit(1).alias("carry")))).otherwise(
         F.array(F.struct(bucket.cast("int").alias("b"), F.lit(0).alias("carry")))
     )
-    dealt = slim.select("doc_id", "text", "_key", F.explode(places).alias("p")).select("doc_id", "text", "_key", "p.b", "p.carry")
+    dealt = slim.select(F.col("_key").alias("doc_id"), "text", "_key", F.explode(places).alias("p")).select("doc_id", "text", "_key", "p.b", "p.carry")
     ordered = dealt.repartitionById(n, "b").sortWithinPartitions("b", "carry", "_key", "text")
-    return ordered.select("doc_id", "text", "carry").mapInPandas(_follow, schema)
+    return id_out(ordered.select("doc_id", "text", "carry").mapInPandas(_follow, schema))

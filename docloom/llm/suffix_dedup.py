@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import mix, partitions, prepare, store, store_bucketed, windows
+from docloom.llm.common import mix, partitions, possible_members, prepare, store, store_bucketed, windows
 
 LENGTH, GRAM, HOT = 200, 32, 256
 #: Texts are hashed in pieces of this many windows; groups are sorted in chunks of so many bytes.
@@ -360,10 +360,13 @@ def deduplicate(docs: DataFrame, text_col: str = "text", length_col: str | None
             yield pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "new": new})
 
     changed = texts.join(marks, ["k1", "k2"], "left").filter("copies > 1 or marks is not null").mapInPandas(cut, "k1 long, k2 long, new string")
+    changed = store(changed, "changed")
     rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col(text_col).alias("text"))
-    rows = rows.select("*", *_keys()).join(changed, ["k1", "k2"], "left")
+    rows = rows.select("*", *_keys())
+    maybe = possible_members(changed, "k1")(F.col("k1"))
+    joined = rows.filter(maybe).join(changed.hint("merge"), ["k1", "k2"], "left").unionByName(rows.filter(~maybe).withColumn("new", F.lit(None).cast("string")))
     out = []
     for i, c in enumerate(docs.columns):
         new = F.coalesce("new", "text")
         out.append((new if c == text_col else F.length(new).cast("long") if c == length_col else F.col(f"_c{i}")).alias(c))
-    return rows.select(*out)
+    return joined.select(*out)

@@ -3,6 +3,8 @@
 Features are the presence of words and of their first 4, 5 and 6 letters; those whose
 chi-squared against the label passes a threshold (at most FEATURES) are kept.  All
 ordered thresholds share one weight vector: P(grade > k) = sigmoid(w.x - theta_k).
+A text is called toxic from the score w.x on that makes the fewest errors in the sample;
+that needn't be where P(grade > 0) passes 0.5, as one weight vector serves all grades.
 
 The labels hold 0/1 only.  Grades: 0 for clean; labelled toxic texts are split at the
 median share of toxic words among their words into 1 (mild) and 2 (severe).
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_sample, prepare
+from docloom.llm.common import bounded_sample, id_in, id_out, prepare
 
 TRAIN_ROWS, FEATURES, CHI2, MIN_HITS, GRADES = 12_000, 1024, 28.0, 3, 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -86,6 +88,17 @@ def fit(x: np.ndarray, grades: np.ndarray, steps: int = 400, ridge: float = 1e-5
     return {"weights": w, "theta": theta}
 
 
+def cutoff(s: np.ndarray, label: np.ndarray) -> float:
+    """The score with the fewest errors on either side; of equal ones the widest gap's middle."""
+    order = np.argsort(s, kind="stable")
+    v, bad = s[order].astype(np.float64), label[order]
+    errors = np.concatenate([[0], np.cumsum(bad)]) + np.concatenate([np.cumsum((1 - bad)[::-1])[::-1], [0]])
+    edge = np.concatenate([[v[0] - 1], v, [v[-1] + 1]])
+    gap = np.diff(edge)
+    best = max((i for i in range(len(v) + 1) if gap[i] > 0), key=lambda i: (-errors[i], gap[i]))
+    return float((edge[best] + edge[best + 1]) / 2)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = TRAIN_ROWS) -> dict | None:
     """Fit on at most `limit` labelled rows; None if the labels don't hold both classes."""
     prepare(docs.sparkSession)
@@ -122,11 +135,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     label, dose = np.array([r.label for r in rows]), np.array([r.dose for r in rows])
     grades = label.astype(np.int64)
     grades[(label == 1) & (dose > np.median(dose[label == 1]))] = 2
-    return fit(x, grades) | {"place": place}
+    model = fit(x, grades)
+    return model | {"place": place, "cut": cutoff(x @ model["weights"], label)}
 
 
-def _scores(texts: list, model: dict | None) -> np.ndarray:
-    """P(grade > k), a column for each threshold."""
+def _scores(texts: list, model: dict | None) -> tuple[np.ndarray, np.ndarray]:
+    """P(grade > k), a column for each threshold, and which texts are toxic."""
     theta = model["theta"] if model else np.zeros(1)
     s = np.full(len(texts), -np.inf)
     if model:
@@ -136,7 +150,7 @@ def _scores(texts: list, model: dict | None) -> np.ndarray:
                 s[i] = sum(weights[place[f]] for f in sorted(features(t) & place.keys()))
     up = 1 / (1 + np.exp(-np.clip(s[:, None] - theta[None, :], -700, 40)))
     up[np.isneginf(s)] = 0
-    return up
+    return up, s >= (model["cut"] if model else np.inf)
 
 
 def severity(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,13 +164,12 @@ def severity(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
 
     def score(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            up = _scores(pdf["text"].tolist(), model)
+            up, toxic = _scores(pdf["text"].tolist(), model)
             grade = np.column_stack([1 - up[:, :1], up[:, :-1] - up[:, 1:], up[:, -1:]]).argmax(axis=1)
-            toxic = up[:, 0] >= 0.5
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "severity": up.sum(axis=1), "p_toxic": up[:, 0], "grade": np.where(toxic, np.maximum(grade, 1), 0).astype(np.int32), "toxic": toxic})
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(score, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
+    slim = docs.select(id_in(id_col), F.col(text_col).alias("text"))
+    return id_out(slim.mapInPandas(score, "doc_id long, severity double, p_toxic double, grade int, toxic boolean"))
 
 
 def reject(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
@@ -168,6 +181,6 @@ def reject(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataF
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), model)[:, 0] < 0.5))
+            yield batch.filter(pa.array(~_scores(batch.column(at).to_pylist(), model)[1]))
 
     return docs.mapInArrow(keep, docs.schema)
