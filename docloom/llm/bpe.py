@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import NO_ID, id_in, id_out, partitions, prepare, store_bucketed
+from docloom.llm.common import NO_ID, Workspace, id_in, id_out, partitions, prepare
 
 #: Fixed values of the word tokenizer: white space by the Unicode property, and words.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -221,7 +221,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         return number_words(rows, TaskContext.get().partitionId(), spec, buckets)
 
     slim = docs.select(id_in(id_col), F.col(text_col).alias("text"))
-    numbered = store_bucketed(
+    numbered = Workspace(spark).bucketed(
         slim.mapInPandas(number, "block long, kind int, doc_id long, codes binary, bucket int, words binary"), "numbered", "block", partitions(spark)
     )
     lists = numbered.filter("kind = 1").select("block", "bucket", "codes", "words").repartitionById(buckets, "bucket")

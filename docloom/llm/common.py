@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,24 +56,55 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it back.
+class Workspace:
+    """Tables of one run of an operator, written in the shared folder and read back.
 
-    A lost executor then repeats only what came after the table.
+    They cut the lineage: a lost executor repeats only what came after the last one.
+    drop() deletes those that nothing reads any more, so disk holds what is in use.
     """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/docloom-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def store_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Like store(), bucketed by key: later joins on key don't shuffle this side."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/docloom-{uuid.uuid4().hex}/{name}"
-    table = f"docloom_{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
-    return spark.table(table)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths, self.tables = spark, f"{work_dir(spark)}/docloom-{uuid.uuid4().hex}", {}, {}
+
+    def _path(self, name: str) -> str:
+        self.paths[name] = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        return self.paths[name]
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        old = self.paths.get(name)
+        path = self._path(name)
+        df.write.option("compression", "zstd").parquet(path)
+        if old:
+            self._delete(old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """Bucketed by key: later joins on key don't shuffle this side."""
+        path, table = self._path(name), f"docloom_{name}_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+        self.tables[name] = table
+        return self.spark.table(table)
+
+    def _delete(self, path: str) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
+            if name in self.paths:
+                self._delete(self.paths.pop(name))
+
+    def keep_only(self, *names: str) -> None:
+        """Drop all other tables, and let executors delete the shuffle files of past steps."""
+        self.drop(*[n for n in list(self.paths) if n not in names])
+        self.release()
+
+    def release(self) -> None:
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

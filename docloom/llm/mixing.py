@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import store
+from docloom.llm.common import Workspace
 
 #: Fixed values of the word rule: runs of anything but ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -90,9 +90,10 @@ def _drawn(docs: DataFrame, entropy: float | None, repeat: float | None, id_col:
         return F.md5(F.concat_ws(":", F.coalesce(F.col("_mx_id").cast("string"), F.lit("")), epoch.cast("string"), F.lit(str(seed))))
 
     own = [F.col(id_col).cast("long").alias("_mx_id"), F.col(source_col).cast("string").alias("_mx_source"), tokens(F.col(text_col)).alias("_mx_tokens")]
-    slim = store(docs.select(*own), "tokens")
-    totals = store(slim.groupBy("_mx_source").agg(F.sum("_mx_tokens").alias("tokens")).withColumnRenamed("_mx_source", "source"), "sources")
-    weights = store(source_weights(totals, entropy, repeat), "weights")
+    ws = Workspace(docs.sparkSession)
+    slim = ws.store(docs.select(*own), "tokens")
+    totals = ws.store(slim.groupBy("_mx_source").agg(F.sum("_mx_tokens").alias("tokens")).withColumnRenamed("_mx_source", "source"), "sources")
+    weights = ws.store(source_weights(totals, entropy, repeat), "weights")
     known = weights.select(F.col("source").alias("_mx_s"), F.col("weight").alias("_mx_weight"), F.expr("quota div tokens").alias("_mx_whole"), F.expr("quota % tokens").alias("_mx_rest"), (F.col("quota") / F.col("tokens")).alias("_mx_scale"))
     same = F.col("_mx_source").eqNullSafe(F.col("_mx_s"))
     last = slim.join(known, same).filter("_mx_rest > 0").withColumn("h", turn(F.col("_mx_whole"))).withColumn("cell", F.substring("h", 1, 3))
@@ -103,7 +104,8 @@ def _drawn(docs: DataFrame, entropy: float | None, repeat: float | None, id_col:
     placed = last.withColumn("t1", F.coalesce(F.sum("_mx_tokens").over(inside), F.lit(0))).join(cells, F.col("_mx_source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
     # One row a source: the last place that its partial permutation reaches.
     cut = placed.filter(F.col("t0") + F.col("t1") < F.col("_mx_rest")).groupBy(F.col("_mx_source").alias("_mx_c")).agg(F.max("h").alias("_mx_cut"))
-    known = store(known.join(cut, F.col("_mx_s").eqNullSafe(F.col("_mx_c")), "left").drop("_mx_c"), "cuts")
+    known = ws.store(known.join(cut, F.col("_mx_s").eqNullSafe(F.col("_mx_c")), "left").drop("_mx_c"), "cuts")
+    ws.drop("tokens", "sources", "weights")
     rows = docs.select(*keep, *own).join(known, same)
     epochs = F.col("_mx_whole") - F.when(turn(F.col("_mx_whole")) <= F.col("_mx_cut"), F.lit(0)).otherwise(F.lit(1))
     rows = rows.withColumn("_mx_epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import partitions, store
+from docloom.llm.common import Workspace, partitions
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,8 +29,10 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     order = ["doc_id", "text_crc32", "size"]
     # Two small tables (about 20 bytes a row): the text is read once, and the range
     # bounds, which Spark samples anew for each run of a plan, are fixed by the second.
-    ranged = store(slim, "sizes").repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id())
-    ranged = store(ranged, "ranges")
+    ws = Workspace(spark)
+    ranged = ws.store(slim, "sizes").repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id())
+    ranged = ws.store(ranged, "ranges")
+    ws.drop("sizes")
     totals = ranged.groupBy("part").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -22,17 +22,16 @@ lists are merged, and neighbouring suffixes are compared over LENGTH bytes.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import mix, partitions, possible_members, prepare, store, store_bucketed, windows
+from docloom.llm.common import Workspace, mix, partitions, possible_members, prepare, windows
 
 LENGTH, GRAM, HOT = 200, 32, 256
 #: Texts are hashed in pieces of this many windows; groups are sorted in chunks of so many bytes.
@@ -161,25 +160,25 @@ def anchors(a: np.ndarray, length: int, skip: int | None = None) -> tuple[np.nda
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts -> a row for each run: anchor, hash of the context, text, first, last window."""
     for pdf in batches:
-        out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        for k1, k2, text in zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["text"].tolist(), strict=True):
+        out: list[list] = [[], [], [], [], []]
+        for k, text in zip(pdf["k"].tolist(), pdf["text"].tolist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for at in range(0, len(raw) - LENGTH + 1, PIECE):
                 piece = raw[at : at + PIECE + LENGTH - 1]
                 gram, first, last = anchors(np.frombuffer(piece, np.uint8), LENGTH)
                 view = memoryview(piece)
                 digest = np.fromiter((xxhash.xxh3_64_intdigest(view[i : j + LENGTH]) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
-                for column, x in zip(out, (gram.view(np.int64), digest.view(np.int64), np.full(len(gram), k1), np.full(len(gram), k2), first + at, last + at), strict=True):
+                for column, x in zip(out, (gram.view(np.int64), digest.view(np.int64), [k] * len(gram), first + at, last + at), strict=True):
                     column.append(x)
-            if sum(map(len, out[0])) > 200_000:
+            if len(out[0]) and sum(map(len, out[0][-50:])) > 100_000:
                 yield _frame(out)
-                out = [[], [], [], [], [], []]
+                out = [[], [], [], [], []]
         yield _frame(out)
 
 
-def _frame(columns: list[list[np.ndarray]]) -> pd.DataFrame:
-    names = ("gram", "ctx", "k1", "k2", "first", "last")
-    return pd.DataFrame({n: (np.concatenate(c) if c else np.zeros(0, np.int64)).astype(np.int64) for n, c in zip(names, columns, strict=True)})
+def _frame(columns: list[list]) -> pd.DataFrame:
+    whole = lambda c: (np.concatenate(c) if c else np.zeros(0, np.int64)).astype(np.int64)
+    return pd.DataFrame({"gram": whole(columns[0]), "ctx": whole(columns[1]), "k": [k for c in columns[2] for k in c], "first": whole(columns[3]), "last": whole(columns[4])})
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,53 +225,60 @@ def _sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 # --- the operator -----------------------------------------------------------------
 
 
-def _release(spark: SparkSession) -> None:
-    """Let the driver drop finished steps, so that executors delete their shuffle files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _fold(docs: DataFrame, text_col: str) -> DataFrame:
-    """k1, k2 (halves of the text's MD5), text, copies: a row for each distinct text that has a window."""
+    """k (MD5 of the text), text, copies: a row for each distinct text that has a window.
+
+    Copies are folded before the shuffle, which is also the bucketing of the result.
+    """
     text = docs.select(F.col(text_col).alias("text")).filter(F.octet_length("text") >= LENGTH)
-    return text.select(*_keys(), "text").groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return text.select(_key(), "text").groupBy("k").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
 
-def _keys() -> list:
-    """Two 60-bit numbers out of the MD5 of `text`."""
-    digest = F.md5(F.col("text"))
-    return [F.conv(F.substring(digest, a, 15), 16, 10).cast("long").alias(n) for n, a in (("k1", 1), ("k2", 17))]
+def _key() -> Column:
+    return F.unhex(F.md5(F.col("text"))).alias("k")
 
 
-def _flagged(texts: DataFrame) -> DataFrame:
-    """k1, k2, marks: each text's runs of repeated windows as (first window, bits, count);
-    bits null: all `count` windows.  texts: bucketed by k1."""
-    spark = texts.sparkSession
-    runs = store(texts.select("k1", "k2", "text").mapInPandas(_runs, "gram long, ctx long, k1 long, k2 long, first long, last long"), "runs")
-    place = F.struct("k1", "k2", "first", "last")
+def _flagged(texts: DataFrame, ws: Workspace) -> DataFrame:
+    """k, marks: each text's runs of repeated windows as (first window, bits, count); bits
+    null: all `count` windows.  texts: bucketed by k."""
+    n = partitions(texts.sparkSession)
+    runs = ws.store(texts.select("k", "text").mapInPandas(_runs, "gram long, ctx long, k binary, first long, last long"), "runs")
+    # Most anchors occur once in the corpus, and with them their windows: only (nearly) the
+    # others are kept, by a bitmap of the repeated anchors, before anything is shuffled.
+    often = ws.store(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "often")
+    runs = ws.store(runs.filter(possible_members(often, "gram")(F.col("gram"))), "repeated")
+    ws.drop("runs")
+    ws.release()
+    place = F.struct("k", "first", "last")
     folded = runs.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("p"))
+    folded = ws.store(folded.select("gram", "ctx", "c", "p.*"), "folded")
     per = folded.groupBy("gram").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("n")).filter("all > 1").drop("all")
-    known = store(folded.join(per, "gram").select("gram", "ctx", "c", "n", "p.*"), "contexts")
-    _release(spark)
+    known = ws.store(folded.join(per, "gram"), "contexts")
+    ws.drop("folded", "often")
     # A text's runs are at most one for each of its bytes.
-    asked = known.filter("n > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "ctx", "first", "last", "c", (F.col("n") > HOT).alias("hot"))).alias("runs"))
-    owned = texts.join(asked, ["k1", "k2"]).select("text", "runs")
-    owned = store(owned.mapInPandas(_contexts, "gram long, ctx long, shift int, grp long, own binary, c long, hot boolean").withColumn("ctx2", F.when(F.col("hot"), F.xxhash64("own")).otherwise(F.col("ctx"))), "owned")
+    asked = known.filter("n > 1").groupBy("k").agg(F.collect_list(F.struct("gram", "ctx", "first", "last", "c", (F.col("n") > HOT).alias("hot"))).alias("runs"))
+    owned = texts.join(asked.hint("merge"), "k").select("text", "runs")
+    owned = owned.mapInPandas(_contexts, "gram long, ctx long, shift int, grp long, own binary, c long, hot boolean")
+    owned = ws.store(owned.withColumn("ctx2", F.when(F.col("hot"), F.xxhash64("own")).otherwise(F.col("ctx"))), "owned")
+    ws.release()
     hot = owned.filter("hot")
     again = hot.groupBy("grp", "ctx2").agg(F.sum("c").alias("c"), F.first("own").alias("own"))
     shared = again.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     once = again.filter("c > 1").select("grp", "ctx2", F.lit(None).cast("binary").alias("bits"), (F.octet_length("own") - LENGTH + 1).cast("int").alias("n"))
     both = owned.filter("not hot").select("grp", "ctx2", "own").unionAll(again.join(shared, "grp").select("grp", "ctx2", "own"))
-    sorted_ = both.repartition(partitions(spark), "grp").sortWithinPartitions("grp", "ctx2").mapInPandas(_sort_groups, "grp long, ctx2 long, bits binary, n int")
-    hits = store(sorted_, "hits")
+    sorted_ = both.repartition(n, "grp").sortWithinPartitions("grp", "ctx2").mapInPandas(_sort_groups, "grp long, ctx2 long, bits binary, n int")
+    hits = ws.store(sorted_, "hits")
     cool = hits.join(owned.filter("not hot").select("grp", "ctx2", "gram", "ctx"), ["grp", "ctx2"]).select("gram", "ctx", F.lit(0).alias("shift"), "bits", "n")
     warm = hits.unionAll(once).join(hot.select("grp", "ctx2", "gram", "ctx", "shift"), ["grp", "ctx2"]).select("gram", "ctx", "shift", "bits", "n")
     # Contexts that occur more than once are repeated as a whole; the others by their bits.
     whole = known.filter("c > 1").select("gram", "ctx", F.lit(0).alias("shift"), F.lit(None).cast("binary").alias("bits"), F.lit(-1).alias("n"))
     single = known.filter("c = 1").select("gram", "ctx")
     marks = whole.unionAll(cool.unionAll(warm).join(single, ["gram", "ctx"], "left_semi"))
-    on_text = runs.join(marks, ["gram", "ctx"]).select("k1", "k2", (F.col("first") + F.col("shift")).alias("at"), "bits", F.when(F.col("n") < 0, F.col("last") - F.col("first") + 1).otherwise(F.col("n")).alias("n"))
-    return on_text.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "bits", "n")).alias("marks"))
+    on_text = runs.join(marks, ["gram", "ctx"]).select("k", (F.col("first") + F.col("shift")).alias("at"), "bits", F.when(F.col("n") < 0, F.col("last") - F.col("first") + 1).otherwise(F.col("n")).alias("n"))
+    marked = ws.store(on_text.groupBy("k").agg(F.collect_list(F.struct("at", "bits", "n")).alias("marks")), "marks")
+    ws.drop("repeated", "contexts", "owned", "hits")
+    ws.release()
+    return marked
 
 
 def spans(n_bytes: int, copies: int, marks) -> np.ndarray:
@@ -294,11 +300,12 @@ def spans(n_bytes: int, copies: int, marks) -> np.ndarray:
     return np.column_stack([np.flatnonzero(change == 1), np.flatnonzero(change == -1)])
 
 
-def _prepared(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _prepared(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame, Workspace]:
     spark = prepare(docs.sparkSession)
-    texts = store_bucketed(_fold(docs, text_col), "texts", "k1", partitions(spark))
-    _release(spark)
-    return texts, _flagged(texts)
+    ws = Workspace(spark)
+    texts = ws.bucketed(_fold(docs, text_col), "texts", "k", partitions(spark))
+    ws.release()
+    return texts, _flagged(texts, ws), ws
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,12 +317,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeated ids don't matter; very long texts are worked on whole; other columns are
     ignored; an empty table gives an empty result.
     """
-    texts, marks = _prepared(docs, text_col)
+    texts, marks, ws = _prepared(docs, text_col)
 
     def cut(batches):
         for pdf in batches:
             rows = []
-            for k1, k2, text, copies, m in zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["text"].tolist(), pdf["copies"].tolist(), pdf["marks"].tolist(), strict=True):
+            for k, text, copies, m in zip(pdf["k"].tolist(), pdf["text"].tolist(), pdf["copies"].tolist(), pdf["marks"].tolist(), strict=True):
                 if copies == 1 and m is None:
                     continue
                 raw = text.encode("utf-8", "surrogatepass")
@@ -326,14 +333,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         kept.update(raw[at:a])
                         at = b
                     kept.update(raw[at:])
-                    rows.append((k1, k2, int((found[:, 1] - found[:, 0]).sum()), len(found), kept.hexdigest()))
-            yield pd.DataFrame(rows, columns=["k1", "k2", "n_removed", "n_spans", "kept"]).astype({"k1": "int64", "k2": "int64", "n_removed": "int64", "n_spans": "int64"})
+                    rows.append((k, int((found[:, 1] - found[:, 0]).sum()), len(found), kept.hexdigest()))
+            yield pd.DataFrame(rows, columns=["k", "n_removed", "n_spans", "kept"]).astype({"n_removed": "int64", "n_spans": "int64"})
 
-    removed = texts.join(marks, ["k1", "k2"], "left").mapInPandas(cut, "k1 long, k2 long, n_removed long, n_spans long, kept string")
+    removed = texts.join(marks.hint("merge"), "k", "left").mapInPandas(cut, "k binary, n_removed long, n_spans long, kept string")
+    removed = ws.store(removed, "removed")
+    ws.keep_only("removed")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", *_keys(), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
-    return rows.join(removed, ["k1", "k2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "own").alias("kept_sha256"))
+    rows = rows.select("doc_id", _key(), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
+    return rows.join(removed, "k", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "own").alias("kept_sha256"))
 
 
 def strip(text: str, found: np.ndarray) -> str:
@@ -352,19 +361,20 @@ def strip(text: str, found: np.ndarray) -> str:
 
 def deduplicate(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with the repeated strings cut out of the text, and length_col (if any) anew."""
-    texts, marks = _prepared(docs, text_col)
+    texts, marks, ws = _prepared(docs, text_col)
 
     def cut(batches):
         for pdf in batches:
             new = [strip(t, spans(len(t.encode("utf-8", "surrogatepass")), c, m)) for t, c, m in zip(pdf["text"].tolist(), pdf["copies"].tolist(), pdf["marks"].tolist(), strict=True)]
-            yield pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "new": new})
+            yield pd.DataFrame({"k": pdf["k"], "new": new})
 
-    changed = texts.join(marks, ["k1", "k2"], "left").filter("copies > 1 or marks is not null").mapInPandas(cut, "k1 long, k2 long, new string")
-    changed = store(changed, "changed")
+    changed = texts.join(marks.hint("merge"), "k", "left").filter("copies > 1 or marks is not null").mapInPandas(cut, "k binary, new string")
+    changed = ws.store(changed, "changed")
+    ws.keep_only("changed")
     rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col(text_col).alias("text"))
-    rows = rows.select("*", *_keys())
-    maybe = possible_members(changed, "k1")(F.col("k1"))
-    joined = rows.filter(maybe).join(changed.hint("merge"), ["k1", "k2"], "left").unionByName(rows.filter(~maybe).withColumn("new", F.lit(None).cast("string")))
+    rows = rows.select("*", _key())
+    maybe = possible_members(changed.select(F.xxhash64("k").alias("h")), "h")(F.xxhash64("k"))
+    joined = rows.filter(maybe).join(changed.hint("merge"), "k", "left").unionByName(rows.filter(~maybe).withColumn("new", F.lit(None).cast("string")))
     out = []
     for i, c in enumerate(docs.columns):
         new = F.coalesce("new", "text")

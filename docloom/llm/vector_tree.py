@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import partitions, prepare, store
+from docloom.llm.common import Workspace, partitions, prepare
 
 SAMPLE, BRANCH, LEAF, ROUNDS = 65_536, 12, 48, 8
 CALIBRATION, RECALL = 64, 0.95
@@ -150,7 +150,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
             yield pdf.assign(leaf=deal(tree, x).astype(np.int32))
 
     dealt = own.filter(F.size("v") == dim).mapInPandas(to_leaf, "vec_id long, v array<double>, asks boolean, leaf int")
-    dealt = store(dealt, "leaves")
+    dealt = Workspace(spark).store(dealt, "leaves")
     sizes = {r.leaf: r.n for r in dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a leaf
     opened = _calibrate(dealt, tree, sizes, k, dim, recall)
     cells = {leaf: -(-n // CELL) for leaf, n in sizes.items()}
