@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import store
+from docloom.llm.common import Workspace
 
 
 def _lower_first(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def _is_stars(edges: DataFrame) -> bool:
     return not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").limit(1).take(1)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, ws: Workspace | None = None, name: str = "edges") -> DataFrame:
     """Edges (a, b), both long -> (node, label): the smallest node reachable.
 
     Nodes without an edge to another don't appear.  Each round replaces every node's
@@ -27,12 +27,13 @@ def components(edges: DataFrame) -> DataFrame:
     the logarithm of the size.  Minima are partial aggregates and the joins that follow
     are plain equi-joins, which adaptive execution splits at hubs.
     """
-    e = store(_lower_first(edges), "edges")
+    ws = ws or Workspace(edges.sparkSession)
+    e = ws.store(_lower_first(edges), name)
     while not _is_stars(e):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").unionAll(low.select("a", F.col("m").alias("b")))
-        e = store(small.distinct(), "edges")
+        e = ws.store(small.distinct(), name)
     return e.select(F.col("a").alias("node"), F.col("b").alias("label"))

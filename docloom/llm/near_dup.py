@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import id_in, id_out, partitions, possible_members, prepare, store, windows
+from docloom.llm.common import Workspace, id_in, id_out, partitions, possible_members, prepare, windows
 from docloom.llm.components import components
 
 BASE, RATE, MISS = 1.001, 20.0, 1e-9
-#: Nodes that meet in one task.
-CELL = 64
+#: Nodes that a pivot meets in one task; in the second round, heads and others of a cell.
+CELL, BLOCK = 64, 512
 _LOG = math.log(BASE)
 
 
@@ -108,7 +108,8 @@ class Sets:
         bands, rows = bands_for(num / den)
         self.m = bands * rows
         t = num / den
-        self.least = t - 6 * math.sqrt(t * (1 - t) / self.m)
+        self.sigma = math.sqrt(t * (1 - t) / self.m)
+        self.least = t - 6 * self.sigma
 
     def of(self, text) -> tuple[np.ndarray, np.ndarray]:
         h = shingles(text, self.words)
@@ -122,9 +123,13 @@ class Sets:
         places = np.flatnonzero(fits)
         if not len(places):
             return out
-        k = np.stack([others[i][1] for i in places]).astype(np.int32)
-        own = a[1].astype(np.int32)
-        near = likeness((own > k).sum(axis=1), (own < k).sum(axis=1), self.m, np.full(len(places), len(a[0])), n[places])
+        k = np.stack([others[i][1] for i in places])
+        # With BASE near 1, the share of equal registers is close to the likeness.
+        close = (k == a[1]).sum(axis=1) >= (self.least - self.sigma) * self.m
+        k, places = k[close], places[close]
+        if not len(places):
+            return out
+        near = likeness((a[1] > k).sum(axis=1), (a[1] < k).sum(axis=1), self.m, np.full(len(places), len(a[0])), n[places])
         for i in places[near >= self.least]:
             h = others[i][0]
             at = np.searchsorted(h, a[0])
@@ -166,10 +171,10 @@ def _cells(batches: Iterator[pd.DataFrame], sets: Sets) -> Iterator[pd.DataFrame
         yield pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
 
-def _verify(asked: DataFrame, docs: DataFrame, sets: Sets) -> DataFrame:
+def _verify(asked: DataFrame, docs: DataFrame, sets: Sets, ws: Workspace) -> DataFrame:
     """asked: (g, i, j, role, doc_id, label), a cell being (g, i, j)."""
     n = partitions(docs.sparkSession)
-    asked = store(asked, "asked")
+    asked = ws.store(asked, "asked")
     # Only texts that may be asked for are shuffled, the same way at every size.
     some = docs.filter(possible_members(asked, "doc_id")(F.col("doc_id")))
     rows = some.join(asked.hint("merge"), "doc_id").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "role", "doc_id")
@@ -186,6 +191,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_c
     whole, whatever their length; other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
+    ws = Workspace(spark)
     sets = Sets(words, num, den)
     bands, rows = bands_for(num / den)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -195,54 +201,58 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_c
             done = [sets.of(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(h) for h, _ in done], "set": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h, _ in done], "k": [k.astype(">u2").tobytes() for _, k in done]})
 
-    table = store(id_out(slim.select(id_in("doc_id"), "text").mapInPandas(sketch, "doc_id long, n long, set binary, k binary")), "sketches")
+    table = ws.store(id_out(slim.select(id_in("doc_id"), "text").mapInPandas(sketch, "doc_id long, n long, set binary, k binary")), "sketches")
     real = table.filter("n > 0 and doc_id is not null")
-    nodes = store(real.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("k").alias("k")), "nodes")
+    nodes = ws.store(real.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("k").alias("k")), "nodes")
     width = 2 * rows
     keyed = nodes.select("node", "k", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("b")).select("node", F.expr(f"xxhash64(b, substring(k, b * {width} + 1, {width}))").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("node").alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    stars = store(keyed.join(pivots, "key").filter("node > p").select("p", "node").distinct(), "stars")
+    stars = ws.store(keyed.join(pivots, "key").filter("node > p").select("p", "node").distinct(), "stars")
     # Cells of a pivot and at most about CELL others.
     salts = stars.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("s"))
     heads = salts.select(F.col("p").alias("g"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("role"), F.col("p").alias("doc_id"), F.col("p").alias("label"))
     tails = stars.join(salts, "p").select(F.col("p").alias("g"), F.pmod(F.xxhash64("node"), F.col("s")).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("role"), F.col("node").alias("doc_id"), F.col("node").alias("label"))
-    links = store(_verify(heads.unionAll(tails), slim, sets), "links")
-    labels = store(components(links), "labels")
-    more = _second_round(stars, labels, slim, sets)
+    ws.release()
+    links = ws.store(_verify(heads.unionAll(tails), slim, sets, ws), "links")
+    labels = components(links, ws, "labels")
+    more = _second_round(stars, labels, slim, sets, ws)
     if more is not None:
-        labels = components(links.unionAll(more))
+        labels = components(links.unionAll(more), ws, "labels2")
     of_set = nodes.select("set", "node").join(labels, "node", "left").select("set", F.coalesce("label", "node").alias("component_id"))
     found = table.select("doc_id", "n", "set").join(of_set, "set", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    done = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    done = ws.store(done, "classes")  # three numbers a document; all other tables can go
+    ws.keep_only("classes")
+    return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _second_round(stars: DataFrame, labels: DataFrame, slim: DataFrame, sets: Sets) -> DataFrame | None:
+def _second_round(stars: DataFrame, labels: DataFrame, slim: DataFrame, sets: Sets, ws: Workspace) -> DataFrame | None:
     """Links between components whose nodes meet in a bucket but not through its pivot."""
     named = labels.withColumnRenamed("node", "n")
     both = stars.join(named.select(F.col("n").alias("p"), F.col("label").alias("lp")), "p", "left").join(named.select(F.col("n").alias("node"), F.col("label").alias("ln")), "node", "left")
     both = both.select(F.coalesce("lp", "p").alias("a"), F.coalesce("ln", "node").alias("b")).filter("a <> b").distinct()
-    open_ = store(both, "open")
+    open_ = ws.store(both, "open")
     if not open_.take(1):
         return None
-    groups = components(open_)
-    groups = store(groups.unionAll(groups.select(F.col("label"), F.col("label")).distinct()), "groups")  # label of round 1 -> group
+    groups = components(open_, ws, "groups")
+    groups = groups.unionAll(groups.select(F.col("label"), F.col("label")).distinct())  # label of round 1 -> group
     members = stars.select("p").union(stars.select("node")).distinct().withColumnRenamed("p", "doc_id")
     members = members.join(named.select(F.col("n").alias("doc_id"), "label"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
-    members = store(members.join(groups.select(F.col("node").alias("label"), F.col("label").alias("g")), "label"), "members")
+    members = ws.store(members.join(groups.select(F.col("node").alias("label"), F.col("label").alias("g")), "label"), "members")
     sizes = members.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("g").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n")).select("g", F.col("m.label").alias("big"), F.ceil((F.col("n") - F.col("m.c")) / CELL).cast("int").alias("few"), F.ceil(F.col("n") / CELL).cast("int").alias("all"))
+    largest = sizes.groupBy("g").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n")).select("g", F.col("m.label").alias("big"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"))
     rows = members.join(largest, "g")
     i, j = F.pmod(F.xxhash64("doc_id"), F.col("few")).cast("int"), F.pmod(F.xxhash64("doc_id"), F.col("all")).cast("int")
     heads = rows.filter("label <> big").select("g", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(0).alias("role"), "doc_id", "label")
     tails = rows.select("g", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("role"), "doc_id", "label")
-    return store(_verify(heads.unionAll(tails), slim, sets), "links2")
+    return ws.store(_verify(heads.unionAll(tails), slim, sets, ws), "links2")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose document is kept: the smallest id of each component."""
     gone = classes(docs, words, num, den, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    gone = store(gone, "gone")
+    gone = Workspace(docs.sparkSession).store(gone, "gone")
     maybe = possible_members(gone, id_col)(F.col(id_col).cast("long"))
     sure = docs.filter(~maybe)
     return sure.unionByName(docs.filter(maybe).join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from docloom.llm import near_dup, suffix_dedup
+from docloom.llm.common import Workspace
 from docloom.llm.components import components
 
 DOCS = "doc_id long, text string, label int, k1 string, c int"
@@ -85,7 +86,7 @@ def test_second_round_links_what_pivots_miss(spark):
     stars = spark.createDataFrame([(1, 5), (1, 9)], "p long, node long")
     none = spark.createDataFrame([], "node long, label long")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    more = near_dup._second_round(stars, none, docs, near_dup.Sets(3, 85, 100))
+    more = near_dup._second_round(stars, none, docs, near_dup.Sets(3, 85, 100), Workspace(spark))
     assert {tuple(sorted((r.a, r.b))) for r in more.collect()} == {(5, 9)}
 
 
@@ -177,7 +178,7 @@ def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 300)
     rng = random.Random(1)
     text = "".join(rng.choice("abc") for _ in range(2000))
-    got = pd.concat(list(suffix_dedup._runs(iter([pd.DataFrame({"k1": [1], "k2": [2], "text": [text]})]))))
+    got = pd.concat(list(suffix_dedup._runs(iter([pd.DataFrame({"k": [b"k"], "text": [text]})]))))
     covered = sorted((a, b) for a, b in zip(got["first"], got["last"]))
     assert covered[0][0] == 0 and covered[-1][1] == 1800
     assert all(a[1] + 1 == b[0] for a, b in zip(covered, covered[1:]))
