@@ -141,7 +141,9 @@ def widescreen(width, height) -> dict[str, Column]:
 
 def slide_coverage(x, y, w, h, slide_w, slide_h) -> Column:
     """Clipped share of the slide; null for sizes that aren't positive."""
-    inside = span(x, x + w, F.lit(0), slide_w) * span(y, y + h, F.lit(0), slide_h)
+    # As doubles: the products of sizes in slide units don't fit an int.
+    x, y, w, h, slide_w, slide_h = (v.cast("double") for v in (x, y, w, h, slide_w, slide_h))
+    inside = span(x, x + w, F.lit(0.0), slide_w) * span(y, y + h, F.lit(0.0), slide_h)
     return F.when((w > 0) & (h > 0) & (slide_w > 0) & (slide_h > 0), inside / (slide_w * slide_h))
 
 

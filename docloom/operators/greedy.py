@@ -1,11 +1,14 @@
-"""Order-dependent operators, one group of a page at a time in Arrow batches.
+"""Order-dependent operators, one page at a time in Arrow batches.
 
-What they do depends on what was kept before, so no join can express them; groups are
-pages, whose rows are bounded by what a page holds.
+What they do depends on what was kept before, so no join can express them.  Rows are
+dealt and sorted by page, and a task walks its pages in one stream: a task holds one
+page's rows at a time, whatever its number of pages, and a page costs no call of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +17,36 @@ from pyspark.sql import functions as F
 from docloom.functions import text as t
 
 
+_KINDS = {"long": "Int64", "int": "Int32", "double": "float64", "boolean": "boolean", "string": "object"}
+
+
+def by_page(df: DataFrame, run: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """Apply run(rows of a page) -> result rows, without the page, to every page."""
+    fields = [f.split() for f in schema.split(", ")]
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        columns = zip(*out, strict=True) if out else [[] for _ in fields]
+        return pd.DataFrame({n: pd.array(list(v), dtype=_KINDS[k]) if _KINDS[k] != "object" else pd.Series(list(v), dtype="object") for (n, k), v in zip(fields, columns, strict=True)})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        out: list[tuple] = []
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                if held and r["page"] != held[0]["page"]:
+                    out += [(held[0]["page"], *row) for row in run(held)]
+                    held = []
+                held.append(r)
+            if len(out) > 10_000:
+                yield frame(out)
+                out = []
+        if held:
+            out += [(held[0]["page"], *row) for row in run(held)]
+        yield frame(out)
+
+    return df.repartition("page").sortWithinPartitions("page").mapInPandas(walk, schema)
+
+
 def _iou(a, b, floor: float = 1.0) -> float:
     both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
     size = lambda r: max(0.0, r[2] - r[0]) * max(0.0, r[3] - r[1])
@@ -33,8 +66,8 @@ def filter_proposals(proposals: DataFrame, width: int, height: int, crop_w: int,
     eligible = (size / max(width * height, 1) < 0.85) & ~(F.array_contains(tok, "portrait") & (size / max(crop_w * crop_h, 1) >= 0.80)) & ~icon
     rows = proposals.filter(eligible).select("page", "ord", "x", "y", "w", "h", "score", "edge", role.alias("role"), tok.alias("tok"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["edge", "score", "ord"], ascending=[True, False, True]).to_dict("records")
+    def run(rows: list[dict]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (r["edge"], -r["score"], r["ord"]))
         for r in rows:
             r["box"] = (r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"])
             r["set"] = set(r["tok"])
@@ -51,23 +84,22 @@ def filter_proposals(proposals: DataFrame, width: int, height: int, crop_w: int,
                 if any(_iou(p, q) <= 0.05 for i, p in enumerate(inside) for q in inside[i + 1 :]):
                     continue
             out.append(k["ord"])
-        return pd.DataFrame({"page": pdf["page"].iloc[0], "ord": sorted(out)})
+        return [(o,) for o in sorted(out)]
 
     def _near(a, b) -> bool:
         sa, sb = a["w"] * a["h"], b["w"] * b["h"]
         return min(sa, sb) / max(sa, sb, 1.0) >= 0.85 and _iou(a["box"], b["box"]) >= 0.75
 
-    return rows.groupBy("page").applyInPandas(run, "page long, ord int")
+    return by_page(rows, run, "page long, ord int")
 
 
 def deduplicate_texts(items: DataFrame) -> DataFrame:
     """page, ord of texts kept: of overlapping ones (0.8 of the smaller) where one text holds
     the other, the longer stays, then the surer, then the earlier."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ord").to_dict("records")
+    def run(rows: list[dict]) -> list[tuple]:
         kept: list[dict] = []
-        for r in rows:
+        for r in sorted(rows, key=lambda r: r["ord"]):
             clash = None
             for k in kept:
                 both = max(0, min(r["x"] + r["w"], k["x"] + k["w"]) - max(r["x"], k["x"])) * max(0, min(r["y"] + r["h"], k["y"] + k["h"]) - max(r["y"], k["y"]))
@@ -78,10 +110,10 @@ def deduplicate_texts(items: DataFrame) -> DataFrame:
                 kept.append(r)
             elif (len(r["t"]), r["confidence"]) > (len(clash["t"]), clash["confidence"]):
                 kept[kept.index(clash)] = r
-        return pd.DataFrame({"page": pdf["page"].iloc[0], "ord": sorted(k["ord"] for k in kept)})
+        return [(o,) for o in sorted(k["ord"] for k in kept)]
 
     slim = items.select("page", "ord", "x", "y", "w", "h", "confidence", t.compact(F.col("text")).alias("t"))
-    return slim.groupBy("page").applyInPandas(run, "page long, ord int")
+    return by_page(slim, run, "page long, ord int")
 
 
 def can_merge(a: dict, b: dict) -> bool:
@@ -116,8 +148,8 @@ TEXT_SCHEMA = "page long, ord int, x int, y int, w int, h int, text string, font
 def merge_texts(items: DataFrame) -> DataFrame:
     """Neighbouring texts of a line merged, the closest pair first, until none is left."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["y", "x", "ord"]).to_dict("records")
+    def run(rows: list[dict]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (r["y"], r["x"], r["ord"]))
         while True:
             best = None
             for i, a in enumerate(rows):
@@ -131,9 +163,10 @@ def merge_texts(items: DataFrame) -> DataFrame:
             i, j = best[2], best[3]
             rows[i] = merge_pair(rows[i], rows[j])
             del rows[j]
-        return pd.DataFrame(rows)[pdf.columns]
+        return [tuple(r[n] for n in names[1:]) for r in rows]
 
-    return items.select(*[c.split()[0] for c in TEXT_SCHEMA.split(", ")]).groupBy("page").applyInPandas(run, TEXT_SCHEMA)
+    names = [c.split()[0] for c in TEXT_SCHEMA.split(", ")]
+    return by_page(items.select(*names), run, TEXT_SCHEMA)
 
 
 def two_views(first: DataFrame, second: DataFrame, least: float = 0.5) -> DataFrame:
@@ -144,8 +177,8 @@ def two_views(first: DataFrame, second: DataFrame, least: float = 0.5) -> DataFr
     a = first.select("page", F.lit(0).alias("v"), "ord", "x", "y", "w", "h", t.compact(F.col("text")).alias("t"))
     b = second.select("page", F.lit(1).alias("v"), "ord", "x", "y", "w", "h", t.compact(F.col("text")).alias("t"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.v == 0].to_dict("records"), pdf[pdf.v == 1].to_dict("records")
+    def run(rows: list[dict]) -> list[tuple]:
+        left, right = [r for r in rows if r["v"] == 0], [r for r in rows if r["v"] == 1]
         scored = []
         for p in left:
             for q in right:
@@ -159,11 +192,9 @@ def two_views(first: DataFrame, second: DataFrame, least: float = 0.5) -> DataFr
                 used.add(i)
                 taken.add(j)
                 out.append((i, j, same))
-        out += [(p["ord"], None, False) for p in left if p["ord"] not in used]
-        done = pd.DataFrame(out, columns=["ord", "other", "consistent"]).astype({"ord": "int32", "other": "Int32", "consistent": "bool"})
-        return done.assign(page=np.int64(pdf["page"].iloc[0]))
+        return out + [(p["ord"], None, False) for p in left if p["ord"] not in used]
 
-    return a.unionAll(b).groupBy("page").applyInPandas(run, "page long, ord int, other int, consistent boolean")
+    return by_page(a.unionAll(b), run, "page long, ord int, other int, consistent boolean")
 
 
 def text_metrics(expected: DataFrame, rendered: DataFrame) -> DataFrame:
@@ -171,43 +202,44 @@ def text_metrics(expected: DataFrame, rendered: DataFrame) -> DataFrame:
     IoU for each (ties: the later one); minimum_iou is null where the texts differ."""
     side = lambda df, v: df.select("page", F.lit(v).alias("v"), "ord", "x", "y", "w", "h", t.normalized(F.col("text")).alias("t"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        left, right = pdf[pdf.v == 0], pdf[pdf.v == 1]
-        if sorted(left.t) != sorted(right.t):
-            return pd.DataFrame({"page": [pdf["page"].iloc[0]], "mismatch": [True], "minimum_iou": [np.nan]})
+    def run(rows: list[dict]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: r["ord"])
+        left, right = [r for r in rows if r["v"] == 0], [r for r in rows if r["v"] == 1]
+        if sorted(r["t"] for r in left) != sorted(r["t"] for r in right):
+            return [(True, None)]
         low = 1.0
-        for text, g in left.groupby("t", sort=False):
-            free = [tuple(r) for r in right[right.t == text][["x", "y", "w", "h"]].itertuples(index=False)]
-            for r in g[["x", "y", "w", "h"]].itertuples(index=False):
-                scores = [(_iou((r.x, r.y, r.x + r.w, r.y + r.h), (f[0], f[1], f[0] + f[2], f[1] + f[3]), 1e-12), i) for i, f in enumerate(free)]
-                s, i = max(scores)
-                low = min(low, s)
-                free.pop(i)
-        return pd.DataFrame({"page": [pdf["page"].iloc[0]], "mismatch": [False], "minimum_iou": [low]})
+        free: dict[str, list] = {}
+        for r in right:
+            free.setdefault(r["t"], []).append((r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"]))
+        for r in left:
+            box = (r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"])
+            s, i = max((_iou(box, f, 1e-12), i) for i, f in enumerate(free[r["t"]]))
+            low = min(low, s)
+            free[r["t"]].pop(i)
+        return [(False, low)]
 
-    return side(expected, 0).unionAll(side(rendered, 1)).groupBy("page").applyInPandas(run, "page long, mismatch boolean, minimum_iou double")
+    return by_page(side(expected, 0).unionAll(side(rendered, 1)), run, "page long, mismatch boolean, minimum_iou double")
 
 
 def mask_nms(candidates: DataFrame, most_iou: float = 0.92) -> DataFrame:
     """page, ord, rank of box candidates kept by falling score; a dropped one suppresses nobody."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list[dict]) -> list[tuple]:
         kept: list[tuple] = []
-        for r in pdf.sort_values(["score", "ord"], ascending=[False, True]).itertuples(index=False):
-            box = (r.x, r.y, r.x + r.w, r.y + r.h)
+        for r in sorted(rows, key=lambda r: (-r["score"], r["ord"])):
+            box = (r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"])
             if all(_iou(box, k[1]) < most_iou for k in kept):
-                kept.append((r.ord, box))
-        return pd.DataFrame({"page": pdf["page"].iloc[0], "ord": [k[0] for k in kept], "rank": range(1, len(kept) + 1)})
+                kept.append((r["ord"], box))
+        return [(k[0], i) for i, k in enumerate(kept, start=1)]
 
-    return candidates.select("page", "ord", "x", "y", "w", "h", "score").groupBy("page").applyInPandas(run, "page long, ord int, rank int")
+    return by_page(candidates.select("page", "ord", "x", "y", "w", "h", "score"), run, "page long, ord int, rank int")
 
 
 def entity_count(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """page, entities: groups of masks that pairs (page, a, b) join; members: page, ord."""
     both = members.select("page", F.col("ord").alias("a"), F.col("ord").alias("b")).unionAll(pairs.select("page", "a", "b"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list[dict]) -> list[tuple]:
         up: dict = {}
 
         def root(x):
@@ -216,12 +248,12 @@ def entity_count(pairs: DataFrame, members: DataFrame) -> DataFrame:
                 x = up[x]
             return x
 
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            p, q = root(a), root(b)
+        for r in rows:
+            p, q = root(r["a"]), root(r["b"])
             up[max(p, q)] = min(p, q)
-        return pd.DataFrame({"page": [pdf["page"].iloc[0]], "entities": [len({root(x) for x in list(up)})]})
+        return [(len({root(x) for x in list(up)}),)]
 
-    return both.groupBy("page").applyInPandas(run, "page long, entities int")
+    return by_page(both, run, "page long, entities int")
 
 
 def execute_plan(nodes: DataFrame, actions: DataFrame) -> DataFrame:
@@ -236,12 +268,13 @@ def execute_plan(nodes: DataFrame, actions: DataFrame) -> DataFrame:
     a = actions.select("page", F.lit(1).alias("what"), "node", F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("kind"), *[F.lit(0).alias(c) for c in "xywhz"], "verb", "ord", "cited")
     schema = "page long, node long, state string, kind string, x int, y int, w int, h int, z int"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        page = pdf["page"].iloc[0]
-        have = {r["node"]: {c: r[c] for c in ("node", "state", "kind", "x", "y", "w", "h", "z")} for r in pdf[pdf.what == 0].to_dict("records")}
+    names = ("node", "state", "kind", "x", "y", "w", "h", "z")
+
+    def run(rows: list[dict]) -> list[tuple]:
+        have = {r["node"]: {c: r[c] for c in names} for r in rows if r["what"] == 0}
         fresh = max(have, default=0)
         used: set = set()
-        for act in pdf[pdf.what == 1].sort_values(["ord", "node"]).to_dict("records"):
+        for act in sorted((r for r in rows if r["what"] == 1), key=lambda r: (r["ord"], r["node"])):
             target = have.get(act["node"])
             if target is None or act["node"] in used or (target["state"] in ("frozen", "inactive") and act["verb"] != "retry"):
                 continue
@@ -276,9 +309,9 @@ def execute_plan(nodes: DataFrame, actions: DataFrame) -> DataFrame:
                         have[fresh] = target | {"node": fresh, "state": "pending"} | part
                     target["state"] = "inactive"
                     used.add(target["node"])
-        return pd.DataFrame([{"page": page, **v} for v in have.values()], columns=["page", "node", "state", "kind", "x", "y", "w", "h", "z"])
+        return [tuple(v[c] for c in names) for v in have.values()]
 
-    return n.unionAll(a).groupBy("page").applyInPandas(run, schema)
+    return by_page(n.unionAll(a), run, schema)
 
 
 def reconcile_fragments(fragments: DataFrame, containers: DataFrame, structural: float = 0.15) -> DataFrame:
@@ -287,24 +320,22 @@ def reconcile_fragments(fragments: DataFrame, containers: DataFrame, structural:
     f = fragments.select("page", F.lit(1).alias("what"), "ord", "x", "y", "w", "h", "score", "edge")
     c = containers.select("page", F.lit(0).alias("what"), "ord", "x", "y", "w", "h", F.lit(1.0).alias("score"), F.lit(False).alias("edge"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = {r.ord: [r.x, r.y, r.x + r.w, r.y + r.h] for r in pdf[pdf.what == 0].itertuples(index=False)}
+    def run(rows: list[dict]) -> list[tuple]:
+        boxes = {r["ord"]: [r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"]] for r in rows if r["what"] == 0}
         out = []
-        rows = pdf[pdf.what == 1].assign(size=lambda d: d.w * d.h).sort_values(["size", "ord"], ascending=[False, True])
-        for r in rows.itertuples(index=False):
-            box = (r.x - 1, r.y - 1, r.x + r.w + 1, r.y + r.h + 1)
+        for r in sorted((r for r in rows if r["what"] == 1), key=lambda r: (-r["w"] * r["h"], r["ord"])):
+            x1, y1, x2, y2 = r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"]
             best, owner = 0.0, None
             for o, b in boxes.items():
-                share = max(0, min(box[2], b[2]) - max(box[0], b[0])) * max(0, min(box[3], b[3]) - max(box[1], b[1])) / max(1, r.w * r.h)
+                share = max(0, min(x2 + 1, b[2]) - max(x1 - 1, b[0])) * max(0, min(y2 + 1, b[3]) - max(y1 - 1, b[1])) / max(1, r["w"] * r["h"])
                 if share > best:
                     best, owner = share, o
             if best >= structural:
                 b = boxes[owner]
-                boxes[owner] = [min(b[0], r.x), min(b[1], r.y), max(b[2], r.x + r.w), max(b[3], r.y + r.h)]
-                out.append((r.ord, owner, "attached"))
+                boxes[owner] = [min(b[0], x1), min(b[1], y1), max(b[2], x2), max(b[3], y2)]
+                out.append((r["ord"], owner, "attached"))
             else:
-                out.append((r.ord, None, "kept" if r.score >= 0.95 and not r.edge else "dropped"))
-        done = pd.DataFrame(out, columns=["ord", "owner", "fate"]).astype({"ord": "int32", "owner": "Int32", "fate": "object"})
-        return done.assign(page=np.int64(pdf["page"].iloc[0]))
+                out.append((r["ord"], None, "kept" if r["score"] >= 0.95 and not r["edge"] else "dropped"))
+        return out
 
-    return f.unionAll(c).groupBy("page").applyInPandas(run, "page long, ord int, owner int, fate string")
+    return by_page(f.unionAll(c), run, "page long, ord int, owner int, fate string")

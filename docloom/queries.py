@@ -39,7 +39,19 @@ def box(df: DataFrame, **columns) -> DataFrame:
     return df.select("page", "ord", *[e.alias(n) for n, e in columns.items()])
 
 
-XYWH = [c("x"), c("y"), c("w"), c("h")]
+
+
+def xywh() -> list:
+    return [c("x"), c("y"), c("w"), c("h")]
+
+
+def left() -> tuple:
+    return joins.corner_columns("l_")
+
+
+def right() -> tuple:
+    return joins.corner_columns("r_")
+
 
 # --- scalar functions over boxes --------------------------------------------------
 
@@ -64,18 +76,17 @@ def on_pairs(v: Views, **columns) -> DataFrame:
     return pairs(v).select("page", c("l_ord").alias("a"), c("r_ord").alias("b"), *[e.alias(n) for n, e in columns.items()])
 
 
-L, R = joins.corner_columns("l_"), joins.corner_columns("r_")
-query("box_iou_floored", f"SELECT a.page, a.ord AS a, b.ord AS b, {BOTH} / greatest(CAST(a.w * a.h + b.w * b.h - {BOTH} AS DOUBLE), 1.0) AS iou FROM {PAIRS}")(lambda v: on_pairs(v, iou=g.iou_floored(L, R)))
-query("box_iou", f"SELECT a.page, a.ord AS a, b.ord AS b, {BOTH} / CAST(a.w * a.h + b.w * b.h - {BOTH} AS DOUBLE) AS iou FROM {PAIRS}")(lambda v: on_pairs(v, iou=g.iou(L, R)))
+query("box_iou_floored", f"SELECT a.page, a.ord AS a, b.ord AS b, {BOTH} / greatest(CAST(a.w * a.h + b.w * b.h - {BOTH} AS DOUBLE), 1.0) AS iou FROM {PAIRS}")(lambda v: on_pairs(v, iou=g.iou_floored(left(), right())))
+query("box_iou", f"SELECT a.page, a.ord AS a, b.ord AS b, {BOTH} / CAST(a.w * a.h + b.w * b.h - {BOTH} AS DOUBLE) AS iou FROM {PAIRS}")(lambda v: on_pairs(v, iou=g.iou(left(), right())))
 query("box_overlap_of_smaller", f"SELECT a.page, a.ord AS a, b.ord AS b, {BOTH} / CAST(greatest(1, least(a.w * a.h, b.w * b.h)) AS DOUBLE) AS share FROM {PAIRS}")(
     lambda v: on_pairs(v, share=g.overlap_of_smaller([c(f"l_{n}") for n in "xywh"], [c(f"r_{n}") for n in "xywh"]))
 )
 query("box_contains_center", f"SELECT a.page, a.ord AS a, b.ord AS b, a.x <= b.x + b.w / 2.0 AND b.x + b.w / 2.0 <= a.x + a.w AND a.y <= b.y + b.h / 2.0 AND b.y + b.h / 2.0 <= a.y + a.h AS inside FROM {PAIRS}")(
-    lambda v: on_pairs(v, inside=g.contains_center(L, R))
+    lambda v: on_pairs(v, inside=g.contains_center(left(), right()))
 )
-query("box_area", "SELECT page, ord, w * h AS area FROM boxes")(lambda v: box(v.boxes, area=g.area(*g.corners(*XYWH))))
+query("box_area", "SELECT page, ord, w * h AS area FROM boxes")(lambda v: box(v.boxes, area=g.area(*g.corners(*xywh()))))
 query("text_bbox", "SELECT page, ord, x AS x1, y AS y1, x + w AS x2, y + h AS y2, w > 0 AND h > 0 AS valid FROM boxes")(
-    lambda v: box(v.boxes, x1=c("x"), y1=c("y"), x2=c("x") + c("w"), y2=c("y") + c("h"), valid=g.valid_corners(*g.corners(*XYWH)))
+    lambda v: box(v.boxes, x1=c("x"), y1=c("y"), x2=c("x") + c("w"), y2=c("y") + c("h"), valid=g.valid_corners(*g.corners(*xywh())))
 )
 query("polygon_box", "SELECT page, ord, CAST(trunc(x + 0.25) AS INTEGER) AS px, CAST(trunc(y + 0.75) AS INTEGER) AS py, CAST(trunc(w + 0.25) AS INTEGER) AS pw, CAST(trunc(h + 0.0) AS INTEGER) AS ph FROM boxes")(
     lambda v: box(v.boxes, b=g.polygon_box(F.array(F.struct((c("x") + 0.25).alias("x"), (c("y") + 0.75).alias("y")), F.struct((c("x") + c("w") + 0.5).alias("x"), (c("y") + c("h") + 0.75).alias("y")))))
@@ -96,16 +107,16 @@ query("slide_transform_original", f"SELECT page, ord, round(w * {_S} * {_U}, 9)
     lambda v: (lambda f: box(v.boxes, sw=F.round(f["slide_width"], 9), sh=F.round(f["slide_height"], 9)).filter("sw is not null"))(g.contain_fit(c("w").cast("double"), c("h").cast("double"), F.lit(True)))
 )
 query("map_box", "WITH f AS (SELECT *, least(13.333::DOUBLE / 1300, 7.5::DOUBLE / 700) AS s FROM boxes) SELECT page, ord, round((13.333::DOUBLE - 1300 * s) / 2 + x / 1300.0::DOUBLE * (1300 * s), 9) + 0.0 AS l, round((7.5::DOUBLE - 700 * s) / 2 + y / 700.0::DOUBLE * (700 * s), 9) + 0.0 AS t, round(w / 1300.0::DOUBLE * (1300 * s), 9) AS wi, round(h / 700.0::DOUBLE * (700 * s), 9) AS hi FROM f")(
-    lambda v: (lambda m: box(v.boxes, l=F.round(m["left"], 9) + 0.0, t=F.round(m["top"], 9) + 0.0, wi=F.round(m["width"], 9), hi=F.round(m["height"], 9)))(g.map_box(XYWH, (F.lit(1300.0), F.lit(700.0)), g.contain_fit(F.lit(1300.0), F.lit(700.0), F.lit(False))))
+    lambda v: (lambda m: box(v.boxes, l=F.round(m["left"], 9) + 0.0, t=F.round(m["top"], 9) + 0.0, wi=F.round(m["width"], 9), hi=F.round(m["height"], 9)))(g.map_box(xywh(), (F.lit(1300.0), F.lit(700.0)), g.contain_fit(F.lit(1300.0), F.lit(700.0), F.lit(False))))
 )
 query("map_box_canvas", "SELECT page, ord, round((x + 10) / 1600.0::DOUBLE * 13.333::DOUBLE, 9) AS l, round((y + 20) / 900.0::DOUBLE * 7.5::DOUBLE, 9) AS t FROM boxes")(
-    lambda v: (lambda m: box(v.boxes, l=F.round(m["left"], 9), t=F.round(m["top"], 9)))(g.map_box_on_canvas(XYWH, (F.lit(1600.0), F.lit(900.0)), (10, 20), (F.lit(g.SLIDE_WIDTH), F.lit(g.SLIDE_HEIGHT))))
+    lambda v: (lambda m: box(v.boxes, l=F.round(m["left"], 9), t=F.round(m["top"], 9)))(g.map_box_on_canvas(xywh(), (F.lit(1600.0), F.lit(900.0)), (10, 20), (F.lit(g.SLIDE_WIDTH), F.lit(g.SLIDE_HEIGHT))))
 )
 query("widescreen_canvas", "WITH u AS (SELECT *, greatest((w + 15) // 16, (h + 8) // 9) AS u FROM boxes) SELECT page, ord, 16 * u AS cw, 9 * u AS ch, (16 * u - w) // 2 AS ox, (9 * u - h) // 2 AS oy FROM u")(
     lambda v: (lambda m: box(v.boxes, cw=m["canvas_width"], ch=m["canvas_height"], ox=m["offset_x"], oy=m["offset_y"]))(g.widescreen(c("w"), c("h")))
 )
 query("slide_coverage", "SELECT page, ord, (greatest(0, least(x + w, 600) - greatest(x, 0)) * greatest(0, least(y + h, 400) - greatest(y, 0))) / 240000.0::DOUBLE AS coverage FROM boxes")(
-    lambda v: box(v.boxes, coverage=g.slide_coverage(*XYWH, F.lit(600), F.lit(400)))
+    lambda v: box(v.boxes, coverage=g.slide_coverage(*xywh(), F.lit(600), F.lit(400)))
 )
 query("text_halo", "SELECT page, ord, greatest(greatest(2, least(4, CAST(round_even(greatest(h, 1) * 0.15::DOUBLE, 0) AS INTEGER))), least(12, CAST(round_even(greatest(h, 1) * 0.30::DOUBLE, 0) AS INTEGER))) AS halo FROM boxes")(lambda v: box(v.boxes, halo=g.halo(c("h"))))
 query("mask_dilation", "SELECT page, ord, greatest(2, least(6, CAST(round_even(h * 0.15::DOUBLE, 0) AS INTEGER))) AS reach FROM boxes")(lambda v: box(v.boxes, reach=g.mask_dilation(c("h"))))
@@ -199,7 +210,7 @@ query("within_baseline", "SELECT page, round, mae <= p95 + 1 + 1e-12 AND largest
 query("picture_safety", """SELECT page, ord, array_to_string(list_filter([CASE WHEN x % 11 = 0 THEN 'unreliable_transform' WHEN x % 5 = 0 THEN 'inside_group' WHEN (greatest(0, least(x + w, 200)  - x) * greatest(0, least(y + h, 100) - y)) / 20000.0::DOUBLE < 0.80 THEN 'coverage_below_threshold' END,
     CASE WHEN x % 3 = 0 THEN 'rotation_or_flip' END, CASE WHEN y % 3 = 0 THEN 'nonzero_crop' END, CASE WHEN y % 7 = 0 THEN 'external_relationship' END, CASE WHEN w % 5 = 0 THEN 'ambiguous_media_source' END,
     CASE WHEN y % 7 = 0 THEN NULL WHEN h % 4 = 0 THEN 'missing_media' WHEN h % 6 = 1 THEN 'invalid_media' END, CASE WHEN h % 9 = 0 THEN 'unsupported_extension' END], lambda z: z IS NOT NULL), ',') AS reasons FROM boxes""")(
-    lambda v: box(v.boxes, reasons=F.array_join(q.picture_reasons({"transform_reliable": c("x") % 11 != 0, "cx": c("w"), "cy": c("h"), "inside_group": c("x") % 5 == 0, "coverage": g.slide_coverage(*XYWH, F.lit(200), F.lit(100)), "rotation": F.when(c("x") % 3 == 0, 90).otherwise(0), "flip_h": F.lit(False), "flip_v": F.lit(False), "crop_left": F.when(c("y") % 3 == 0, 1).otherwise(0), "crop_top": F.lit(0), "crop_right": F.lit(0), "crop_bottom": F.lit(0), "has_external": c("y") % 7 == 0, "ambiguous": c("w") % 5 == 0, "target_mode": F.when(c("y") % 7 == 0, "External").otherwise("Internal"), "media_present": c("h") % 4 != 0, "media_valid": c("h") % 6 != 1, "has_extension": c("h") % 9 == 0, "has_timing_reference": F.lit(False)}), ","))
+    lambda v: box(v.boxes, reasons=F.array_join(q.picture_reasons({"transform_reliable": c("x") % 11 != 0, "cx": c("w"), "cy": c("h"), "inside_group": c("x") % 5 == 0, "coverage": g.slide_coverage(*xywh(), F.lit(200), F.lit(100)), "rotation": F.when(c("x") % 3 == 0, 90).otherwise(0), "flip_h": F.lit(False), "flip_v": F.lit(False), "crop_left": F.when(c("y") % 3 == 0, 1).otherwise(0), "crop_top": F.lit(0), "crop_right": F.lit(0), "crop_bottom": F.lit(0), "has_external": c("y") % 7 == 0, "ambiguous": c("w") % 5 == 0, "target_mode": F.when(c("y") % 7 == 0, "External").otherwise("Internal"), "media_present": c("h") % 4 != 0, "media_valid": c("h") % 6 != 1, "has_extension": c("h") % 9 == 0, "has_timing_reference": F.lit(False)}), ","))
 )
 
 # --- joins ------------------------------------------------------------------------
@@ -419,10 +430,10 @@ query("unique_media_part")(lambda v: ranking.free_names(v.boxes.select(F.concat(
 query("absorbed_entities")(lambda v: greedy.entity_count(joins.same_instance(joins.overlapping_pairs(*[v.boxes.withColumn("role", F.lit("object"))] * 2).filter("l_ord < r_ord")), v.boxes.select("page", "ord")))
 query("same_absorbed_entity", f"""WITH p AS (SELECT a.page, a.ord AS a, b.ord AS b, a.w * a.h AS s, b.w * b.h AS t, {BOTH} AS n, abs(a.x + a.w / 2.0 - b.x - b.w / 2.0) AS dx, abs(a.y + a.h / 2.0 - b.y - b.h / 2.0) AS dy, greatest(a.w, b.w) AS mw, greatest(a.h, b.h) AS mh FROM {PAIRS})
     SELECT page, a, b FROM p WHERE (n / CAST(s AS DOUBLE) >= 0.8 AND n / CAST(t AS DOUBLE) >= 0.8) OR (greatest(n / CAST(s AS DOUBLE), n / CAST(t AS DOUBLE)) >= 0.95 AND least(s, t) / CAST(greatest(s, t) AS DOUBLE) >= 0.5) OR (least(s, t) / CAST(greatest(s, t) AS DOUBLE) >= 0.67 AND n / CAST(least(s, t) AS DOUBLE) >= 0.4 AND dx <= greatest(9, mw * 0.5) AND dy <= greatest(9, mh * 0.5))""")(
-    lambda v: pairs(v).filter(q.same_entity(c("l_w") * c("l_h"), c("r_w") * c("r_h"), g.intersection(L, R), L, R, F.lit(3))).select("page", c("l_ord").alias("a"), c("r_ord").alias("b"))
+    lambda v: pairs(v).filter(q.same_entity(c("l_w") * c("l_h"), c("r_w") * c("r_h"), g.intersection(left(), right()), left(), right(), F.lit(3))).select("page", c("l_ord").alias("a"), c("r_ord").alias("b"))
 )
 query("gap_fragments")(
-    lambda v: (lambda b: b.join(b.select("page", *[c(k).alias("o_" + k) for k in ("ord", "x", "y", "w", "h")]), "page").filter("w * h < o_w * o_h").filter(q.gap_fragment(c("w") * c("h"), c("o_w") * c("o_h"), g.corners(*XYWH), g.corners(c("o_x"), c("o_y"), c("o_w"), c("o_h")), F.lit(40))).select("page", c("ord").alias("a"), c("o_ord").alias("b")))(v.boxes.select("page", "ord", "x", "y", "w", "h"))
+    lambda v: (lambda b: b.join(b.select("page", *[c(k).alias("o_" + k) for k in ("ord", "x", "y", "w", "h")]), "page").filter("w * h < o_w * o_h").filter(q.gap_fragment(c("w") * c("h"), c("o_w") * c("o_h"), g.corners(*xywh()), g.corners(c("o_x"), c("o_y"), c("o_w"), c("o_h")), F.lit(40))).select("page", c("ord").alias("a"), c("o_ord").alias("b")))(v.boxes.select("page", "ord", "x", "y", "w", "h"))
 )
 
 # --- closures and regions ---------------------------------------------------------

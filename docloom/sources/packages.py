@@ -67,7 +67,7 @@ def package_violations(members: DataFrame) -> DataFrame:
             F.when(F.col("size") > RATIO * F.greatest(F.lit(1), F.col("packed")), F.lit("ratio")),
             F.when(F.col("encrypted"), F.lit("encrypted")),
             F.when(F.col("is_dir") & (F.col("size") > 0), F.lit("directory_payload")),
-            F.when(~F.col("is_dir") & ~t.safe_member(F.col("name")), F.lit("unsafe_name")),
+            F.when(F.col("name").isNotNull() & ~F.col("is_dir") & ~t.safe_member(F.col("name")), F.lit("unsafe_name")),
         )
     )
     folded = members.groupBy("path", F.lower("name").alias("n")).agg(F.count(F.lit(1)).alias("c"))
