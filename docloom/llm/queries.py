@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, html_text, language_id, mixing, near_dup, order_minhash, sharding, suffix_dedup, toxicity, vector_tree
+from docloom.llm import bpe, html_text, language_id, mixing, near_dup, oracles, order_minhash, sharding, suffix_dedup, toxicity, vector_tree
 from docloom.llm.common import read
 
 
@@ -27,7 +27,8 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources flattened until the rarest is drawn twice as often as the commonest."""
-    return mixing.mix(read(spark, sf_dir, "documents"), repeat=2.0, keep=("doc_id", "source"))
+    drawn = mixing.mix(read(spark, sf_dir, "documents"), repeat=2.0, keep=("doc_id", "source"))
+    return drawn.withColumn("weight", F.round("weight", 8)).withColumn("place", F.round("place", 8))
 
 
 def op4_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": oracles.SHARDING, "op3_mixing": oracles.MIXING, "op5_near_dup": oracles.NEAR_DUP, "op8_suffix_dedup": oracles.REPEATS}
