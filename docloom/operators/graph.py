@@ -1,7 +1,7 @@
-"""Closures over parent links and adjacency, with written frontiers.
+"""Closures over parent links and adjacency, and set operations on pixels.
 
-A closure is walked breadth first: each round joins only the newest rows, keeps what is
-new, and the rounds are as many as the forest is deep.
+Links never leave a page, so a closure is one shuffle by page and a walk through each
+page's links in the stream of its task, however deep the forest is.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.greedy import by_page
+
 MOST_ROUNDS = 200
 
 
@@ -24,30 +26,47 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def ancestors(nodes: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
     """page, node, ancestor, depth; nodes: page, node, parent.  A cycle ends at `most`."""
-    up = nodes.filter("parent is not null").select("page", F.col("node").alias("child"), F.col("parent").alias("above"))
-    front = up.select("page", F.col("child").alias("node"), F.col("above").alias("ancestor"), F.lit(1).alias("depth"))
-    found = front = _cut(front)
-    for _ in range(most):
-        nxt = front.join(up, (front["page"] == up["page"]) & (front["ancestor"] == up["child"])).select(front["page"], "node", F.col("above").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
-        front = _cut(nxt)
-        if not front.take(1):
-            return found
-        found = found.unionAll(front)
-    return found
+
+    def run(rows: list[dict]) -> list[tuple]:
+        above = {r["node"]: r["parent"] for r in rows}
+        out = []
+        for node in above:
+            at, depth = above[node], 1
+            while at is not None and depth <= most:
+                out.append((node, at, depth))
+                at, depth = above.get(at), depth + 1
+        return out
+
+    up = nodes.filter("parent is not null").select("page", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"))
+    return by_page(up, run, "page long, node long, ancestor long, depth int")
+
+
+def reached(links: DataFrame, seeds: DataFrame, keep_seeds: bool) -> DataFrame:
+    """page, node: what links (page, a, b) lead to from the seeds (page, node); each node once."""
+
+    def run(rows: list[dict]) -> list[tuple]:
+        to: dict = {}
+        for r in rows:
+            if not r["seed"]:
+                to.setdefault(r["a"], []).append(r["b"])
+        start = {r["a"] for r in rows if r["seed"]}
+        found, todo = set(start) if keep_seeds else set(), list(start)
+        while todo:
+            for b in to.get(todo.pop(), ()):
+                if b not in found:
+                    found.add(b)
+                    todo.append(b)
+        return [(n,) for n in found]
+
+    both = links.select("page", F.lit(False).alias("seed"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    both = both.unionAll(seeds.select("page", F.lit(True), F.col("node").cast("long"), F.lit(0).cast("long")))
+    return by_page(both, run, "page long, node long")
 
 
 def descendants(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """page, node: all below the seeds (page, node); each node once."""
-    down = nodes.filter("parent is not null").select("page", "node", "parent")
-    front = seeds.select("page", "node").distinct()
-    found = None
-    for _ in range(MOST_ROUNDS):
-        nxt = down.join(front.select("page", F.col("node").alias("parent")), ["page", "parent"]).select("page", "node").distinct()
-        nxt = _cut(nxt if found is None else nxt.join(found, ["page", "node"], "left_anti"))
-        if not nxt.take(1):
-            break
-        found, front = (nxt if found is None else found.unionAll(nxt)), nxt
-    return found if found is not None else seeds.select("page", "node").limit(0)
+    down = nodes.filter("parent is not null").select("page", F.col("parent").alias("a"), F.col("node").alias("b"))
+    return reached(down, seeds, False)
 
 
 def deactivate_descendants(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -80,13 +99,7 @@ def delta_scope(nodes: DataFrame, changed: DataFrame, reach: int = 3, most: int
     near = overlapping_pairs(wide, plain).filter("l_node <> r_node").select("page", F.col("l_node").alias("a"), F.col("r_node").alias("b"))
     kin = nodes.filter("parent is not null").select("page", F.col("node").alias("a"), F.col("parent").alias("b"))
     links = near.unionAll(kin).unionAll(kin.select("page", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    found = front = _cut(touched)
-    for _ in range(MOST_ROUNDS):
-        nxt = links.join(front.select("page", F.col("node").alias("a")), ["page", "a"]).select("page", F.col("b").alias("node")).distinct().join(found, ["page", "node"], "left_anti")
-        front = _cut(nxt)
-        if not front.take(1):
-            break
-        found = found.unionAll(front)
+    found = reached(links, touched, True)
     size = found.groupBy("page").agg(F.count(F.lit(1)).alias("_n"))
     return found.join(size, "page").select("page", F.when(F.col("_n") <= most, F.col("node")).alias("node")).distinct()
 

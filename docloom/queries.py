@@ -274,8 +274,8 @@ query("reconstruction_ir", """WITH f AS (SELECT *, kind <> 'text' AND x % 4 <> 0
     SELECT page, node, kind, z, row_number() OVER (PARTITION BY page ORDER BY z, ord) AS place, array_to_string(list_filter([CASE WHEN kind = 'text' THEN 'editable_text' END, CASE WHEN shp THEN 'native_shape' END, CASE WHEN has THEN 'raster' END], lambda k: k IS NOT NULL), ',') AS candidates, CASE WHEN kind <> 'text' AND NOT has THEN 'missing_asset' END AS problem FROM f""")(
     lambda v: _ir(v).withColumn("candidates", F.array_join("candidates", ","))
 )
-query("approved_parent_pairs", "WITH p AS (SELECT a.page, a.node AS a, b.node AS b FROM nodes a JOIN nodes b ON a.page = b.page AND a.node < b.node AND a.kind = 'parent' AND b.kind = 'parent'), k AS (SELECT page, node, cited FROM actions WHERE verb IN ('accept', 'retry') AND score >= 0.92) SELECT p.page, p.a, p.b FROM p JOIN k x ON x.page = p.page AND x.node = p.a JOIN k y ON y.page = p.page AND y.node = p.b WHERE list_contains(x.cited, p.a) AND list_contains(x.cited, p.b) AND list_contains(y.cited, p.a) AND list_contains(y.cited, p.b)")(
-    lambda v: (lambda n: joins.approved_parent_pairs(n.select("page", c("node").alias("a")).join(n.select("page", c("node").alias("b")), "page").filter("a < b"), v.actions.withColumn("verb", F.when(c("verb") == "retry", "accept").otherwise(c("verb")))))(v.nodes.filter("kind = 'parent'").select("page", "node"))
+query("approved_parent_pairs", "WITH p AS (SELECT a.page, a.node AS a, b.node AS b FROM nodes a JOIN nodes b ON a.page = b.page AND a.node < b.node AND a.kind = 'parent' AND b.kind = 'parent'), k AS (SELECT page, node, CASE WHEN node % 5 <> 0 THEN [page * 100 + 1, page * 100 + 2] ELSE [node] END AS cited FROM actions WHERE verb IN ('accept', 'retry') AND score >= 0.92) SELECT p.page, p.a, p.b FROM p JOIN k x ON x.page = p.page AND x.node = p.a JOIN k y ON y.page = p.page AND y.node = p.b WHERE list_contains(x.cited, p.a) AND list_contains(x.cited, p.b) AND list_contains(y.cited, p.a) AND list_contains(y.cited, p.b)")(
+    lambda v: (lambda n: joins.approved_parent_pairs(n.select("page", c("node").alias("a")).join(n.select("page", c("node").alias("b")), "page").filter("a < b"), v.actions.withColumn("verb", F.when(c("verb") == "retry", "accept").otherwise(c("verb"))).withColumn("cited", F.when(c("node") % 5 != 0, F.array(c("page") * 100 + 1, c("page") * 100 + 2)).otherwise(F.array("node")))))(v.nodes.filter("kind = 'parent'").select("page", "node"))
 )
 query("unapproved_parents", "SELECT DISTINCT page, unnest([a, b]) AS node FROM (SELECT a.page, a.node AS a, b.node AS b FROM nodes a JOIN nodes b ON a.page = b.page AND a.node < b.node AND a.kind = 'parent' AND b.kind = 'parent') WHERE a % 3 <> 0")(
     lambda v: (lambda p: joins.unapproved_parents(p, p.filter("a % 3 = 0")))((lambda n: n.select("page", c("node").alias("a")).join(n.select("page", c("node").alias("b")), "page").filter("a < b"))(v.nodes.filter("kind = 'parent'").select("page", "node")))
@@ -563,7 +563,7 @@ query("content_types", "WITH m AS (SELECT page, ord, tag, CASE WHEN tag = 'p' TH
 query("missing_content_defaults", "SELECT DISTINCT tag AS extension, CASE WHEN length(tag) = 1 THEN tag || '/x' END AS content_type, CASE WHEN length(tag) <> 1 THEN 'donor_default_missing' END AS problem FROM tags WHERE tag NOT IN ('p', 'li')")(
     lambda v: (lambda k: packages.missing_defaults(k.filter("extension in ('p', 'li')"), k.filter("length(extension) = 1").withColumn("content_type", F.concat("extension", F.lit("/x"))), k))(v.tags.select(c("tag").alias("extension")).distinct())
 )
-query("package_limits", "SELECT page AS path, array_to_string(list_sort(list_distinct(flatten(list(list_filter([CASE WHEN x * 3000000 > 536870912 THEN 'part_size' END, CASE WHEN x * 3000000 > 200 * greatest(1, CAST(w AS BIGINT) * 20000) THEN 'ratio' END, CASE WHEN y % 9 = 0 THEN 'encrypted' END], lambda z: z IS NOT NULL))) || CASE WHEN sum(CAST(x AS BIGINT) * 3000000) > 2147483648 THEN ['total_size'] ELSE [] END)), ',') AS violations FROM boxes GROUP BY page")(
+query("package_limits", "SELECT page AS path, array_to_string(list_sort(list_distinct(flatten(list(list_filter([CASE WHEN CAST(x AS BIGINT) * 3000000 > 536870912 THEN 'part_size' END, CASE WHEN CAST(x AS BIGINT) * 3000000 > 200 * greatest(1, CAST(w AS BIGINT) * 20000) THEN 'ratio' END, CASE WHEN y % 9 = 0 THEN 'encrypted' END], lambda z: z IS NOT NULL))) || CASE WHEN sum(CAST(x AS BIGINT) * 3000000) > 2147483648 THEN ['total_size'] ELSE [] END)), ',') AS violations FROM boxes GROUP BY page")(
     lambda v: packages.package_violations(v.boxes.select(c("page").alias("path"), F.concat(F.lit("ppt/"), c("ord").cast("string")).alias("name"), (c("x").cast("long") * 3_000_000).alias("size"), (c("w").cast("long") * 20_000).alias("packed"), (c("y") % 9 == 0).alias("encrypted"), F.lit(False).alias("is_dir"))).withColumn("violations", F.array_join("violations", ","))
 )
 query("slide_notes", "WITH r AS (SELECT page AS slide, ord, tag FROM tags WHERE tag IN ('p', 'b')) SELECT slide, CAST(min(ord) AS VARCHAR) AS target, CASE WHEN arg_min(tag, ord) = 'b' THEN 'invalid_notes' END AS problem FROM r GROUP BY slide")(
