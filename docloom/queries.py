@@ -99,12 +99,12 @@ query("tile_budget", "SELECT page, ord, (CASE WHEN x + w <= 200 THEN 1 ELSE (x +
     lambda v: box(v.boxes, budget=g.tile_count(c("x") + c("w"), c("y") + c("h"), 200, 50) * 100)
 )
 _S = "least(13.333::DOUBLE / w, 7.5::DOUBLE / h)"
-query("slide_transform_wide", f"SELECT page, ord, round(w * {_S}, 9) AS cw, round(h * {_S}, 9) AS ch, round((13.333::DOUBLE - w * {_S}) / 2, 9) + 0.0 AS ox, round((7.5::DOUBLE - h * {_S}) / 2, 9) + 0.0 AS oy FROM boxes")(
-    lambda v: (lambda f: box(v.boxes, cw=F.round(f["content_width"], 9), ch=F.round(f["content_height"], 9), ox=F.round(f["offset_x"], 9) + 0.0, oy=F.round(f["offset_y"], 9) + 0.0))(g.contain_fit(c("w").cast("double"), c("h").cast("double"), F.lit(False)))
+query("slide_transform_wide", f"SELECT page, ord, round(w * {_S}, 6) AS cw, round(h * {_S}, 6) AS ch, round((13.333::DOUBLE - w * {_S}) / 2, 6) + 0.0 AS ox, round((7.5::DOUBLE - h * {_S}) / 2, 6) + 0.0 AS oy FROM boxes")(
+    lambda v: (lambda f: box(v.boxes, cw=F.round(f["content_width"], 6), ch=F.round(f["content_height"], 6), ox=F.round(f["offset_x"], 6) + 0.0, oy=F.round(f["offset_y"], 6) + 0.0))(g.contain_fit(c("w").cast("double"), c("h").cast("double"), F.lit(False)))
 )
 _U = f"CASE WHEN least(w * {_S}, h * {_S}) < 1.0 THEN 1.0 / least(w * {_S}, h * {_S}) ELSE 1.0 END"
-query("slide_transform_original", f"SELECT page, ord, round(w * {_S} * {_U}, 9) AS sw, round(h * {_S} * {_U}, 9) AS sh FROM boxes WHERE greatest(w * {_S} * {_U}, h * {_S} * {_U}) <= 56.000000001")(
-    lambda v: (lambda f: box(v.boxes, sw=F.round(f["slide_width"], 9), sh=F.round(f["slide_height"], 9)).filter("sw is not null"))(g.contain_fit(c("w").cast("double"), c("h").cast("double"), F.lit(True)))
+query("slide_transform_original", f"SELECT page, ord, round(w * {_S} * {_U}, 6) AS sw, round(h * {_S} * {_U}, 6) AS sh FROM boxes WHERE greatest(w * {_S} * {_U}, h * {_S} * {_U}) <= 56.000000001")(
+    lambda v: (lambda f: box(v.boxes, sw=F.round(f["slide_width"], 6), sh=F.round(f["slide_height"], 6)).filter("sw is not null"))(g.contain_fit(c("w").cast("double"), c("h").cast("double"), F.lit(True)))
 )
 query("map_box", "WITH f AS (SELECT *, least(13.333::DOUBLE / 1300, 7.5::DOUBLE / 700) AS s FROM boxes) SELECT page, ord, round((13.333::DOUBLE - 1300 * s) / 2 + x / 1300.0::DOUBLE * (1300 * s), 9) + 0.0 AS l, round((7.5::DOUBLE - 700 * s) / 2 + y / 700.0::DOUBLE * (700 * s), 9) + 0.0 AS t, round(w / 1300.0::DOUBLE * (1300 * s), 9) AS wi, round(h / 700.0::DOUBLE * (700 * s), 9) AS hi FROM f")(
     lambda v: (lambda m: box(v.boxes, l=F.round(m["left"], 9) + 0.0, t=F.round(m["top"], 9) + 0.0, wi=F.round(m["width"], 9), hi=F.round(m["height"], 9)))(g.map_box(xywh(), (F.lit(1300.0), F.lit(700.0)), g.contain_fit(F.lit(1300.0), F.lit(700.0), F.lit(False))))
