@@ -1,13 +1,15 @@
 """Severity of toxicity by cumulative-link (proportional odds) regression.
 
-Features are the presence of words and of their first 4, 5 and 6 letters; those whose
-chi-squared against the label passes a threshold (at most FEATURES) are kept.  All
+Features are the presence of words and of their first 4, 5 and 6 letters; those that are
+LIFT times as frequent in toxic texts, with a chi-squared against the label over a
+threshold (at most FEATURES), are kept: what marks clean texts only by chance or by topic
+must not outweigh an insult.  All
 ordered thresholds share one weight vector: P(grade > k) = sigmoid(w.x - theta_k).
 A text is called toxic from the score w.x on that makes the fewest errors in the sample;
 that needn't be where P(grade > 0) passes 0.5, as one weight vector serves all grades.
 
 The labels hold 0/1 only.  Grades: 0 for clean; labelled toxic texts are split at the
-median share of toxic words among their words into 1 (mild) and 2 (severe).
+median number of kept features that they hold into 1 (mild) and 2 (severe).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import bounded_sample, id_in, id_out, prepare
 
-TRAIN_ROWS, FEATURES, CHI2, MIN_HITS, GRADES = 12_000, 1024, 28.0, 3, 3
+TRAIN_ROWS, FEATURES, CHI2, MIN_HITS, LIFT = 12_000, 1024, 28.0, 3, 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -115,17 +117,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = n[0] + n[1]
     gap = F.greatest(F.abs(a * d - b * c) - total / 2, F.lit(0.0))
     chi2 = total * gap * gap / (F.lit(float(n[0])) * n[1] * (a + b) * F.greatest(c + d, F.lit(1)))
-    best = counts.withColumn("chi2", chi2).filter((F.col("chi2") >= CHI2) & (a + b >= MIN_HITS)).orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()
+    best = counts.withColumn("chi2", chi2).filter((F.col("chi2") >= CHI2) & (a + b >= MIN_HITS) & (a * float(n[0]) > LIFT * b * float(n[1]))).orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()
     if not best:
         return None
     place = {r.feature: i for i, r in enumerate(best)}
-    bad = {r.feature for r in best if r.p * n[0] > 4 * r.n * n[1]}
 
     def project(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             sets = [features(t) for t in pdf["text"]]
-            words = [max(1, len(_WORD.findall(t))) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "at": [sorted(place[f] for f in s if f in place) for s in sets], "dose": [len(s & bad) / n for s, n in zip(sets, words, strict=True)]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "at": [sorted(place[f] for f in s if f in place) for s in sets], "dose": [float(len(s & place.keys())) for s in sets]})
 
     rows = texts.mapInPandas(project, "doc_id long, label int, at array<int>, dose double").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r.doc_id)
