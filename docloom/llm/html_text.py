@@ -142,6 +142,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     linked: list[str] = []
     in_link = 0
     at, lower = 0, None
+    end_of_tags = page.rfind(">") + 1  # behind it no tag can end: the search needn't go on
 
     def flush():
         if parts:
@@ -160,12 +161,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 linked.append(text)
 
     while True:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, end_of_tags) if at < end_of_tags else None
         if m is None:
             say(page[at:])
             break
         say(page[at : m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith(">"):
+            break  # a comment without an end takes the rest
         close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
