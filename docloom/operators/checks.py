@@ -30,7 +30,10 @@ KINDS, STATES = ("parent", "child", "text"), ("pending", "pending_gate", "failed
 PHASES = (
     "request_published awaiting_plan plan_recorded actions_executed quality_recorded freeze_committed fallback_required fallback_executed fallback_quality_recorded ready_for_assembly preserved_with_warning"
 ).split()
-VERB_ARITY = {"accept": (1, 1), "discard": (1, 1), "merge": (2, 99), "split": (1, 1), "expand": (1, 1), "shrink": (1, 1), "retry": (1, 1), "suppress_text": (1, 1)}
+VERB_ARITY = {
+    "accept": (1, 1), "discard": (1, 1), "split": (1, 1), "expand": (1, 1), "shrink": (1, 1), "retry": (1, 1), "retry_with_box": (1, 1), "retry_with_points": (1, 1), "suppress_text": (1, 1),
+    "collapse_to_parent": (1, 1), "absorb_residual": (1, 1), "rebuild_background": (1, 99), "merge": (2, 99), "attach_text": (2, 99), "absorb_into_parent": (2, 99),
+}
 SHA = r"^[0-9a-f]{64}$"
 
 
@@ -108,7 +111,7 @@ def plan_violations(actions: DataFrame, nodes: DataFrame) -> DataFrame:
     lost = dangling(actions.select("page", "node"), "known_target", "node", nodes, "node", "page")
     state = nodes.select("page", "node", "state", "kind")
     role = actions.join(state, ["page", "node"])
-    wrong = (F.col("state").isin("frozen", "inactive") & ~F.col("verb").isin("accept", "retry")) | ((F.col("verb") == "suppress_text") != (F.col("kind") == "text"))
+    wrong = (F.col("state").isin("frozen", "inactive") & ~F.col("verb").isin("accept", "retry", "retry_with_box", "retry_with_points")) | ((F.col("verb") == "suppress_text") != (F.col("kind") == "text"))
     roles = role.filter(wrong).select(F.lit("role").alias("rule"), "page", "node")
     return _all(rows, twice, lost, roles)
 

@@ -257,18 +257,24 @@ def entity_count(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def execute_plan(nodes: DataFrame, actions: DataFrame) -> DataFrame:
-    """Nodes after a page's actions, applied in their order: page, node, state, kind, x, y, w, h, z.
+    """Nodes after a page's actions, applied in their order: page, node, parent, state, kind,
+    x, y, w, h, z.
 
     accept freezes, discard and suppress_text make inactive, merge joins the cited nodes
     into a new one, split cuts at the middle of the longer side, expand and shrink move
-    the edges by 5 %, retry makes pending.  Frozen nodes change only by retry; an action
-    on a node that an earlier one used up is skipped.
+    the edges by 5 %, the retries make pending (with a box or points: pending_gate).
+    attach_text puts the cited texts under the node, collapse_to_parent gives a family
+    back to its parent, absorb_into_parent joins the cited children's boxes to it,
+    absorb_residual and rebuild_background leave the table to the raster step and make
+    the node pending.  Frozen nodes change only by a retry; an action on a node that an
+    earlier one used up is skipped.
     """
-    n = nodes.select("page", F.lit(0).alias("what"), "node", "state", "kind", "x", "y", "w", "h", "z", F.lit(None).cast("string").alias("verb"), F.lit(0).alias("ord"), F.array().cast("array<long>").alias("cited"))
-    a = actions.select("page", F.lit(1).alias("what"), "node", F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("kind"), *[F.lit(0).alias(c) for c in "xywhz"], "verb", "ord", "cited")
-    schema = "page long, node long, state string, kind string, x int, y int, w int, h int, z int"
+    n = nodes.select("page", F.lit(0).alias("what"), "node", F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"), "state", "kind", "x", "y", "w", "h", "z", F.lit(None).cast("string").alias("verb"), F.lit(0).alias("ord"), F.array().cast("array<long>").alias("cited"))
+    a = actions.select("page", F.lit(1).alias("what"), "node", F.lit(-1).cast("long").alias("parent"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("kind"), *[F.lit(0).alias(c) for c in "xywhz"], "verb", "ord", "cited")
+    schema = "page long, node long, parent long, state string, kind string, x int, y int, w int, h int, z int"
 
-    names = ("node", "state", "kind", "x", "y", "w", "h", "z")
+    names = ("node", "parent", "state", "kind", "x", "y", "w", "h", "z")
+    retries = {"retry": "pending", "retry_with_box": "pending_gate", "retry_with_points": "pending_gate"}
 
     def run(rows: list[dict]) -> list[tuple]:
         have = {r["node"]: {c: r[c] for c in names} for r in rows if r["what"] == 0}
@@ -276,15 +282,34 @@ def execute_plan(nodes: DataFrame, actions: DataFrame) -> DataFrame:
         used: set = set()
         for act in sorted((r for r in rows if r["what"] == 1), key=lambda r: (r["ord"], r["node"])):
             target = have.get(act["node"])
-            if target is None or act["node"] in used or (target["state"] in ("frozen", "inactive") and act["verb"] != "retry"):
+            if target is None or act["node"] in used or (target["state"] in ("frozen", "inactive") and act["verb"] not in retries):
                 continue
             verb = act["verb"]
             if verb == "accept":
                 target["state"] = "frozen"
             elif verb in ("discard", "suppress_text"):
                 target["state"] = "inactive"
-            elif verb == "retry":
+            elif verb in retries:
+                target["state"] = retries[verb]
+            elif verb in ("absorb_residual", "rebuild_background"):
                 target["state"] = "pending"
+            elif verb == "attach_text":
+                for i in act["cited"]:
+                    if i != act["node"] and i in have and have[i]["kind"] == "text":
+                        have[i]["parent"] = act["node"]
+            elif verb in ("collapse_to_parent", "absorb_into_parent"):
+                up = have.get(target["parent"]) if verb == "collapse_to_parent" else target
+                if up is None or up["state"] == "frozen":
+                    continue
+                family = [p for p in have.values() if p["parent"] == up["node"] and p["kind"] != "text" and p["state"] != "frozen" and (verb == "collapse_to_parent" or p["node"] in set(act["cited"]))]
+                if verb == "absorb_into_parent" and family:
+                    x, y = min(p["x"] for p in [up, *family]), min(p["y"] for p in [up, *family])
+                    w, h = max(p["x"] + p["w"] for p in [up, *family]) - x, max(p["y"] + p["h"] for p in [up, *family]) - y
+                    up.update(x=x, y=y, w=w, h=h)
+                up["state"] = "pending"
+                for p in family:
+                    p["state"] = "inactive"
+                    used.add(p["node"])
             elif verb in ("expand", "shrink"):
                 sign = 1 if verb == "expand" else -1
                 dx, dy = int(target["w"] * 0.05) * sign, int(target["h"] * 0.05) * sign
@@ -309,7 +334,7 @@ def execute_plan(nodes: DataFrame, actions: DataFrame) -> DataFrame:
                         have[fresh] = target | {"node": fresh, "state": "pending"} | part
                     target["state"] = "inactive"
                     used.add(target["node"])
-        return [tuple(v[c] for c in names) for v in have.values()]
+        return [tuple(None if c == "parent" and v[c] == -1 else v[c] for c in names) for v in have.values()]
 
     return by_page(n.unionAll(a), run, schema)
 

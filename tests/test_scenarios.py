@@ -146,6 +146,15 @@ def test_execute_plan(spark):
     assert got[4].state == "inactive" and (got[6].w, got[7].x) == (5, 45)
 
 
+def test_families_in_a_plan(spark):
+    rows = [(1, 1, "parent", None, "inactive", 10, 10, 10, 10, 1), (1, 2, "child", 1, "pending", 0, 0, 5, 5, 2), (1, 3, "child", 1, "pending", 30, 30, 5, 5, 3), (2, 1, "parent", None, "pending", 10, 10, 10, 10, 1), (2, 2, "child", 1, "pending", 0, 0, 5, 5, 2), (2, 3, "text", None, "pending", 0, 0, 5, 5, 3)]
+    nodes = spark.createDataFrame(rows, "page long, node long, kind string, parent long, state string, x int, y int, w int, h int, z int")
+    acts = spark.createDataFrame([(1, 2, "collapse_to_parent", 1, [2]), (1, 3, "accept", 2, [3]), (2, 1, "attach_text", 1, [1, 3]), (2, 1, "absorb_into_parent", 2, [1, 2])], "page long, node long, verb string, ord int, cited array<long>")
+    got = {(r.page, r.node): r for r in greedy.execute_plan(nodes, acts).collect()}
+    assert [got[1, i].state for i in (1, 2, 3)] == ["pending", "inactive", "inactive"]
+    assert got[2, 3].parent == 1 and got[2, 2].state == "inactive" and (got[2, 1].x, got[2, 1].w) == (0, 20) and got[2, 1].parent is None
+
+
 def test_merge_texts_puts_no_blank_between_cjk(spark):
     rows = [(1, 0, 0, 0, 20, 20, "中", 12.0, "#000000", False, 0.9), (1, 1, 22, 0, 20, 20, "文", 12.0, "#000000", False, 0.8), (1, 2, 44, 0, 20, 20, "ok", 12.0, "#010000", False, 0.7)]
     got = greedy.merge_texts(spark.createDataFrame(rows, greedy.TEXT_SCHEMA)).collect()
