@@ -25,13 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import NO_ID, Workspace, id_in, id_out, partitions, prepare
+from docloom.llm.common import NO_ID, Workspace, id_in, id_out, partitions, prepare, trim
 
 #: Fixed values of the word tokenizer: white space by the Unicode property, and words.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+"
 #: A block ends with the document that brings it to so many words, or so many distinct ones.
-BLOCK_WORDS, BLOCK_DISTINCT = 4_000_000, 400_000
+BLOCK_WORDS, BLOCK_DISTINCT = 1_000_000, 150_000
 #: Words are dealt to so many tasks at most: a block has a row for each.
 MOST_BUCKETS = 4096
 
@@ -140,6 +140,8 @@ def number_words(rows: Iterator[pd.DataFrame], part: int, spec: bytes, buckets:
                 number, docs, seen, count = {}, [], 0, count + 1
     if docs:
         yield from block_end(number, docs)
+    del number, docs
+    trim()
 
 
 def encode_words(rows: Iterator[pd.DataFrame], spec: bytes) -> Iterator[pd.DataFrame]:
@@ -197,6 +199,8 @@ def place_ids(docs: pd.DataFrame, words: pd.DataFrame, spec: bytes, keep: bool)
         text = " ".join(map(text_of.__getitem__, c.tolist()))
         row = (doc_id, total, hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest())
         rows.append((*row, own.astype(np.int32), text) if keep else row)
+    del text_of, flat, lists
+    trim()
     return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep)
 
 

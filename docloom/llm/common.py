@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once; keeps a batch of long texts small.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,20 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def trim() -> None:
+    """Give memory that a worker has freed back to the machine: workers live on between
+    stages, and each would keep its largest."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 class Workspace:
     """Tables of one run of an operator, written in the shared folder and read back.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Workspace, id_in, id_out, partitions, possible_members, prepare, windows
+from docloom.llm.common import Workspace, id_in, id_out, partitions, possible_members, prepare, trim, windows
 from docloom.llm.components import components
 
 BASE, RATE, MISS = 1.001, 20.0, 1e-9
@@ -200,6 +200,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_c
         for pdf in batches:
             done = [sets.of(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(h) for h, _ in done], "set": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h, _ in done], "k": [k.astype(">u2").tobytes() for _, k in done]})
+        trim()
 
     table = ws.store(id_out(slim.select(id_in("doc_id"), "text").mapInPandas(sketch, "doc_id long, n long, set binary, k binary")), "sketches")
     real = table.filter("n > 0 and doc_id is not null")

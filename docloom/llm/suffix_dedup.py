@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Workspace, mix, partitions, possible_members, prepare, windows
+from docloom.llm.common import Workspace, mix, partitions, possible_members, prepare, trim, windows
 
 LENGTH, GRAM, HOT = 200, 32, 256
 #: Texts are hashed in pieces of this many windows; groups are sorted in chunks of so many bytes.
-PIECE, CHUNK = 1 << 18, 1 << 20
+PIECE, CHUNK = 1 << 17, 1 << 18
 _POS = np.uint64(20)
 
 
@@ -174,6 +174,7 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield _frame(out)
                 out = [[], [], [], [], []]
         yield _frame(out)
+    trim()
 
 
 def _frame(columns: list[list]) -> pd.DataFrame:
@@ -220,6 +221,8 @@ def _sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             size += len(own)
     if held:
         yield done()
+    held = []
+    trim()
 
 
 # --- the operator -----------------------------------------------------------------
