@@ -377,7 +377,7 @@ query("page_violations", """WITH v AS (SELECT page, coalesce(avg(abs(p - q)) FIL
     u AS (SELECT page, n FROM r UNION SELECT page, CASE page % 3 WHEN 0 THEN 'pptx_reopen_unknown' WHEN 1 THEN 'pptx_reopen' END FROM v WHERE page % 3 <> 2 UNION SELECT page, 'visual_difference' FROM v WHERE mae > 8 OR p95 > 32 OR ch > 0.02)
     SELECT v.page, coalesce(string_agg(n, ',' ORDER BY n), '') AS violations, count(n) = 0 AS accepted FROM v LEFT JOIN u USING (page) GROUP BY v.page""")(
     lambda v: pipelines.page_quality(
-        v.boxes.filter("page < 500").select("page", F.when(c("x") % 3 == 0, F.array(F.lit("edge_loss"))).when(c("x") % 3 == 1, F.array(F.lit("duplicate_pixels"), F.lit("edge_loss"))).otherwise(F.array().cast("array<string>")).alias("violations"), c("w").alias("orphan_pixels"), F.lit(10).alias("edge_width")),
+        v.boxes.select("page", F.when(c("x") % 3 == 0, F.array(F.lit("edge_loss"))).when(c("x") % 3 == 1, F.array(F.lit("duplicate_pixels"), F.lit("edge_loss"))).otherwise(F.array().cast("array<string>")).alias("violations"), c("w").alias("orphan_pixels"), F.lit(10).alias("edge_width")),
         pixel_pairs(v).withColumn("masked", c("n")),
         v.table("embeddings").select(c("vec_id").alias("page"), F.when(c("vec_id") % 3 == 1, "fail").when(c("vec_id") % 3 == 2, "pass").alias("pptx_reopen")),
     ).withColumn("violations", F.array_join("violations", ","))
