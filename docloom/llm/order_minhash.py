@@ -1,15 +1,18 @@
 """Order MinHash fingerprints: signatures that are sensitive to edit distance.
 
-A k-mer of code points is numbered by its occurrence in the text.  A hash of (k-mer,
-occurrence) deals the k-mers into SLOTS bins; each bin keeps its TUPLE smallest ones,
-puts them back in text order and hashes them together.  Two texts agree in a bin only if
-they share these k-mers in the same order.
+A k-mer of code points is numbered by its occurrence in the text.  Each of SLOTS hashes of
+(k-mer, occurrence) keeps its TUPLE smallest ones of the whole text, puts them back in
+text order and hashes them together.  Two texts agree in a slot only if they share these
+k-mers in the same order.
+
+fingerprint() is the cheaper variant with one hash that deals the k-mers into SLOTS bins.
+A bin of a short text holds fewer than TUPLE k-mers, and then no order.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -76,8 +79,45 @@ def fingerprint(cp: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Hashes that are compared at once: a block of slots by all places of the text.
+_BLOCK = 1 << 15
+_SEED = np.arange(1, SLOTS + 1, dtype=np.uint64)
+_FLIP = (mix(_SEED * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)[:, None]
+_FACTOR = (mix(_SEED * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
+
+
+def order_fingerprint(cp: np.ndarray) -> np.ndarray:
+    """SLOTS 32-bit values; 0 only for an empty text (one shorter than K is one k-mer).
+
+    Slot s orders the k-mers by (g ^ _FLIP[s]) * _FACTOR[s], g being a hash of (k-mer,
+    occurrence); equal values go by place.
+    """
+    out = np.zeros(SLOTS, np.uint32)
+    if not len(cp):
+        return out
+    h = windows(cp, min(K, len(cp)))
+    with np.errstate(over="ignore"):
+        g = (mix(h + _occurrences(h) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32)
+        chosen = np.full((SLOTS, TUPLE), len(h), np.int64)
+        step = max(1, _BLOCK // len(h))
+        for s in range(0, SLOTS, step):
+            values = (g ^ _FLIP[s : s + step]) * _FACTOR[s : s + step]
+            slot = np.arange(len(values))
+            for j in range(min(TUPLE, len(h))):
+                least = values.argmin(axis=1)
+                chosen[s : s + step, j] = least
+                values[slot, least] = np.uint32(0xFFFFFFFF)
+        chosen.sort(axis=1)  # text order; len(h) stands for none
+        hp = np.append(h, np.uint64(0))
+        code = np.full(SLOTS, np.uint64(0x51ED270B))
+        for j in range(TUPLE):
+            code = mix(code * np.uint64(0x9E3779B97F4A7C15) + hp[chosen[:, j]])
+    out[:] = (code >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return out
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of agreeing bins among those that either text fills; two empty texts: 1."""
+    """Share of agreeing slots among those that either text fills; two empty texts: 1."""
     filled = int(((a != 0) | (b != 0)).sum())
     return float(((a == b) & (a != 0)).sum() / filled) if filled else 1.0
 
@@ -86,7 +126,7 @@ def _hex(f: np.ndarray) -> str:
     return f.astype(">u4").tobytes().hex()
 
 
-def _follow(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _follow(rows: Iterator[pd.DataFrame], fingerprint: Callable[[np.ndarray], np.ndarray]) -> Iterator[pd.DataFrame]:
     """Rows in order; each document meets the next one.  `carry` rows only end a bucket."""
     held = None
     for pdf in rows:
@@ -107,7 +147,7 @@ def _follow(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Callable[[np.ndarray], np.ndarray] = fingerprint) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Every text is compared with an edited form (its last half replaced by the start of
@@ -115,7 +155,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     next document.  Null texts count as empty; null ids come first; rows with equal ids
     are ordered by text; repeated rows each give a row; a lone row follows itself.  An
     empty table gives an empty result.  Very long texts are one row each.  Other columns
-    are ignored.
+    are ignored.  rule: order_fingerprint, or fingerprint for bins of one hash.
 
     Each row crosses one shuffle: rows are dealt into id ranges of equal counts, and the
     first row of a range also goes to the end of the range before it.
@@ -139,4 +179,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     dealt = slim.select(F.col("_key").alias("doc_id"), "text", "_key", F.explode(places).alias("p")).select("doc_id", "text", "_key", "p.b", "p.carry")
     ordered = dealt.repartitionById(n, "b").sortWithinPartitions("b", "carry", "_key", "text")
-    return id_out(ordered.select("doc_id", "text", "carry").mapInPandas(_follow, schema))
+    return id_out(ordered.select("doc_id", "text", "carry").mapInPandas(lambda rows: _follow(rows, rule), schema))

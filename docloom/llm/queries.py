@@ -22,7 +22,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.fingerprints(read(spark, sf_dir, "documents"))
+    return order_minhash.fingerprints(read(spark, sf_dir, "documents"), rule=order_minhash.order_fingerprint)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
