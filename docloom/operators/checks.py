@@ -68,7 +68,7 @@ def graph_violations(nodes: DataFrame) -> DataFrame:
     Unique ids, unique z among active nodes, parents that exist, no cycle, and no active
     child below an active parent.
     """
-    from docloom.operators.graph import ancestors
+    from docloom.operators.graph import on_cycles
 
     key = ["page", "node"]
     rows = check(nodes, key, node_rules())
@@ -76,7 +76,7 @@ def graph_violations(nodes: DataFrame) -> DataFrame:
     active = nodes.filter("state <> 'inactive'")
     z = active.groupBy("page", "z").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n > 1").select(F.lit("unique_z").alias("rule"), "page", "node")
     lost = dangling(nodes, "parent_exists", "parent", nodes, "node", "page").select("rule", "page", F.col("parent").alias("node"))
-    loops = ancestors(nodes, 32).filter("node = ancestor").select(F.lit("acyclic").alias("rule"), "page", "node").distinct()
+    loops = on_cycles(nodes).select(F.lit("acyclic").alias("rule"), "page", "node")
     up = active.select("page", F.col("node").alias("parent"), F.col("kind").alias("pk"))
     both = active.filter("kind <> 'text'").join(up.filter("pk <> 'text'"), ["page", "parent"]).select(F.lit("active_family").alias("rule"), "page", "node")
     return _all(rows, ids, z, lost, loops, both)

@@ -6,13 +6,13 @@ page's links in the stream of its task, however deep the forest is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.greedy import by_page
 
-MOST_ROUNDS = 200
-
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frontier in the shared checkpoint folder."""
@@ -24,21 +24,51 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ancestors(nodes: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
-    """page, node, ancestor, depth; nodes: page, node, parent.  A cycle ends at `most`."""
+def _parent_links(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("parent is not null").select("page", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"))
 
-    def run(rows: list[dict]) -> list[tuple]:
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """page, node, ancestor, depth; nodes: page, node, parent.
+
+    However deep the forest is; a cycle ends at the first repeated node, so a node on it
+    is its own ancestor.
+    """
+
+    def run(rows: list[dict]) -> Iterator[tuple]:
         above = {r["node"]: r["parent"] for r in rows}
-        out = []
         for node in above:
-            at, depth = above[node], 1
-            while at is not None and depth <= most:
-                out.append((node, at, depth))
+            at, depth, seen = above[node], 1, set()
+            while at is not None and at not in seen:
+                seen.add(at)
+                yield node, at, depth
                 at, depth = above.get(at), depth + 1
+
+    return by_page(_parent_links(nodes), run, "page long, node long, ancestor long, depth int")
+
+
+def on_cycles(nodes: DataFrame) -> DataFrame:
+    """page, node: the nodes on parent cycles of any length, each once; nodes: page, node, parent."""
+
+    def run(rows: list[dict]) -> list[tuple]:
+        above = {r["node"]: r["parent"] for r in rows}
+        walk_of: dict = {}  # the walk that came first to a node: each is walked once
+        out = []
+        for start in above:
+            at = start
+            while at in above and at not in walk_of:
+                walk_of[at] = start
+                at = above[at]
+            if walk_of.get(at) == start:
+                first = at
+                while True:
+                    out.append((at,))
+                    at = above[at]
+                    if at == first:
+                        break
         return out
 
-    up = nodes.filter("parent is not null").select("page", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"))
-    return by_page(up, run, "page long, node long, ancestor long, depth int")
+    return by_page(_parent_links(nodes), run, "page long, node long")
 
 
 def reached(links: DataFrame, seeds: DataFrame, keep_seeds: bool) -> DataFrame:

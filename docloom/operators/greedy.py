@@ -7,7 +7,7 @@ page's rows at a time, whatever its number of pages, and a page costs no call of
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from docloom.functions import text as t
 _KINDS = {"long": "Int64", "int": "Int32", "double": "float64", "boolean": "boolean", "string": "object"}
 
 
-def by_page(df: DataFrame, run: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+def by_page(df: DataFrame, run: Callable[[list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
     """Apply run(rows of a page) -> result rows, without the page, to every page."""
     fields = [f.split() for f in schema.split(", ")]
 
@@ -29,20 +29,25 @@ def by_page(df: DataFrame, run: Callable[[list[dict]], list[tuple]], schema: str
         return pd.DataFrame({n: pd.array(list(v), dtype=_KINDS[k]) if _KINDS[k] != "object" else pd.Series(list(v), dtype="object") for (n, k), v in zip(fields, columns, strict=True)})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[dict] = []
         out: list[tuple] = []
+        for held in pages(batches):
+            for row in run(held):
+                out.append((held[0]["page"], *row))
+                if len(out) > 10_000:
+                    yield frame(out)
+                    out = []
+        yield frame(out)
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[list[dict]]:
+        held: list[dict] = []
         for pdf in batches:
             for r in pdf.to_dict("records"):
                 if held and r["page"] != held[0]["page"]:
-                    out += [(held[0]["page"], *row) for row in run(held)]
+                    yield held
                     held = []
                 held.append(r)
-            if len(out) > 10_000:
-                yield frame(out)
-                out = []
         if held:
-            out += [(held[0]["page"], *row) for row in run(held)]
-        yield frame(out)
+            yield held
 
     return df.repartition("page").sortWithinPartitions("page").mapInPandas(walk, schema)
 
