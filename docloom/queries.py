@@ -319,7 +319,7 @@ query("tail_metrics", "SELECT page, round(avg(abs(p - q)), 9) AS mean_abs, round
 
 
 def _words(v: Views) -> DataFrame:
-    return v.text_items.select("page", F.floor(c("ord") / 3).cast("int").alias("line"), "ord", "x", "y", "w", "h", F.substring("text", 1, 9).alias("text"), F.when(c("ord") % 5 == 0, -1.0).otherwise(c("confidence")).alias("confidence"))
+    return v.text_items.select("page", F.floor(c("ord") / 3).cast("int").alias("line"), "ord", "x", "y", "w", "h", "text", F.when(c("ord") % 5 == 0, -1.0).otherwise(c("confidence")).alias("confidence"))
 
 
 query("line_grouping", """WITH k AS (SELECT page, ord // 3 AS line, ord, x, y, w, h, trim(substr(text, 1, 9)) AS text, CASE WHEN ord % 5 = 0 THEN -1.0 ELSE confidence END AS c FROM text_items WHERE trim(substr(text, 1, 9)) <> ''),

@@ -25,3 +25,18 @@ def test_page_violations_of_all_pages(spark, monkeypatch):
                 found |= set((["edge_loss"], ["duplicate_pixels", "edge_loss"], [])[x % 3]) | ({"orphan_residual"} if w >= 100 else set())
         want[p] = (",".join(sorted(found)), not found)
     assert {r.page: (r.violations, r.accepted) for r in got} == want and len(got) == len(pages)
+
+
+def test_line_grouping_of_whole_texts(spark, monkeypatch):
+    texts = ["a text of more than nine characters ", " " * 12 + "after blanks", "short", "   ", "ninechars", "ninechars and ten", " ünïcode in the text", ""]
+    items = [(page, i, t, 10 * i, 3 * i, 20 + i, 9, 0.6 + i / 100) for page in (1, 700) for i, t in enumerate(texts[: 8 if page == 1 else 4])]
+    got = registered(monkeypatch, spark, "line_grouping", text_items=spark.createDataFrame(items, "page long, ord int, text string, x int, y int, w int, h int, confidence double"))
+    want = set()
+    for page, line in {(r[0], r[1] // 3) for r in items}:
+        own = [r for r in items if (r[0], r[1] // 3) == (page, line) and r[2].strip(" ")]
+        sure = [r[7] for r in own if r[1] % 5]
+        if own and sure and sum(sure) / len(sure) >= 0.5:
+            x, y = min(r[3] for r in own), min(r[4] for r in own)
+            size = max(r[3] + r[5] for r in own) - x, max(r[4] + r[6] for r in own) - y
+            want.add((page, line, "".join(r[2].strip(" ") for r in own), x, y, *size, round(sum(sure) / len(sure), 9)))
+    assert {(r.page, r.line, r.text, r.x, r.y, r.w, r.h, r.confidence) for r in got} == want and len(got) == len(want)
