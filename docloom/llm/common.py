@@ -153,12 +153,13 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def bounded_sample(df: DataFrame, limit: int, *keys: str) -> DataFrame:
-    """At most `limit` rows, chosen by a hash of `keys`: the same rows in every run.
+    """The rows of at most `limit` distinct keys, chosen by a hash: the same in every run.
 
-    Only the keys are sorted; fit models on this, never use it for corpus statistics.
+    Each key counts once, however many rows repeat it.  Only the keys are sorted; fit
+    models on this, never use it for corpus statistics.
     """
-    slim = df.select(*keys).withColumn("_h", F.xxhash64(*keys)).orderBy("_h", *keys).limit(limit).drop("_h")
-    return df.join(F.broadcast(slim.distinct()), list(keys), "left_semi")
+    slim = df.select(*keys).distinct().withColumn("_h", F.xxhash64(*keys)).orderBy("_h", *keys).limit(limit).drop("_h")
+    return df.join(F.broadcast(slim), list(keys), "left_semi")
 
 
 #: Largest bitmap of possible_members(), in bits: 16 MB, whatever the number of ids.

@@ -128,7 +128,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     Rows with a query's own id are not its candidates; other repeated rows count each.
     Fewer than k candidates: all of them.  Other columns are ignored.
 
-    Index: fitted on at most `sample` rows chosen by a hash of the id; every row is
+    Index: fitted on at most `sample` ids chosen by a hash, each once; every row is
     dealt to a leaf.  Leaves that hold many rows are cut into cells of about CELL rows,
     so a vector that is very common is spread over tasks.
     """
@@ -136,7 +136,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     schema = "query_id long, rank int, vec_id long, score double"
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     own = own.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    ids = own.select("vec_id").withColumn("_h", F.xxhash64("vec_id")).orderBy("_h", "vec_id").limit(sample).select("vec_id").distinct()
+    ids = own.select("vec_id").distinct().withColumn("_h", F.xxhash64("vec_id")).orderBy("_h", "vec_id").limit(sample).select("vec_id")
     rows = own.join(F.broadcast(ids), "vec_id").dropDuplicates(["vec_id"]).select("vec_id", "v").toPandas().sort_values("vec_id")  # bounded by sample
     if not len(rows):
         return spark.createDataFrame([], schema)
