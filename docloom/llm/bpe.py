@@ -225,7 +225,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         return number_words(rows, TaskContext.get().partitionId(), spec, buckets)
 
     slim = docs.select(id_in(id_col), F.col(text_col).alias("text"))
-    numbered = Workspace(spark).bucketed(
+    ws = Workspace(spark)
+    numbered = ws.bucketed(
         slim.mapInPandas(number, "block long, kind int, doc_id long, codes binary, bucket int, words binary"), "numbered", "block", partitions(spark)
     )
     lists = numbered.filter("kind = 1").select("block", "bucket", "codes", "words").repartitionById(buckets, "bucket")
@@ -233,7 +234,9 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     texts = numbered.filter("kind = 0").select("block", "doc_id", "codes")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
     # Both sides of a block are bounded by BLOCK_WORDS, BLOCK_DISTINCT and one text.
-    return id_out(texts.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(lambda left, right: place_ids(left, right, spec, keep), schema))
+    done = ws.store(texts.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(lambda left, right: place_ids(left, right, spec, keep), schema), "encoded")
+    ws.keep_only("encoded")  # the numbered texts go, and their catalog entry
+    return id_out(done)
 
 
 def _check(spec: bytes) -> None:

@@ -46,10 +46,13 @@ def partitions(spark: SparkSession) -> int:
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the cluster names none (tests in one process) a temporary folder is set.
+    Only where driver and executors are one process (tests) and none is named, a temporary
+    folder is set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -113,7 +116,7 @@ class Workspace:
 
     def keep_only(self, *names: str) -> None:
         """Drop all other tables, and let executors delete the shuffle files of past steps."""
-        self.drop(*[n for n in list(self.paths) if n not in names])
+        self.drop(*[n for n in [*self.paths, *self.tables] if n not in names])
         self.release()
 
     def release(self) -> None:

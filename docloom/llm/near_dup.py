@@ -6,14 +6,20 @@ maxima, and two registers agree with about the Jaccard likeness.  The registers
 into bands; sets that agree in a band are candidates.  Band sizes follow the threshold so
 that a pair at the threshold is missed with probability MISS.
 
-1. Equal sets are folded into one node (its smallest doc_id).
-2. In each band bucket every node is paired with the smallest node: a star, never all
-   pairs.  The pairs' likeness is estimated jointly from the registers and the known set
-   sizes by maximum likelihood; what isn't far too small is verified on the full sets.
-3. Where a bucket still holds several components, their nodes outside the largest
-   component of the group meet all nodes of the group, in cells of bounded size, and are
-   verified in the same way.  So no link between different components can be lost.
+1. Equal texts are folded, then equal sets, into one node (its smallest doc_id).
+2. In each band bucket every node is paired with the smallest node, the pivot: a star,
+   never all pairs.  The pairs' likeness is estimated jointly from the registers and the
+   known set sizes by maximum likelihood; what isn't far too small is verified on the
+   full sets.
+3. Where the nodes that met a pivot still belong to several components, their sketches
+   meet in cells of bounded size.  Of the pairs whose estimate isn't far too small, first
+   the likeliest of any two components is verified, then those that still join two.
+   So no link between different components can be lost, and whole texts travel only for
+   pairs that the sketches can't rule out.
 Components are found by alternating stars.
+
+Distinct texts are written once, bucketed by their MD5: no later step shuffles texts that
+nobody asks for, at any size.
 """
 
 from __future__ import annotations
@@ -25,15 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.llm.common import Workspace, id_in, id_out, partitions, possible_members, prepare, trim, windows
+from docloom.llm.common import Workspace, id_in, id_out, partitions, prepare, trim, windows
 from docloom.llm.components import components
 
 BASE, RATE, MISS = 1.001, 20.0, 1e-9
-#: Nodes that a pivot meets in one task; in the second round, heads and others of a cell.
-CELL, BLOCK = 64, 512
+#: Texts that a text meets in one cell; in the second round, sketches on each side of a cell.
+CELL, BLOCK = 64, 1024
 _LOG = math.log(BASE)
 
 
@@ -171,89 +178,214 @@ def _cells(batches: Iterator[pd.DataFrame], sets: Sets) -> Iterator[pd.DataFrame
         yield pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
 
-def _verify(asked: DataFrame, docs: DataFrame, sets: Sets, ws: Workspace) -> DataFrame:
+def _verify(asked: DataFrame, nodes: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
     """asked: (g, i, j, role, doc_id, label), a cell being (g, i, j)."""
-    n = partitions(docs.sparkSession)
-    asked = ws.store(asked, "asked")
-    # Only texts that may be asked for are shuffled, the same way at every size.
-    some = docs.filter(possible_members(asked, "doc_id")(F.col("doc_id")))
-    rows = some.join(asked.hint("merge"), "doc_id").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "role", "doc_id")
+    n = partitions(asked.sparkSession)
+    asked = asked.join(nodes.select(F.col("node").alias("doc_id"), "k"), "doc_id")
+    rows = texts.select("k", "text").join(asked.hint("merge"), "k").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "role", "doc_id")
     return rows.select("g", "i", "j", "role", "doc_id", "label", "text").mapInPandas(lambda b: _cells(b, sets), "a long, b long")
 
 
-def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+def _star_cells(stars: DataFrame) -> DataFrame:
+    """(a, b, la, lb): cells of a and at most about CELL of its b."""
+    salts = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("s"), F.first("la").alias("la"))
+    heads = salts.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("role"), F.col("a").alias("doc_id"), F.col("la").alias("label"))
+    tails = stars.join(salts.select("a", "s"), "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("role"), F.col("b").alias("doc_id"), F.col("lb").alias("label"))
+    return heads.unionAll(tails)
 
-    Links hold for sets with den * |A and B| >= num * |A or B|.  Null, empty and blank
-    texts have empty sets and are linked with nothing.  Rows with equal texts are one
-    class; rows that share a doc_id are one node.  Rows without an id are never linked:
-    component_id null, kept true.  An empty table gives an empty result; texts are used
-    whole, whatever their length; other columns are ignored.
+
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text)).alias("k")
+
+
+def _sketched(texts: DataFrame, sets: Sets, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(k, n, node) of every text, and a node for each distinct set: (node, doc, k, n, regs),
+    doc and k being its smallest id and that text.  Node numbers mean nothing else.
+
+    texts: k, doc (smallest id, perhaps null), text.
     """
-    spark = prepare(docs.sparkSession)
-    ws = Workspace(spark)
-    sets = Sets(words, num, den)
-    bands, rows = bands_for(num / den)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sketch(batches):
         for pdf in batches:
             done = [sets.of(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(h) for h, _ in done], "set": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h, _ in done], "k": [k.astype(">u2").tobytes() for _, k in done]})
+            yield pd.DataFrame({"k": pdf["k"], "doc": pdf["doc"], "n": [len(h) for h, _ in done], "set": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h, _ in done], "regs": [k.astype(">u2").tobytes() for _, k in done]})
         trim()
 
-    table = ws.store(id_out(slim.select(id_in("doc_id"), "text").mapInPandas(sketch, "doc_id long, n long, set binary, k binary")), "sketches")
-    real = table.filter("n > 0 and doc_id is not null")
-    nodes = ws.store(real.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("k").alias("k")), "nodes")
+    table = ws.store(id_out(texts.select("k", id_in("doc", "doc"), "text").mapInPandas(sketch, "k binary, doc long, n long, set binary, regs binary"), "doc"), "sketches")
+    nodes = table.filter("doc is not null").groupBy("set").agg(F.min(F.struct("doc", "k")).alias("m"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    nodes = ws.store(nodes.select(F.monotonically_increasing_id().alias("node"), "m.doc", "m.k", "n", "regs", "set"), "nodes")
+    return table.select("k", "n", "set").join(nodes.select("set", "node"), "set", "left").select("k", "n", "node"), nodes
+
+
+def _linked(nodes: DataFrame, texts: DataFrame, sets: Sets, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join all nodes of a component, of both rounds, and their labels."""
+    bands, rows = bands_for(sets.num / sets.den)
     width = 2 * rows
-    keyed = nodes.select("node", "k", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("b")).select("node", F.expr(f"xxhash64(b, substring(k, b * {width} + 1, {width}))").alias("key"))
+    keyed = nodes.select("node", "regs", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("b")).select("node", F.expr(f"xxhash64(b, substring(regs, b * {width} + 1, {width}))").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("node").alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     stars = ws.store(keyed.join(pivots, "key").filter("node > p").select("p", "node").distinct(), "stars")
-    # Cells of a pivot and at most about CELL others.
-    salts = stars.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("s"))
-    heads = salts.select(F.col("p").alias("g"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("role"), F.col("p").alias("doc_id"), F.col("p").alias("label"))
-    tails = stars.join(salts, "p").select(F.col("p").alias("g"), F.pmod(F.xxhash64("node"), F.col("s")).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("role"), F.col("node").alias("doc_id"), F.col("node").alias("label"))
     ws.release()
-    links = ws.store(_verify(heads.unionAll(tails), slim, sets, ws), "links")
+    cells = _star_cells(stars.select(F.col("p").alias("a"), F.col("node").alias("b"), F.col("p").alias("la"), F.col("node").alias("lb")))
+    links = ws.store(_verify(cells, nodes, texts, sets), "links")
+    return _second_round(stars, links, nodes, texts, sets, ws)
+
+
+def _labelled(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
+    """df with the label of a node column; a node without links is its own."""
+    found = labels.select(F.col("node").alias(node), F.col("label").alias("_l"))
+    return df.join(found, node, "left").withColumn(label, F.coalesce("_l", node)).drop("_l")
+
+
+def _second_round(stars: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, sets: Sets, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Adds the links between components whose nodes met the same pivot, but not each other."""
+    labels = components(links, ws, "labels")
+    both = ws.store(_labelled(_labelled(stars, labels, "p", "lp"), labels, "node", "ln"), "both")
+    several = both.groupBy("p").agg(F.min("ln").alias("lo"), F.max("ln").alias("hi")).filter("lo <> hi").select("p")
+    if not several.take(1):
+        return links, labels
+    members = both.join(several, "p").select("p", "node", F.col("ln").alias("label"))
+    sizes = members.groupBy("p", "label").agg(F.count(F.lit(1)).alias("c"))
+    shape = sizes.groupBy("p").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("c"))
+    shape = shape.select("p", F.col("m.label").alias("big"), F.ceil((F.col("c") - F.col("m.c")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("c") / BLOCK).cast("int").alias("all"))
+    rows = members.join(shape, "p").join(nodes.select("node", "n", "regs"), "node")
+    i, j = F.pmod(F.xxhash64("node"), F.col("few")).cast("int"), F.pmod(F.xxhash64("node"), F.col("all")).cast("int")
+    small = F.col("label") != F.col("big")
+    tail = ["node", "label", small.alias("small"), "n", "regs"]
+    heads = rows.filter(small).select("p", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(0).alias("role"), *tail)
+    tails = rows.select("p", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("role"), *tail)
+    cells = heads.unionAll(tails).repartition(partitions(stars.sparkSession), "p", "i", "j").sortWithinPartitions("p", "i", "j", "role", "node")
+    met = cells.mapInPandas(lambda b: _sketch_cells(b, sets), "a long, b long, la long, lb long, near double")
+    pairs = ws.store(met.groupBy("a", "b").agg(F.first("la").alias("la"), F.first("lb").alias("lb"), F.max("near").alias("near")), "pairs")
+    ws.drop("both")
+    if not pairs.take(1):
+        return links, labels
+    # The likeliest pair of any two components first: what it joins needs no other test.
+    lo, hi = F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi")
+    best = pairs.select("*", lo, hi).groupBy("lo", "hi").agg(F.max(F.struct("near", "a", "b", "la", "lb")).alias("m")).select("m.*")
+    first = ws.store(_verify(_star_cells(best.select("a", "b", "la", "lb")), nodes, texts, sets), "links2")
+    links = links.unionAll(first)
     labels = components(links, ws, "labels")
-    more = _second_round(stars, labels, slim, sets, ws)
-    if more is not None:
-        labels = components(links.unionAll(more), ws, "labels2")
-    of_set = nodes.select("set", "node").join(labels, "node", "left").select("set", F.coalesce("label", "node").alias("component_id"))
-    found = table.select("doc_id", "n", "set").join(of_set, "set", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    done = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    left = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    left = ws.store(_labelled(_labelled(left, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b", "la", "lb"), "left")
+    if not left.take(1):
+        return links, labels
+    links = links.unionAll(ws.store(_verify(_star_cells(left), nodes, texts, sets), "links3"))
+    return links, components(links, ws, "labels")
+
+
+def _sketch_cells(batches: Iterator[pd.DataFrame], sets: Sets) -> Iterator[pd.DataFrame]:
+    """Rows by cell, role 0 first: pairs of different labels that may reach the threshold."""
+    at, heads, have = None, [], None
+    for pdf in batches:
+        out: list[list[np.ndarray]] = []
+        regs = np.frombuffer(b"".join(pdf["regs"]), ">u2").reshape(len(pdf), -1).astype(np.uint16)
+        for r, (p, i, j, role, node, label, small, n) in enumerate(zip(*(pdf[c].tolist() for c in ("p", "i", "j", "role", "node", "label", "small", "n")), strict=True)):
+            if (p, i, j) != at:
+                at, heads, have = (p, i, j), [], None
+            if role == 0:
+                heads.append((node, label, n, regs[r]))
+                continue
+            if not heads:
+                continue
+            if have is None:
+                have = [np.array([h[c] for h in heads]) for c in range(3)] + [np.stack([h[3] for h in heads])]
+            ids, labels, sizes, k = have
+            fits = (np.minimum(sizes, n) * sets.den >= sets.num * np.maximum(sizes, n)) & (labels != label)
+            if small:  # both are heads: the pair counts once
+                fits &= ids < node
+            places = np.flatnonzero(fits)
+            if len(places):
+                some = k[places]
+                close = (some == regs[r]).sum(axis=1) >= (sets.least - sets.sigma) * sets.m
+                some, places = some[close], places[close]
+            if len(places):
+                near = likeness((regs[r] > some).sum(axis=1), (regs[r] < some).sum(axis=1), sets.m, np.full(len(places), n), sizes[places])
+                yes = near >= sets.least
+                x, y, lx, ly = ids[places][yes], np.full(int(yes.sum()), node), labels[places][yes], np.full(int(yes.sum()), label)
+                swap = x > y
+                out.append([np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ly, lx), np.where(swap, lx, ly), near[yes]])
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
+        yield pd.DataFrame(dict(zip(("a", "b", "la", "lb", "near"), columns, strict=True))).astype({"a": "int64", "b": "int64", "la": "int64", "lb": "int64"})
+
+
+def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row.
+
+    Links hold for sets with den * |A and B| >= num * |A or B|.  Null, empty and blank
+    texts have empty sets and are linked with nothing.  Rows with equal texts are one
+    class.  Rows that share a doc_id are one node, whatever their texts: all get the
+    component that any of their texts reaches.  Rows without an id are never linked:
+    component_id null, kept true.  An empty table gives an empty result; texts are used
+    whole, whatever their length; other columns are ignored.
+    """
+    spark = prepare(docs.sparkSession)
+    ws = Workspace(spark)
+    sets = Sets(words, num, den)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    real = slim.filter(has_words(F.col("text"))).select(_key(F.col("text")), "doc_id", "text")
+    texts = ws.bucketed(real.groupBy("k").agg(F.min("doc_id").alias("doc"), F.first("text").alias("text")), "texts", "k", partitions(spark))
+    ws.release()
+    of_text, nodes = _sketched(texts, sets, ws)
+    links, labels = _linked(nodes, texts, sets, ws)
+    found = slim.select("doc_id", _key(F.col("text"))).join(of_text.select("k", "n", "node").hint("merge"), "k", "left")
+    found = ws.store(found.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), "node"), "found")
+    ws.keep_only("found", "nodes", "links", "links2", "links3", "labels")
+    shared = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
+    if shared.take(1):
+        shared = found.join(shared.select("doc_id", "a"), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
+        labels = components(links.unionAll(shared), ws, "shared")
+    named = _labelled(nodes.select("node", "doc", "k"), labels, "node", "label")
+    of_node = named.select("node", "label").join(_groups(named).select("label", F.col("m.doc").alias("first")), "label").select("node", "first")
+    done = ws.store(found.join(of_node, "node", "left").select("doc_id", "n_shingles", "first"), "named")
+    # Blank rows of an id that has other texts, too.
+    mixed = done.filter("doc_id is not null").groupBy("doc_id").agg(F.min("first").alias("of_id"), F.max(F.col("first").isNull()).alias("blank")).filter("blank and of_id is not null")
+    done = done.join(mixed.select("doc_id", "of_id"), "doc_id", "left")
+    done = done.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "of_id", "doc_id")).alias("component_id"))
     done = ws.store(done, "classes")  # three numbers a document; all other tables can go
     ws.keep_only("classes")
     return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _second_round(stars: DataFrame, labels: DataFrame, slim: DataFrame, sets: Sets, ws: Workspace) -> DataFrame | None:
-    """Links between components whose nodes meet in a bucket but not through its pivot."""
-    named = labels.withColumnRenamed("node", "n")
-    both = stars.join(named.select(F.col("n").alias("p"), F.col("label").alias("lp")), "p", "left").join(named.select(F.col("n").alias("node"), F.col("label").alias("ln")), "node", "left")
-    both = both.select(F.coalesce("lp", "p").alias("a"), F.coalesce("ln", "node").alias("b")).filter("a <> b").distinct()
-    open_ = ws.store(both, "open")
-    if not open_.take(1):
-        return None
-    groups = components(open_, ws, "groups")
-    groups = groups.unionAll(groups.select(F.col("label"), F.col("label")).distinct())  # label of round 1 -> group
-    members = stars.select("p").union(stars.select("node")).distinct().withColumnRenamed("p", "doc_id")
-    members = members.join(named.select(F.col("n").alias("doc_id"), "label"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
-    members = ws.store(members.join(groups.select(F.col("node").alias("label"), F.col("label").alias("g")), "label"), "members")
-    sizes = members.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("g").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n")).select("g", F.col("m.label").alias("big"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"))
-    rows = members.join(largest, "g")
-    i, j = F.pmod(F.xxhash64("doc_id"), F.col("few")).cast("int"), F.pmod(F.xxhash64("doc_id"), F.col("all")).cast("int")
-    heads = rows.filter("label <> big").select("g", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(0).alias("role"), "doc_id", "label")
-    tails = rows.select("g", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("role"), "doc_id", "label")
-    return ws.store(_verify(heads.unionAll(tails), slim, sets, ws), "links2")
+def _groups(named: DataFrame) -> DataFrame:
+    """Of each label the smallest id, with its text: m.doc, m.k."""
+    return named.groupBy("label").agg(F.min(F.struct("doc", "k")).alias("m"))
+
+
+def _comparable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _comparable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_comparable(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose document is kept: the smallest id of each component."""
-    gone = classes(docs, words, num, den, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    gone = Workspace(docs.sparkSession).store(gone, "gone")
-    maybe = possible_members(gone, id_col)(F.col(id_col).cast("long"))
-    sure = docs.filter(~maybe)
-    return sure.unionByName(docs.filter(maybe).join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns))
+    """One row of each group of near copies: the smallest id; ties by the text's MD5.
+
+    Groups are made by texts, not by ids: where an id is repeated with other texts, each
+    of its texts stands for itself, so none is lost that isn't near to a kept one.  Of
+    repeated rows the smallest stays (by all columns).  Rows without an id, and null,
+    empty and blank texts, are copies of nothing and stay.  All columns are returned as
+    they are, whatever their names; an empty table gives an empty result.
+    """
+    spark = prepare(docs.sparkSession)
+    ws = Workspace(spark)
+    sets = Sets(words, num, den)
+    own = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    in_play = own(id_col).cast("long").isNotNull() & has_words(own(text_col))
+    order = F.struct(own(id_col).cast("long"), *[own(f.name) for f in docs.schema.fields if _comparable(f.dataType)])
+    real = docs.filter(in_play).select(_key(own(text_col)), own(id_col).cast("long").alias("doc"), order.alias("order"), F.struct(*[own(c) for c in docs.columns]).alias("row"))
+    rows = ws.bucketed(real.groupBy("k").agg(F.min("doc").alias("doc"), F.min_by("row", "order").alias("row")), "rows", "k", partitions(spark))
+    ws.release()
+    texts = rows.select("k", "doc", F.col("row")[text_col].alias("text"))
+    _, nodes = _sketched(texts, sets, ws)
+    _, labels = _linked(nodes, texts, sets, ws)
+    stay = _groups(_labelled(nodes.select("node", "doc", "k"), labels, "node", "label")).select("m.k")
+    kept = rows.join(stay.hint("merge"), "k", "left_semi").select("row.*")
+    kept = ws.store(kept.unionAll(docs.filter(~in_play)), "kept")
+    ws.keep_only("kept")
+    return kept

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import near_dup, suffix_dedup
 from docloom.llm.common import Workspace
@@ -78,16 +79,63 @@ def test_empty_table(spark):
     assert suffix_dedup.deduplicate(empty, length_col=None).count() == 0
 
 
+def linked(spark, rows, stars, links=()):
+    docs = spark.createDataFrame([(i, i, t) for i, t in rows], "id long, doc long, text string").select(F.unhex(F.md5("text")).alias("k"), "doc", "text")
+    sets, ws = near_dup.Sets(3, 85, 100), Workspace(spark)
+    _, nodes = near_dup._sketched(docs, sets, ws)
+    nodes = nodes.withColumn("node", F.col("doc"))
+    first = spark.createDataFrame(list(links), "a long, b long")
+    found, _ = near_dup._second_round(spark.createDataFrame(stars, "p long, node long"), first, nodes, docs, sets, ws)
+    return {tuple(sorted((r.a, r.b))) for r in found.collect()} - set(links)
+
+
 def test_second_round_links_what_pivots_miss(spark):
-    """A pivot that is near to nothing: its group is settled by the cells of round two."""
+    """A pivot that is near to nothing: what met it is settled by the cells of round two."""
     base = [f"w{i}" for i in range(100)]
     texts = {1: base[:80] + [f"p{i}" for i in range(20)], 5: base, 9: base[:97] + ["q1", "q2", "q3"]}
     rows = [(i, " ".join(t)) for i, t in texts.items()]
-    stars = spark.createDataFrame([(1, 5), (1, 9)], "p long, node long")
-    none = spark.createDataFrame([], "node long, label long")
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    more = near_dup._second_round(stars, none, docs, near_dup.Sets(3, 85, 100), Workspace(spark))
-    assert {tuple(sorted((r.a, r.b))) for r in more.collect()} == {(5, 9)}
+    assert linked(spark, rows, [(1, 5), (1, 9)]) == {(5, 9)}
+    assert linked(spark, rows[:2], [(1, 5)]) == set()
+
+
+def test_second_round_joins_whole_clusters(spark, monkeypatch):
+    """Two clusters behind a far pivot: small cells, and all of them end as one component."""
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(1, "far " * 5)] + [(10 + i, " ".join([*base[: 299 - i], f"x{i}", f"y{i}"])) for i in range(12)]
+    links = [(10, 10 + i) for i in range(1, 6)] + [(16, 16 + i) for i in range(1, 6)]
+    got = linked(spark, rows, [(1, 10 + i) for i in range(12)], links)
+    up = {i: i for i, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in [*links, *got]:
+        up[root(a)] = root(b)
+    assert len({root(10 + i) for i in range(12)}) == 1 and len(got) < 12
+
+
+REPEATED = [(1, "a b c"), (2, "x y z"), (2, "a b c"), (3, "x y z"), (4, ""), (4, "p q r"), (7, "p q r"), (9, "k l m"), (9, "k l m"), (9, "n o p"), (None, "a b c"), (8, "t u v w x y z 0 1"), (8, "far from all"), (6, "t u v w x y z 0 1"), (9, "t u v w x y z 0 1")]
+
+
+def test_ids_with_several_texts(spark):
+    """Rows of an id are one node of classes(); deduplicate() goes by texts and loses none."""
+    docs = spark.createDataFrame([(i, t, 1, "k", 2) for i, t in REPEATED], DOCS).repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.classes(docs).collect()), key=str)
+    want = [(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4), (4, 1, 4), (7, 1, 4), (9, 1, 6), (9, 1, 6), (9, 1, 6), (8, 5, 6), (8, 1, 6), (6, 5, 6), (9, 5, 6)]
+    assert got == sorted([(i, n, c, i == c) for i, n, c in want] + [(None, 1, None, True)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in near_dup.deduplicate(docs).collect()), key=str)
+    assert kept == sorted([(1, "a b c"), (2, "x y z"), (4, ""), (4, "p q r"), (9, "k l m"), (9, "n o p"), (None, "a b c"), (6, "t u v w x y z 0 1"), (8, "far from all")], key=str)
+
+
+def test_deduplicate_keeps_columns_with_odd_names(spark):
+    rows = [(5, "t w o", {"a": 1}, 1), (3, "t w o", {"b": 2}, 2), (3, "t w o", {"b": 2}, 1), (8, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row map<string,int>, `k.doc` int")
+    got = near_dup.deduplicate(docs)
+    assert got.schema == docs.schema
+    assert sorted((r[0], r[3]) for r in got.collect() if r[0] == 3) == [(3, 1)] and got.count() == 2
 
 
 def test_likeness_estimate():
