@@ -207,5 +207,45 @@ def test_vector_search(spark):
 def test_best_first_order_opens_every_leaf():
     x = np.random.default_rng(1).normal(size=(2000, 4))
     tree = vector_tree.grow(x)
-    order = list(vector_tree.leaf_order(tree, x[0]))
+    order = [leaf for leaf, _ in vector_tree.leaf_order(tree, x[0])]
     assert sorted(order) == list(range(tree["leaves"])) and order[0] == vector_tree.deal(tree, x[:1])[0]
+
+
+def neighbours(rows, queries, k=10):
+    """Brute force: {(id, vector): [(distance, id)]}, each row but one of the query's own."""
+    out = {}
+    for q, v in set(queries):
+        left = list(rows)
+        left.remove((q, v))
+        out[q, v] = sorted((float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), i) for i, w in left)[:k]
+    return out
+
+
+def test_repeated_queries_and_shared_vectors(spark):
+    """Every leaf is open in a table this small, so the result is exact."""
+    rng = np.random.default_rng(3)
+    rows = [(i, tuple(rng.normal(size=4).tolist())) for i in range(30)]
+    rows += [rows[0], rows[10], rows[10], (20, rows[3][1]), (20, tuple(rng.normal(size=4).tolist()))] + [(100 + i, rows[5][1]) for i in range(40)]
+    table = spark.createDataFrame([(i, list(v)) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    want = neighbours(rows, [r for r in rows if r[0] % 10 == 0])
+    got = {}
+    for r in vector_tree.search(table, F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    for q in {q for q, _ in want}:
+        lists = [[(n, d, i) for n, (d, i) in enumerate(w, start=1)] for (x, _), w in want.items() if x == q]
+        assert sorted(got[q]) == sorted(x for one in lists for x in one), q
+
+
+def test_subtrees_split_what_the_top_leaves_large(spark, monkeypatch):
+    for name, value in (("SPLIT", 60), ("CELL", 20), ("SPREAD", 50), ("LEAF", 8)):
+        monkeypatch.setattr(vector_tree, name, value)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12, 6))[rng.integers(0, 12, 1500)] + 0.2 * rng.normal(size=(1500, 6))
+    rows = [(i, tuple(v)) for i, v in enumerate(x.tolist())]
+    table = spark.createDataFrame([(i, list(v)) for i, v in rows], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in vector_tree.search(table, F.col("vec_id") % 50 == 0, sample=64).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    want = neighbours(rows, [r for r in rows if r[0] % 50 == 0])
+    assert all(sorted(x[0] for x in own) == list(range(1, 11)) for own in got.values()) and len(got) == 30
+    assert sum(len({i for _, i in w} & {x[2] for x in got[q]}) for (q, _), w in want.items()) >= 0.9 * 300
