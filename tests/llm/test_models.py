@@ -179,6 +179,49 @@ def test_html_raw_text_and_attributes():
     assert html.unescape("&amp") == "&"
 
 
+ARTICLE = "<h1>A real title of it</h1>" + "".join(f"<p>{'word ' * n}end.</p>" for n in (40, 25, 60, 3, 30))
+WRAPPERS = ['<div class="layout has-sidebar"><article>%s</article></div>', '<article class="post has-comments">%s</article>', '<div class="with-menu"><article>%s</article></div>', '<main class="search-page">%s</main>', '<article class="share-price">%s</article>', '<div class="related-content"><article>%s</article></div>', '<div class="sidebar"><article>%s</article></div>', "<form><div>%s</div></form>", "<div>%s</div>", '<section id="related-work">%s</section>', '<div class="comments"><article>%s</article></div>', "%s"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_html_wrappers_keep_the_article(wrapper):
+    """Names of wrappers don't empty a page, and pages without an article element pass."""
+    menu = "<ul>" + "".join(f"<li><a href=x>{w}</a></li>" for w in ("Home", "About us", "Contact")) + "</ul>"
+    rest = "<aside><p>Buy this now and save a lot</p></aside><section class=page-comments><article class=comment><p>I read it all and like it.</p></article></section><footer>All rights reserved</footer>"
+    page = f"<html><body><nav>{menu}</nav>{menu}{wrapper % ARTICLE}{rest}</body></html>"
+    want = re.sub(r" *</p>| *</h1>", "\n", ARTICLE).replace("<p>", "").replace("<h1>", "").strip()
+    assert html_text.main_text(page) == want
+
+
+def test_html_menus_inside_the_article():
+    menu = "<ul>" + "".join(f"<li><a href=x>{w}</a></li>" for w in ("Home", "About us", "Contact")) + "</ul>"
+    page = f"<article><h1>Some title here</h1>{menu}<p>{'word ' * 40}</p><p><a href=y>a single link of the article, alone</a></p><p>{'more ' * 30}</p></article>"
+    assert html_text.main_text(page).split("\n") == ["Some title here", ("word " * 40).strip(), "a single link of the article, alone", ("more " * 30).strip()]
+
+
+def test_html_features_against_brute_force():
+    """share, holds and side by walking a page of well-nested elements with another parser."""
+    import xml.etree.ElementTree as ET
+
+    page = '<body><nav><p>a b</p></nav><div class="sidebar"><article><h1>t u</h1><p>one two three four five six</p><div class="ad"><p>x y</p></div></article></div><aside><p>k l m</p></aside><p>z</p></body>'
+    root = ET.fromstring(page)
+    up = {c: p for p in root.iter() for c in p}
+    leaves = [e for e in root.iter() if e.text]
+    chain = lambda e: [e] + (chain(up[e]) if e in up else [])
+    words = lambda e: sum(len(x.text.split()) for x in e.iter() if x.text)
+    marked = lambda e: e.tag in ("nav", "aside") or e.get("class") in ("sidebar", "ad")
+    article, total = root.find(".//article"), words(root)
+    want = []
+    for e in leaves:
+        mark = next((a for a in chain(e) if marked(a)), None)
+        want.append((100 if mark is None else 100 * words(mark) / total, 1 if mark is None else article in list(mark.iter()), 1 if article in chain(e) else -1))
+    found, around = html_text.blocks(page)
+    assert [b.text for b in found] == [e.text for e in leaves]
+    assert np.allclose(html_text.table(found, around)[:, 6:9], np.array(want, float))
+    tree = repr(html_text.trained())
+    assert {int(m) for m in re.findall(r"\((\d+),", tree)} >= {0, 1, 2, 3, 4, 5, 6, 8}  # neighbours decide, too
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.3, (150, 8)) for c in rng.normal(0, 2, (8, 8))] + [np.tile(rng.normal(0, 2, 8), (300, 1))])
