@@ -8,8 +8,8 @@ and link density, those of its neighbours, and where it stands:
   that are less than half link) inside, and whether the page's article is inside too.  A
   block in no such element has 100 and 1, and so has one in a mere wrapper of the page.
 * side: 1 inside the page's article, -1 outside it, 0 if the page has none.  That is the
-  smallest article or main element with at least half of the plain words that stand in
-  articles or in no boilerplate element.
+  smallest article or main element with at least half of the plain words that stand in no
+  boilerplate element, or in one that holds half of all plain words.
 * heading.
 
 A small CART tree, trained on the labelled table below, keeps or drops each block; no
@@ -306,16 +306,16 @@ def table(found: list[Block], around: dict[int, tuple[int, ...]]) -> np.ndarray:
     x[1:, 2], x[1:, 3] = words[:-1], links[:-1]
     x[:-1, 4], x[:-1, 5] = words[1:], links[1:]
     inside: dict[int, float] = defaultdict(float)
-    plain = base = 0.0
+    plain = 0.0
     for b, w, density in zip(found, words.tolist(), links.tolist(), strict=True):
         if density < 50:
             plain += w
-            base += w if b.articles or not b.marks else 0
             for e in (*b.articles, *b.marks):
                 inside[e] += w  # an element that is both counts double: see below
     both = set(around) & {e for b in found for e in b.marks}
     for e in both:
         inside[e] /= 2
+    base = sum(w for b, w, density in zip(found, words.tolist(), links.tolist(), strict=True) if density < 50 and (not b.marks or 2 * inside[b.marks[-1]] >= plain))
     own = min((e for e in around if 2 * inside[e] >= base > 0), key=lambda e: (inside[e], -e), default=None)
     if own is not None:
         held = set(around[own])
