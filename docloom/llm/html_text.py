@@ -5,11 +5,12 @@ and link density, those of its neighbours, and where it stands:
 
 * share, holds: of the innermost element around it that names itself boilerplate (by its
   tag, or by a class, id or role token), the percentage of the page's plain words (blocks
-  that are less than half link) inside, and whether the page's article is inside too.  A
-  block in no such element has 100 and 1, and so has one in a mere wrapper of the page.
+  that are less than half link) inside, and whether the page's article is inside too (if
+  it has none its first h1; failing both, half of the plain words).  A block in no such
+  element has 100 and 1; one in a mere wrapper of the page is near to that.
 * side: 1 inside the page's article, -1 outside it, 0 if the page has none.  That is the
   smallest article or main element with at least half of the plain words that stand in no
-  boilerplate element, or in one that holds half of all plain words.
+  boilerplate element, or in a wrapper: one around an article or h1 that holds half of all.
 * heading.
 
 A small CART tree, trained on the labelled table below, keeps or drops each block; no
@@ -102,9 +103,49 @@ LABELLED = """
  20  80    5 100    6 100    2 0  1 0  0
   1   0   25   0   30   0    1 0  1 0  0
  10   0    3   0   25   0    4 0  1 0  0
- 60   0   50   0   70   0   90 0  0 0  1
- 35   0   80   0   40   0   80 0  0 0  1
-120   5    9   0   60   0   75 0  0 0  1
+ 60   0   50   0   70   0   90 1  0 0  1
+ 35   0   80   0   40   0   80 1  0 0  1
+120   5    9   0   60   0   75 1  0 0  1
+ 16   0    5   0    0   0   53 0  1 0  0
+ 16   0    5   0    0   0   55 0  0 0  0
+ 60   0   50   0   70   0   90 0 -1 0  0
+ 35   0   80   0   40   0   80 0  0 0  0
+120   5    9   0   60   0   75 0 -1 0  0
+ 50   0    9   0   60   0   65 0  1 0  0
+  9   0    3 100   40   0   70 0  1 1  0
+ 80   3   40   0   10   0   85 0  1 0  0
+ 30  10    5   0    2   0   95 0  1 0  0
+ 50   0    3 100    1 100   90 0  1 0  0
+ 16 100   12 100   15 100   70 0  1 0  0
+ 45   0   60   0    8   0   66 0  0 0  0
+ 60   5   45   0   30   0   92 0  0 0  0
+ 40   0    3 100    2 100   84 0  0 0  0
+  8   0    3 100   60   0   77 0  0 1  0
+120   2    0   0    0   0  100 0  0 0  0
+ 22   5   50   0    3 100   62 0  0 0  0
+ 70   0   90   0   55   0   72 0 -1 0  0
+ 50   5   60   0   45   0   96 0 -1 0  0
+  3   0    3   0    0   0  100 1  1 0  1
+  2   0   40   0    0   0  100 1  1 0  1
+  1   0    5   0    0   0  100 1  1 0  1
+  4   0   60   0    0   0  100 1  1 0  1
+  6   0    2 100    0   0  100 1  1 0  1
+  5   0    0   0    0   0  100 1  1 0  1
+  1   0    2 100    3 100  100 1  1 0  1
+  2   0   30   0    2 100  100 1  1 0  1
+  4   0    3 100    5   0  100 1  1 0  1
+  1   0    0   0    2 100  100 1  1 0  1
+  7   0   12 100   16 100  100 1  1 0  1
+  4   0   60   0   15 100  100 1  1 0  1
+  3   0    1 100    0   0  100 1  1 0  1
+ 20   0    4   0    0   0  100 1  1 0  1
+  1 100   40   0    0   0  100 1  1 0  1
+  3 100    6   0    0   0  100 1  1 0  1
+  2 100    0   0   30   0  100 1  1 0  1
+  5   0    1 100    2 100    3 1  0 1  0
+  8   0    4 100   12   0    6 1  0 0  0
+ 12   0    5   0   40   0   10 1 -1 0  0
+ 30   0    8   0   60   0   14 1  0 0  0
  70   0   90   0   55   0  100 1 -1 0  1
  50   5   60   0   45   0  100 1 -1 0  1
  48   0   35   0    3 100  100 1 -1 0  1
@@ -150,6 +191,12 @@ LABELLED = """
   2 100   40   0    3   0  100 1  0 0  0
   3 100   60   0    5   0  100 1  0 0  0
   4 100   30   0    0   0  100 1  0 0  0
+ 10   0   12 100   14 100  100 1  0 0  0
+  9   0   20 100   18 100  100 1  0 0  0
+ 12   0   16 100   20 100  100 1  0 0  0
+ 10   0   12   0   14   0  100 1  0 0  1
+  9   0   20   0   18   0  100 1  0 0  1
+ 12   0   16   0   20   0  100 1  0 0  1
   3   0    2   0    1 100  100 1  0 1  0
   5   0    3 100    2 100  100 1  0 0  0
 """
@@ -315,12 +362,14 @@ def table(found: list[Block], around: dict[int, tuple[int, ...]]) -> np.ndarray:
     both = set(around) & {e for b in found for e in b.marks}
     for e in both:
         inside[e] /= 2
-    base = sum(w for b, w, density in zip(found, words.tolist(), links.tolist(), strict=True) if density < 50 and (not b.marks or 2 * inside[b.marks[-1]] >= plain))
+    titles = [b.marks for b in found if b.title]
+    wrappers = {e for marks in (*around.values(), *titles) for e in marks}
+    base = sum(w for b, w, density in zip(found, words.tolist(), links.tolist(), strict=True) if density < 50 and (not b.marks or (b.marks[-1] in wrappers and 2 * inside[b.marks[-1]] >= plain)))
     own = min((e for e in around if 2 * inside[e] >= base > 0), key=lambda e: (inside[e], -e), default=None)
-    if own is not None:
-        held = set(around[own])
+    if own is not None or titles:
+        held = set(around[own] if own is not None else titles[0])
     else:
-        held = set(next((b.marks for b in found if b.title), ()))
+        held = {e for b in found for e in b.marks if 2 * inside[e] >= plain}
     for i, b in enumerate(found):
         x[i, 6], x[i, 7] = 100, 1
         if b.marks:
