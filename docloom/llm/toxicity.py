@@ -4,12 +4,12 @@ Features are the presence of words and of their first 4, 5 and 6 letters; those
 LIFT times as frequent in toxic texts, with a chi-squared against the label over a
 threshold (at most FEATURES), are kept: what marks clean texts only by chance or by topic
 must not outweigh an insult.  All
-ordered thresholds share one weight vector: P(grade > k) = sigmoid(w.x - theta_k).
-A text is called toxic from the score w.x on that makes the fewest errors in the sample;
-that needn't be where P(grade > 0) passes 0.5, as one weight vector serves all grades.
+ordered thresholds share one weight vector: P(grade > k) = sigmoid(w.x - theta_k).  The
+likeliest grade decides, and a text is toxic if it isn't 0.
 
-The labels hold 0/1 only.  Grades: 0 for clean; labelled toxic texts are split at the
-median number of kept features that they hold into 1 (mild) and 2 (severe).
+Grades are the label's own values, in order: a table with 0, 1, 2, 3 gives three
+thresholds.  The labels at hand hold 0 and 1 only, so the registered query has two grades
+and one threshold, and its severity is the probability of the upper one.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_sample, id_in, id_out, prepare
+from docloom.llm.common import Workspace, bounded_sample, id_in, id_out, prepare
 
 TRAIN_ROWS, FEATURES, CHI2, MIN_HITS, LIFT = 12_000, 1024, 28.0, 3, 4.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -59,7 +59,7 @@ def fit(x: np.ndarray, grades: np.ndarray, steps: int = 400, ridge: float = 1e-5
     """x: presence matrix; grades: 0..K-1.  Full-batch Adam on the ordinal likelihood."""
     k = int(grades.max()) + 1
     w = np.zeros(x.shape[1], np.float32)
-    free = np.array([0.0] + [0.5] * (k - 2), np.float64)  # theta_0, then log-free gaps
+    free = np.array([0.0] + [0.5] * (k - 2))  # theta_0, then log-free gaps
     above = np.array([max((grades > t).mean(), 1e-6) for t in range(k - 1)])
     free[0] = np.log((1 - above[0]) / above[0])
     m = [np.zeros_like(w), np.zeros_like(free)]
@@ -90,24 +90,20 @@ def fit(x: np.ndarray, grades: np.ndarray, steps: int = 400, ridge: float = 1e-5
     return {"weights": w, "theta": theta}
 
 
-def cutoff(s: np.ndarray, label: np.ndarray) -> float:
-    """The score with the fewest errors on either side; of equal ones the widest gap's middle."""
-    order = np.argsort(s, kind="stable")
-    v, bad = s[order].astype(np.float64), label[order]
-    errors = np.concatenate([[0], np.cumsum(bad)]) + np.concatenate([np.cumsum((1 - bad)[::-1])[::-1], [0]])
-    edge = np.concatenate([[v[0] - 1], v, [v[-1] + 1]])
-    gap = np.diff(edge)
-    best = max((i for i in range(len(v) + 1) if gap[i] > 0), key=lambda i: (-errors[i], gap[i]))
-    return float((edge[best] + edge[best + 1]) / 2)
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = TRAIN_ROWS) -> dict | None:
-    """Fit on at most `limit` labelled rows; None if the labels don't hold both classes."""
-    prepare(docs.sparkSession)
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("label"))
+    """Fit on at most `limit` labelled ids; None if their labels hold only one grade or none.
+
+    Labels are grades: numbers, of which only the order counts; below 0 counts as 0.  Of an
+    id with several labels the largest counts; of an id with several texts the one with the
+    smallest hash, and of equal hashes the smallest text.
+    """
+    ws = Workspace(prepare(docs.sparkSession))
+    grade = F.greatest(F.col(label_col).cast("double"), F.lit(0.0))
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), grade.alias("label"))
     known = bounded_sample(known, limit, "doc_id", "label").groupBy("doc_id").agg(F.max("label").alias("label"))  # bounded by limit
     slim = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = slim.join(F.broadcast(known), "doc_id")
+    one = slim.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"))
+    texts = ws.store(one.select("doc_id", F.col("label").alias("own"), (F.col("label") > 0).cast("int").alias("label"), F.col("m.text").alias("text")), "labelled")
     size = texts.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     counts = texts.select("text", "label").mapInPandas(_count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     n = {r.label: r.n for r in size.collect()}
@@ -125,22 +121,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def project(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             sets = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "at": [sorted(place[f] for f in s if f in place) for s in sets], "dose": [float(len(s & place.keys())) for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "own": pdf["own"], "at": [sorted(place[f] for f in s if f in place) for s in sets]})
 
-    rows = texts.mapInPandas(project, "doc_id long, label int, at array<int>, dose double").dropDuplicates(["doc_id"]).collect()
+    rows = texts.mapInPandas(project, "doc_id long, own double, at array<int>").collect()  # bounded by limit
+    ws.drop("labelled")
     rows.sort(key=lambda r: r.doc_id)
     x = np.zeros((len(rows), len(place)), np.float32)
     for i, r in enumerate(rows):
         x[i, r["at"]] = 1
-    label, dose = np.array([r.label for r in rows]), np.array([r.dose for r in rows])
-    grades = label.astype(np.int64)
-    grades[(label == 1) & (dose > np.median(dose[label == 1]))] = 2
-    model = fit(x, grades)
-    return model | {"place": place, "cut": cutoff(x @ model["weights"], label)}
+    grades = np.unique([r.own for r in rows], return_inverse=True)[1].astype(np.int64)
+    return fit(x, grades) | {"place": place}
 
 
 def _scores(texts: list, model: dict | None) -> tuple[np.ndarray, np.ndarray]:
-    """P(grade > k), a column for each threshold, and which texts are toxic."""
+    """P(grade > k), a column for each threshold, and the likeliest grade (ties: the lowest)."""
     theta = model["theta"] if model else np.zeros(1)
     s = np.full(len(texts), -np.inf)
     if model:
@@ -150,7 +144,7 @@ def _scores(texts: list, model: dict | None) -> tuple[np.ndarray, np.ndarray]:
                 s[i] = sum(weights[place[f]] for f in sorted(features(t) & place.keys()))
     up = 1 / (1 + np.exp(-np.clip(s[:, None] - theta[None, :], -700, 40)))
     up[np.isneginf(s)] = 0
-    return up, s >= (model["cut"] if model else np.inf)
+    return up, np.column_stack([1 - up[:, :1], up[:, :-1] - up[:, 1:], up[:, -1:]]).argmax(axis=1)
 
 
 def severity(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,9 +158,8 @@ def severity(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
 
     def score(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            up, toxic = _scores(pdf["text"].tolist(), model)
-            grade = np.column_stack([1 - up[:, :1], up[:, :-1] - up[:, 1:], up[:, -1:]]).argmax(axis=1)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "severity": up.sum(axis=1), "p_toxic": up[:, 0], "grade": np.where(toxic, np.maximum(grade, 1), 0).astype(np.int32), "toxic": toxic})
+            up, grade = _scores(pdf["text"].tolist(), model)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "severity": up.sum(axis=1), "p_toxic": up[:, 0], "grade": grade.astype(np.int32), "toxic": grade > 0})
 
     slim = docs.select(id_in(id_col), F.col(text_col).alias("text"))
     return id_out(slim.mapInPandas(score, "doc_id long, severity double, p_toxic double, grade int, toxic boolean"))
@@ -181,6 +174,6 @@ def reject(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataF
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array(~_scores(batch.column(at).to_pylist(), model)[1]))
+            yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), model)[1] == 0))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -55,17 +55,54 @@ def test_language_on_held_out_rows(spark, docs):
 def test_nystroem_equals_the_full_kernel_when_all_rows_are_landmarks():
     rng = random.Random(1)
     texts = [words(rng, a, 30) for a in ("abcd", "vwxyz") for _ in range(20)]
-    flags = np.stack([language_id.presence(t) for t in texts])
+    sets = [language_id.presence(t) for t in texts]
     y = ["a"] * 20 + ["b"] * 20
-    model = language_id.fit(flags, y)
-    x = language_id._norm(flags)
-    k = (x @ x.T).astype(float)
+    grams = [{t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)} for t in texts]
+    k = np.array([[len(p & q) / (len(p) * len(q)) ** 0.5 for q in grams] for p in grams])
+    assert np.allclose(language_id.kernel(sets, sets), k, atol=5e-3)  # hashing hardly ever joins two n-grams
+    model = language_id.fit(sets, k, y)
     t = np.where(np.array(y)[:, None] == np.array(["a", "b"]), 1.0, -1.0)
     c = k - k.mean(axis=0)
     centred = c - c.mean(axis=1, keepdims=True)
     want = centred @ np.linalg.solve(centred + language_id.RIDGE * len(y) / 100 * np.eye(len(y)), t - t.mean(axis=0)) + t.mean(axis=0)
-    marks = language_id._norm(np.unpackbits(model["marks"], axis=1))
-    assert np.allclose((x @ marks.T) @ model["weights"] + model["offset"], want, atol=0.02)
+    assert np.allclose(language_id.Scorer(model).margins(sets), want, atol=0.02)
+
+
+def test_language_rows_against_brute_force(spark, docs):
+    """Every row of identify(): plain sets of n-grams, the Nystroem map and ridge by hand."""
+    rows = [r for r in corpus() if r[0] is not None and r[0] < 120] + [(5, "a text that is not the one of row five", "en", None, None, None, None, None)]
+    table = spark.createDataFrame(rows, DOCS).repartition(3)
+    model = language_id.train(table, F.lit(True))
+    got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in language_id.identify(table, model, "doc_id", "text", F.col("text").alias("text_")).withColumnRenamed("text_", "text").collect()}
+    by = {}
+    for i, text, lang, *_ in rows:
+        by.setdefault((i, lang), []).append(text)
+    h = {r.text: r.h for r in table.select("text", F.xxhash64("text").alias("h")).collect()}
+    keys = sorted(by)
+    texts = [min(by[key], key=lambda t: (h[t], t)) for key in keys]
+    grams = lambda t: {t.lower()[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)}
+    k = lambda p, q: len(p & q) / (len(p) * len(q)) ** 0.5
+    sets = [grams(t) for t in texts]
+    marks = [sets[i] for i in language_id.landmarks([lang for _, lang in keys])]
+    values, vectors = np.linalg.eigh(np.array([[k(p, q) for q in marks] for p in marks]))
+    root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
+    z = np.array([[k(p, q) for q in marks] for p in sets]) @ root
+    names = sorted({lang for _, lang in keys})
+    target = np.array([[1.0 if lang == c else -1.0 for c in names] for _, lang in keys])
+    mean, offset = z.mean(axis=0), target.mean(axis=0)
+    w = np.linalg.solve((z - mean).T @ (z - mean) + language_id.RIDGE * len(keys) / 100 * np.eye(z.shape[1]), (z - mean).T @ (target - offset))
+    assert len(got) == len({(r[0], r[1]) for r in rows})
+    for (_, text), (lang, score) in got.items():
+        margin = (np.array([k(grams(text), q) for q in marks]) @ root - mean) @ w + offset
+        p = np.exp(3 * margin) / np.exp(3 * margin).sum()
+        assert lang == names[int(margin.argmax())] and score == pytest.approx(p.max(), abs=1e-3)
+
+
+def test_long_texts_do_not_fill_the_n_gram_space():
+    rng = random.Random(5)
+    x = language_id.presence(words(rng, "abcdefghijklmnopqrstuvwxyz", 5000))
+    share = np.bincount(x >> language_id.BITS, minlength=4) / 2**language_id.BITS
+    assert share.max() < 0.15
 
 
 def test_toxicity_on_held_out_labels(spark, docs):
@@ -77,13 +114,59 @@ def test_toxicity_on_held_out_labels(spark, docs):
         if i is not None and i < 400:
             assert r.toxic == (i % 5 == 0), i
     assert not any(got[i].toxic or got[i].severity for i in (1000, 1001))
-    assert all(0 <= r.severity <= 2 and r.grade in (0, 1, 2) and (r.grade > 0) == r.toxic for r in got.values())
+    assert all(0 <= r.severity <= 1 and r.severity == r.p_toxic and r.grade == (r.p_toxic > 0.5) == r.toxic for r in got.values())
     kept = toxicity.reject(docs, model)
     assert kept.schema == docs.schema and kept.count() == sum(not r.toxic for r in toxicity.severity(docs, model).collect())
     assert toxicity.train(docs, labels.limit(0)) is None
     assert toxicity.severity(docs, None).filter("toxic").count() == 0
 
 
+def test_toxicity_rows_against_brute_force(spark):
+    """Grades 0, 1, 2 and 4, an id with two texts: feature choice and scores by plain Python."""
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(300):
+        grade = (0, 0, 1, 2, 4)[i % 5]
+        parts = words(rng, "abcdet", 20).split() + [rng.choice(["nasty", "vile"]) for _ in range(grade > 0)] + ["scumbag"] * (grade > 1) + ["worthless"] * (grade > 3)
+        rng.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+        labels.append((i, grade))
+    rows += [(7, "another text of seven"), (8, None), (None, "vile"), (900, ""), (901, "Scumbag! worthless vile")]
+    labels += [(2, 0), (7, None), (None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    h = {r.text: r.h for r in docs.filter("text is not null").select("text", F.xxhash64("text").alias("h")).collect()}
+    texts = {}
+    for i, t in rows:
+        if i is not None and i < 300 and t is not None:
+            texts[i] = min(texts.get(i, t), t, key=lambda t: (h[t], t))
+    bad = {i: max(g for j, g in labels if j == i and g is not None) > 0 for i in texts}
+    p, n = Counter(), Counter()
+    for i, t in texts.items():
+        (p if bad[i] else n).update(toxicity.features(t))
+    n1, n0 = sum(bad.values()), len(bad) - sum(bad.values())
+    want = set()
+    for f in p:
+        a, b = p[f], n[f]
+        c, d = n1 - a, n0 - b
+        chi2 = (n0 + n1) * max(abs(a * d - b * c) - (n0 + n1) / 2, 0) ** 2 / (n0 * n1 * (a + b) * max(c + d, 1))
+        if chi2 >= toxicity.CHI2 and a + b >= toxicity.MIN_HITS and a * n0 > toxicity.LIFT * b * n1:
+            want.add(f)
+    assert set(model["place"]) == want and len(model["theta"]) == 3 and (np.diff(model["theta"]) > 0).all()
+    seen = toxicity.severity(docs, model).collect()
+    by = {}
+    for r in seen:
+        by.setdefault(r.doc_id, []).append(r)
+    assert len(seen) == len(rows)
+    for i, t in rows:
+        s = sum(float(model["weights"][model["place"][f]]) for f in toxicity.features(t or "") & want)
+        up = [1 / (1 + np.exp(theta - s)) if t else 0.0 for theta in model["theta"]]
+        share = [1 - up[0], up[0] - up[1], up[1] - up[2], up[2]]
+        assert any(r.severity == pytest.approx(sum(up), abs=1e-9) and r.grade == int(np.argmax(share)) and r.toxic == (r.grade > 0) for r in by[i])
+    grades = {i: by[i][0].grade for i in range(300) if i != 7}
+    assert np.mean([grades[i] == (0, 0, 1, 2, 3)[i % 5] for i in grades]) > 0.95 and by[901][0].grade == 3
+
+
 def test_ordinal_fit_orders_three_grades():
     rng = np.random.default_rng(2)
     x = (rng.random((600, 3)) < 0.5).astype(np.float32)
