@@ -11,8 +11,10 @@ together.  So the corpus is first dealt by content, without loss:
 * Equal contexts are folded and counted.  A context that occurs once, with an anchor no
   other context has, can't hold a repeated window.  A context that occurs twice is
   repeated throughout.  What is left are the distinct contexts that share an anchor.
-* An anchor with more than HOT distinct contexts is dealt further, by the second smallest
-  hash in a window, so a very common passage doesn't meet in one task.
+* A group of more than HOT distinct contexts is dealt again, by the 2 smallest hashes in a
+  window, then by the 4, 8, ... smallest, until it is no larger, and equal contexts are
+  folded each time: a very common passage, or a template with a million variants, doesn't
+  meet in one task.  Windows with all hashes in common are equal, or turns of one period.
 
 Within each group the contexts are suffix-sorted by the difference-cover algorithm modulo
 3: the triples at places 1 and 2 mod 3 are sorted and named, the names are sorted by
@@ -140,16 +142,11 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - width)], x[w - width :]) if w > width else x
 
 
-def anchors(a: np.ndarray, length: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of the bytes a with one anchor: (gram hash, first, last window).
-
-    skip: a gram hash that can't be an anchor (for the second smallest).
-    """
+def anchors(a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of the bytes a with one anchor: (gram hash, first, last window)."""
     h = windows(a, GRAM)
     with np.errstate(over="ignore"):
         key = ((h >> _POS) << _POS) | (np.uint64((1 << 20) - 1) - np.arange(len(h), dtype=np.uint64))
-    if skip is not None:
-        key[h == np.uint64(skip)] = np.uint64(2**64 - 1)
     low = _sliding_min(key, length - GRAM + 1)
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     last = np.append(first[1:], len(low)) - 1
@@ -157,6 +154,18 @@ def anchors(a: np.ndarray, length: int, skip: int | None = None) -> tuple[np.nda
     return h[np.minimum(at, len(h) - 1)], first, last
 
 
+def finer(a: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with the same `most` smallest gram hashes: (their hash, first, last)."""
+    each = np.lib.stride_tricks.sliding_window_view(windows(a, GRAM), length - GRAM + 1)
+    some = np.sort(np.partition(each, most - 1, axis=1)[:, :most] if most < each.shape[1] else each, axis=1)
+    key = np.full(len(some), np.uint64(most))
+    with np.errstate(over="ignore"):
+        for j in range(some.shape[1]):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + some[:, j])
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], first, np.append(first[1:], len(key)) - 1
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts -> a row for each run: anchor, hash of the context, text, first, last window."""
     for pdf in batches:
@@ -183,22 +192,32 @@ def _frame(columns: list[list]) -> pd.DataFrame:
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts with lists of runs -> the contexts; those of hot anchors are dealt further."""
+    """Texts with lists of runs -> the runs' contexts."""
     for pdf in batches:
         rows = []
         for text, runs in zip(pdf["text"].tolist(), pdf["runs"].tolist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            for r in runs:
-                own = raw[r["first"] : r["last"] + LENGTH]
-                if not r["hot"]:
-                    rows.append((r["gram"], r["ctx"], 0, r["gram"], own, r["c"], False))
-                    continue
-                g1 = np.int64(r["gram"]).view(np.uint64)
-                gram, first, last = anchors(np.frombuffer(own, np.uint8), LENGTH, int(g1))
-                with np.errstate(over="ignore"):
-                    both = mix(gram * np.uint64(0x9E3779B97F4A7C15) + g1).view(np.int64)
-                rows += [(r["gram"], r["ctx"], i, g, own[i : j + LENGTH], r["c"], True) for g, i, j in zip(both.tolist(), first.tolist(), last.tolist(), strict=True)]
-        yield pd.DataFrame(rows, columns=["gram", "ctx", "shift", "grp", "own", "c", "hot"]).astype({"gram": "int64", "ctx": "int64", "shift": "int32", "grp": "int64", "c": "int64", "hot": "bool"})
+            rows += [(r["gram"], r["ctx"], raw[r["first"] : r["last"] + LENGTH], r["c"], r["n"]) for r in runs]
+        yield pd.DataFrame(rows, columns=["grp", "ctx2", "own", "c", "n"]).astype({"grp": "int64", "ctx2": "int64", "c": "int64", "n": "int64"})
+
+
+def _deal_again(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Contexts -> the parts of each whose windows share their `most` smallest hashes."""
+    for pdf in batches:
+        out: list[tuple] = []
+        for g, x, own, c in zip(pdf["grp"].tolist(), pdf["ctx2"].tolist(), pdf["own"].tolist(), pdf["c"].tolist(), strict=True):
+            key, first, last = finer(np.frombuffer(own, np.uint8), LENGTH, most)
+            with np.errstate(over="ignore"):
+                key = mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + np.int64(g).view(np.uint64)).view(np.int64)
+            out += [(g, x, i, k, own[i : j + LENGTH], c) for k, i, j in zip(key.tolist(), first.tolist(), last.tolist(), strict=True)]
+            if len(out) > 20_000:
+                yield _parts(out)
+                out = []
+        yield _parts(out)
+
+
+def _parts(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["up_grp", "up_ctx", "shift", "grp", "own", "c"]).astype({"up_grp": "int64", "up_ctx": "int64", "shift": "int32", "grp": "int64", "c": "int64"})
 
 
 def _sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,15 +228,18 @@ def _sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def done():
         # Equal windows have equal groups, so groups may share a suffix array.
         flags = repeated_windows([r[2] for r in held])
-        hits = [(g, c, np.packbits(f).tobytes(), len(f)) for (g, c, _), f in zip(held, flags, strict=True) if f.any()]
-        return pd.DataFrame(hits, columns=["grp", "ctx2", "bits", "n"]).astype({"grp": "int64", "ctx2": "int64", "n": "int32"})
+        hits = [(g, c, np.packbits(f).tobytes(), len(f), level) for (g, c, _, level), f in zip(held, flags, strict=True) if f.any()]
+        return pd.DataFrame(hits, columns=["grp", "ctx2", "bits", "n", "level"]).astype({"grp": "int64", "ctx2": "int64", "n": "int32", "level": "int32"})
 
     for pdf in batches:
-        for g, c, own in zip(pdf["grp"].tolist(), pdf["ctx2"].tolist(), pdf["own"].tolist(), strict=True):
-            if size >= CHUNK and held[-1][0] != g:
+        for g, c, own, level in zip(pdf["grp"].tolist(), pdf["ctx2"].tolist(), pdf["own"].tolist(), pdf["level"].tolist(), strict=True):
+            if size >= CHUNK and (held[-1][3], held[-1][0]) != (level, g):
+                yield done()
+                held, size = [], 0
+            if held and held[-1][3] != level:  # a window is judged within one level
                 yield done()
                 held, size = [], 0
-            held.append((g, c, bytes(own)))
+            held.append((g, c, bytes(own), level))
             size += len(own)
     if held:
         yield done()
@@ -255,31 +277,51 @@ def _flagged(texts: DataFrame, ws: Workspace) -> DataFrame:
     place = F.struct("k", "first", "last")
     folded = runs.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("p"))
     folded = ws.store(folded.select("gram", "ctx", "c", "p.*"), "folded")
-    per = folded.groupBy("gram").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("n")).filter("all > 1").drop("all")
+    # Written first: both sides of the join are plain shuffles, which are split at a hot gram.
+    per = ws.store(folded.groupBy("gram").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("n")).filter("all > 1").drop("all"), "per")
     known = ws.store(folded.join(per, "gram"), "contexts")
-    ws.drop("folded", "often")
+    ws.drop("folded", "often", "per")
     # A text's runs are at most one for each of its bytes.
-    asked = known.filter("n > 1").groupBy("k").agg(F.collect_list(F.struct("gram", "ctx", "first", "last", "c", (F.col("n") > HOT).alias("hot"))).alias("runs"))
-    owned = texts.join(asked.hint("merge"), "k").select("text", "runs")
-    owned = owned.mapInPandas(_contexts, "gram long, ctx long, shift int, grp long, own binary, c long, hot boolean")
-    owned = ws.store(owned.withColumn("ctx2", F.when(F.col("hot"), F.xxhash64("own")).otherwise(F.col("ctx"))), "owned")
+    asked = known.filter("n > 1").groupBy("k").agg(F.collect_list(F.struct("gram", "ctx", "first", "last", "c", "n")).alias("runs"))
+    owned = texts.join(asked.hint("merge"), "k").select("text", "runs").mapInPandas(_contexts, "grp long, ctx2 long, own binary, c long, n long")
+    owned = ws.store(owned, "owned")
     ws.release()
-    hot = owned.filter("hot")
-    again = hot.groupBy("grp", "ctx2").agg(F.sum("c").alias("c"), F.first("own").alias("own"))
-    shared = again.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    once = again.filter("c > 1").select("grp", "ctx2", F.lit(None).cast("binary").alias("bits"), (F.octet_length("own") - LENGTH + 1).cast("int").alias("n"))
-    both = owned.filter("not hot").select("grp", "ctx2", "own").unionAll(again.join(shared, "grp").select("grp", "ctx2", "own"))
-    sorted_ = both.repartition(n, "grp").sortWithinPartitions("grp", "ctx2").mapInPandas(_sort_groups, "grp long, ctx2 long, bits binary, n int")
+    levels, ties, most, grams = [owned], [], 2, LENGTH - GRAM + 1
+    while most < 2 * grams and (hot := levels[-1].filter(F.col("n") > HOT)).take(1):
+        name, size = f"-{most}", min(most, grams)
+        dealt = hot.mapInPandas(lambda b, size=size: _deal_again(b, size), "up_grp long, up_ctx long, shift int, grp long, own binary, c long")
+        dealt = ws.store(dealt.withColumn("ctx2", F.xxhash64("own")), "dealt" + name)
+        fold = ws.store(dealt.groupBy("grp", "ctx2").agg(F.sum("c").alias("c"), F.first("own").alias("own")), "fold" + name)
+        per = fold.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+        levels.append(ws.store(fold.join(per, "grp").select("grp", "ctx2", "own", "c", "n"), "level" + name))
+        ties.append(ws.store(dealt.select("up_grp", "up_ctx", "shift", "grp", "ctx2"), "ties" + name))
+        ws.drop("dealt" + name, "fold" + name)
+        most *= 2
+    last = len(levels) - 1 if most >= 2 * grams else None  # no hash is left to deal by
+    to_sort = [x.filter((F.col("n") > 1) & ((F.col("n") <= HOT) | F.lit(i == last))).select("grp", "ctx2", "own", F.lit(i).alias("level")) for i, x in enumerate(levels)]
+    both = to_sort[0]
+    for x in to_sort[1:]:
+        both = both.unionAll(x)
+    # Groups of two levels never share a name but by chance, and are kept apart anyway.
+    sorted_ = both.repartition(n, "level", "grp").sortWithinPartitions("level", "grp", "ctx2").mapInPandas(_sort_groups, "grp long, ctx2 long, bits binary, n int, level int")
     hits = ws.store(sorted_, "hits")
-    cool = hits.join(owned.filter("not hot").select("grp", "ctx2", "gram", "ctx"), ["grp", "ctx2"]).select("gram", "ctx", F.lit(0).alias("shift"), "bits", "n")
-    warm = hits.unionAll(once).join(hot.select("grp", "ctx2", "gram", "ctx", "shift"), ["grp", "ctx2"]).select("gram", "ctx", "shift", "bits", "n")
+    found = None  # marks on the contexts of a level: place, bits, count
+    for i in range(len(levels) - 1, -1, -1):
+        own = hits.filter(F.col("level") == i).select("grp", "ctx2", F.lit(0).alias("at"), "bits", "n")
+        if i:
+            # Parts that occur more than once are repeated as a whole.
+            own = own.unionAll(levels[i].filter("c > 1").select("grp", "ctx2", F.lit(0), F.lit(None).cast("binary"), (F.octet_length("own") - LENGTH + 1).cast("int")))
+        found = own if found is None else found.unionAll(own)
+        if i:
+            found = found.join(ties[i - 1], ["grp", "ctx2"]).select(F.col("up_grp").alias("grp"), F.col("up_ctx").alias("ctx2"), (F.col("at") + F.col("shift")).cast("int").alias("at"), "bits", "n")
+    found = found.select(F.col("grp").alias("gram"), F.col("ctx2").alias("ctx"), F.col("at").alias("shift"), "bits", "n")
     # Contexts that occur more than once are repeated as a whole; the others by their bits.
     whole = known.filter("c > 1").select("gram", "ctx", F.lit(0).alias("shift"), F.lit(None).cast("binary").alias("bits"), F.lit(-1).alias("n"))
     single = known.filter("c = 1").select("gram", "ctx")
-    marks = whole.unionAll(cool.unionAll(warm).join(single, ["gram", "ctx"], "left_semi"))
+    marks = whole.unionAll(found.join(single, ["gram", "ctx"], "left_semi"))
     on_text = runs.join(marks, ["gram", "ctx"]).select("k", (F.col("first") + F.col("shift")).alias("at"), "bits", F.when(F.col("n") < 0, F.col("last") - F.col("first") + 1).otherwise(F.col("n")).alias("n"))
     marked = ws.store(on_text.groupBy("k").agg(F.collect_list(F.struct("at", "bits", "n")).alias("marks")), "marks")
-    ws.drop("repeated", "contexts", "owned", "hits")
+    ws.drop("repeated", "contexts", *[name for name in ws.paths if name.split("-")[0] in ("owned", "hits", "level", "ties")])
     ws.release()
     return marked
 

@@ -246,3 +246,39 @@ def test_groups_by_anchor_hold_all_equal_windows():
         for i in range(a, b + 1):
             groups[text[i : i + 200]].add(g)
     assert all(len(x) == 1 for x in groups.values())
+
+
+def test_groups_are_dealt_until_they_are_small(spark, monkeypatch):
+    """A template line with many variants: no group that is sorted in one go stays large."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    rng = random.Random(7)
+    head, tail = ("".join(rng.choice("abcdefgh ") for _ in range(170)) for _ in range(2))
+    texts = [f"{head}{rng.randrange(10**9):09d}{tail}" for _ in range(60)] + [head + "same field" + tail] * 2
+    texts += ["ab" * 150 + str(i) for i in range(12)]  # periods: windows that share all hashes
+    docs = spark.createDataFrame([(i, t, 0, "", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
+    want = dict(enumerate(brute_repeats(texts, 200)))
+    sizes = []
+    inner = suffix_dedup.Workspace.store
+
+    def store(self, df, name):
+        out = inner(self, df, name)
+        if name.startswith("level-"):
+            sizes.append(out.agg(F.max("n")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(suffix_dedup.Workspace, "store", store)
+    for r in suffix_dedup.repeats(docs).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+    assert len(sizes) > 1 and sizes[-1] <= 4
+
+
+def test_finer_groups_hold_all_equal_windows():
+    rng = random.Random(3)
+    text = ("".join(rng.choice("ab") for _ in range(500)) * 2).encode()
+    for most in (2, 8, 169):
+        groups = defaultdict(set)
+        key, first, last = suffix_dedup.finer(np.frombuffer(text, np.uint8), 200, most)
+        for g, a, b in zip(key.tolist(), first.tolist(), last.tolist()):
+            for i in range(a, b + 1):
+                groups[text[i : i + 200]].add(g)
+        assert all(len(x) == 1 for x in groups.values())
