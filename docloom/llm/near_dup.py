@@ -12,10 +12,10 @@ that a pair at the threshold is missed with probability MISS.
    known set sizes by maximum likelihood; what isn't far too small is verified on the
    full sets.
 3. Where the nodes that met a pivot still belong to several components, their sketches
-   meet in cells of bounded size.  Of the pairs whose estimate isn't far too small, first
-   the likeliest of any two components is verified, then those that still join two.
-   So no link between different components can be lost, and whole texts travel only for
-   pairs that the sketches can't rule out.
+   meet in cells of bounded size.  Only nodes with a partner of another component that
+   the sketches can't rule out send their texts to the cell, where pairs are verified
+   until their components are joined.  So no link between different components can be
+   lost, and a cell gives at most a row for each of its rows.
 Components are found by alternating stars.
 
 Distinct texts are written once, bucketed by their MD5: no later step shuffles texts that
@@ -40,7 +40,7 @@ from docloom.llm.components import components
 
 BASE, RATE, MISS = 1.001, 20.0, 1e-9
 #: Texts that a text meets in one cell; in the second round, sketches on each side of a cell.
-CELL, BLOCK = 64, 1024
+CELL, BLOCK = 64, 512
 _LOG = math.log(BASE)
 
 
@@ -172,7 +172,7 @@ def _cells(batches: Iterator[pd.DataFrame], sets: Sets) -> Iterator[pd.DataFrame
                 continue
             own = sets.of(text)
             for h, yes in zip(others, sets.linked(own, [h[2] for h in others]), strict=True):
-                if yes:
+                if yes and root(h[1]) != root(label):
                     out.append((h[0], doc))
                     up[root(h[1])] = root(label)
         yield pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
@@ -258,34 +258,30 @@ def _second_round(stars: DataFrame, links: DataFrame, nodes: DataFrame, texts: D
     heads = rows.filter(small).select("p", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(0).alias("role"), *tail)
     tails = rows.select("p", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("role"), *tail)
     cells = heads.unionAll(tails).repartition(partitions(stars.sparkSession), "p", "i", "j").sortWithinPartitions("p", "i", "j", "role", "node")
-    met = cells.mapInPandas(lambda b: _sketch_cells(b, sets), "a long, b long, la long, lb long, near double")
-    pairs = ws.store(met.groupBy("a", "b").agg(F.first("la").alias("la"), F.first("lb").alias("lb"), F.max("near").alias("near")), "pairs")
+    met = ws.store(cells.mapInPandas(lambda b: _sketch_cells(b, sets), "g long, i int, j int, role int, doc_id long, label long"), "met")
     ws.drop("both")
-    if not pairs.take(1):
+    if not met.take(1):
         return links, labels
-    # The likeliest pair of any two components first: what it joins needs no other test.
-    lo, hi = F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi")
-    best = pairs.select("*", lo, hi).groupBy("lo", "hi").agg(F.max(F.struct("near", "a", "b", "la", "lb")).alias("m")).select("m.*")
-    first = ws.store(_verify(_star_cells(best.select("a", "b", "la", "lb")), nodes, texts, sets), "links2")
-    links = links.unionAll(first)
-    labels = components(links, ws, "labels")
-    left = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
-    left = ws.store(_labelled(_labelled(left, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b", "la", "lb"), "left")
-    if not left.take(1):
-        return links, labels
-    links = links.unionAll(ws.store(_verify(_star_cells(left), nodes, texts, sets), "links3"))
+    links = links.unionAll(ws.store(_verify(met, nodes, texts, sets), "links2"))
     return links, components(links, ws, "labels")
 
 
 def _sketch_cells(batches: Iterator[pd.DataFrame], sets: Sets) -> Iterator[pd.DataFrame]:
-    """Rows by cell, role 0 first: pairs of different labels that may reach the threshold."""
-    at, heads, have = None, [], None
+    """Rows by cell, role 0 first -> those that may reach the threshold with a row of the
+    other role and another label."""
+    columns = ["g", "i", "j", "role", "doc_id", "label"]
+    at, heads, have, hit = None, [], None, None
+
+    def done():
+        return [] if hit is None else [(*at, 0, int(have[0][x]), int(have[1][x])) for x in np.flatnonzero(hit)]
+
     for pdf in batches:
-        out: list[list[np.ndarray]] = []
+        out: list[tuple] = []
         regs = np.frombuffer(b"".join(pdf["regs"]), ">u2").reshape(len(pdf), -1).astype(np.uint16)
         for r, (p, i, j, role, node, label, small, n) in enumerate(zip(*(pdf[c].tolist() for c in ("p", "i", "j", "role", "node", "label", "small", "n")), strict=True)):
             if (p, i, j) != at:
-                at, heads, have = (p, i, j), [], None
+                out += done()
+                at, heads, have, hit = (p, i, j), [], None, None
             if role == 0:
                 heads.append((node, label, n, regs[r]))
                 continue
@@ -293,6 +289,7 @@ def _sketch_cells(batches: Iterator[pd.DataFrame], sets: Sets) -> Iterator[pd.Da
                 continue
             if have is None:
                 have = [np.array([h[c] for h in heads]) for c in range(3)] + [np.stack([h[3] for h in heads])]
+                hit = np.zeros(len(heads), bool)
             ids, labels, sizes, k = have
             fits = (np.minimum(sizes, n) * sets.den >= sets.num * np.maximum(sizes, n)) & (labels != label)
             if small:  # both are heads: the pair counts once
@@ -304,12 +301,13 @@ def _sketch_cells(batches: Iterator[pd.DataFrame], sets: Sets) -> Iterator[pd.Da
                 some, places = some[close], places[close]
             if len(places):
                 near = likeness((regs[r] > some).sum(axis=1), (regs[r] < some).sum(axis=1), sets.m, np.full(len(places), n), sizes[places])
-                yes = near >= sets.least
-                x, y, lx, ly = ids[places][yes], np.full(int(yes.sum()), node), labels[places][yes], np.full(int(yes.sum()), label)
-                swap = x > y
-                out.append([np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ly, lx), np.where(swap, lx, ly), near[yes]])
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
-        yield pd.DataFrame(dict(zip(("a", "b", "la", "lb", "near"), columns, strict=True))).astype({"a": "int64", "b": "int64", "la": "int64", "lb": "int64"})
+                places = places[near >= sets.least]
+            if len(places):
+                hit[places] = True
+                out.append((p, i, j, 1, node, label))
+        yield pd.DataFrame(out, columns=columns).astype({"g": "int64", "i": "int32", "j": "int32", "role": "int32", "doc_id": "int64", "label": "int64"})
+    if hit is not None and hit.any():
+        yield pd.DataFrame(done(), columns=columns)
 
 
 def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,7 +331,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_c
     links, labels = _linked(nodes, texts, sets, ws)
     found = slim.select("doc_id", _key(F.col("text"))).join(of_text.select("k", "n", "node").hint("merge"), "k", "left")
     found = ws.store(found.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), "node"), "found")
-    ws.keep_only("found", "nodes", "links", "links2", "links3", "labels")
+    ws.keep_only("found", "nodes", "links", "links2", "labels")
     shared = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     if shared.take(1):
         shared = found.join(shared.select("doc_id", "a"), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
