@@ -38,7 +38,8 @@ def normalized(text) -> Column:
 
 
 def compact_ascii(text) -> Column:
-    """compact() for ASCII texts, without leaving generated code."""
+    """Lower case, no ASCII white space: compact() where a text needs no Unicode tables,
+    without leaving generated code."""
     return F.regexp_replace(F.lower(text), r"\s+", "")
 
 
@@ -86,8 +87,8 @@ def utc_time(value) -> Column:
 
 
 def ooxml_integer(value) -> Column:
-    """A decimal integer of at most 64 bits; null for anything else."""
-    return F.when(value.rlike(r"^[+-]?\d+$"), value.try_cast("bigint"))
+    """A decimal integer of at most 64 bits in at most 20 ASCII characters; null for anything else."""
+    return F.when(value.rlike(r"\A[+-]?[0-9]+\z") & (F.length(value) <= 20), value.try_cast("bigint"))
 
 
 def crop_value(value) -> Column:

@@ -100,7 +100,7 @@ def filter_proposals(proposals: DataFrame, width: int, height: int, crop_w: int,
 
 def deduplicate_texts(items: DataFrame) -> DataFrame:
     """page, ord of texts kept: of overlapping ones (0.8 of the smaller) where one text holds
-    the other, the longer stays, then the surer, then the earlier."""
+    the other, the longer stays, then the surer, then the earlier.  Empty texts stay."""
 
     def run(rows: list[dict]) -> list[tuple]:
         kept: list[dict] = []
@@ -108,7 +108,7 @@ def deduplicate_texts(items: DataFrame) -> DataFrame:
             clash = None
             for k in kept:
                 both = max(0, min(r["x"] + r["w"], k["x"] + k["w"]) - max(r["x"], k["x"])) * max(0, min(r["y"] + r["h"], k["y"] + k["h"]) - max(r["y"], k["y"]))
-                if both / max(1, min(r["w"] * r["h"], k["w"] * k["h"])) >= 0.8 and (r["t"] in k["t"] or k["t"] in r["t"]):
+                if both / max(1, min(r["w"] * r["h"], k["w"] * k["h"])) >= 0.8 and r["t"] and k["t"] and (r["t"] in k["t"] or k["t"] in r["t"]):
                     clash = k
                     break
             if clash is None:
@@ -151,7 +151,8 @@ TEXT_SCHEMA = "page long, ord int, x int, y int, w int, h int, text string, font
 
 
 def merge_texts(items: DataFrame) -> DataFrame:
-    """Neighbouring texts of a line merged, the closest pair first, until none is left."""
+    """Neighbouring texts of a line merged, the closest pair first (overlapping ones are at
+    distance 0), until none is left; a merged text stands behind all others."""
 
     def run(rows: list[dict]) -> list[tuple]:
         rows = sorted(rows, key=lambda r: (r["y"], r["x"], r["ord"]))
@@ -160,14 +161,13 @@ def merge_texts(items: DataFrame) -> DataFrame:
             for i, a in enumerate(rows):
                 for j, b in enumerate(rows):
                     if i != j and can_merge(a, b):
-                        key = (abs(b["x"] - a["x"] - a["w"]), abs(a["y"] + a["h"] / 2 - b["y"] - b["h"] / 2), i, j)
+                        key = (max(b["x"] - a["x"] - a["w"], 0), abs(a["y"] + a["h"] / 2 - b["y"] - b["h"] / 2), i, j)
                         if best is None or key < best:
                             best = key
             if best is None:
                 break
             i, j = best[2], best[3]
-            rows[i] = merge_pair(rows[i], rows[j])
-            del rows[j]
+            rows = [r for n, r in enumerate(rows) if n not in (i, j)] + [merge_pair(rows[i], rows[j])]
         return [tuple(r[n] for n in names[1:]) for r in rows]
 
     names = [c.split()[0] for c in TEXT_SCHEMA.split(", ")]

@@ -137,8 +137,8 @@ query("aspect_ratios_match", "SELECT page, bool_and(abs(r - f) <= greatest(0.000
 
 # --- text functions ---------------------------------------------------------------
 
-query("normalized_text", "SELECT page, ord, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM text_items WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")(lambda v: box(v.text_items.filter(~c("text").rlike(r"[^\x00-\x7f]")), t=t.normalized_ascii(c("text"))))
-query("compact_text", "SELECT page, ord, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM text_items WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")(lambda v: box(v.text_items.filter(~c("text").rlike(r"[^\x00-\x7f]")), t=t.compact_ascii(c("text"))))
+query("normalized_text", "SELECT page, ord, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM text_items")(lambda v: box(v.text_items, t=t.normalized_ascii(c("text"))))
+query("compact_text", "SELECT page, ord, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM text_items")(lambda v: box(v.text_items, t=t.compact_ascii(c("text"))))
 query("normalized_text_unicode")(lambda v: box(v.text_items, t=t.normalized(c("text")), k=t.compact(c("text"))))
 query("label_tokens", "SELECT page, ord, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(trim(label), '\\s+'), lambda z: z <> ''), lambda z: lower(trim(z, '.,'))))), ' ') AS tokens FROM boxes")(lambda v: box(v.boxes, tokens=F.array_join(F.array_sort(t.tokens(c("label"))), " ")))
 _T = "list_transform(regexp_split_to_array(trim(label), '\\s+'), lambda z: lower(trim(z, '.,')))"
@@ -215,11 +215,11 @@ query("picture_safety", """SELECT page, ord, array_to_string(list_filter([CASE W
 
 # --- joins ------------------------------------------------------------------------
 
-query("known_text", """WITH k AS (SELECT page, ord, x, y, w, h, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM text_items WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')),
+query("known_text", """WITH k AS (SELECT page, ord, x, y, w, h, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM text_items),
     p AS (SELECT a.page, a.ord, a.t AS s, b.t AS t, (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / CAST(greatest(1, least(a.w * a.h, b.w * b.h)) AS DOUBLE) AS o
     FROM k a JOIN k b ON a.page = b.page AND b.ord % 2 = 0 AND greatest(a.x, b.x) < least(a.x + a.w, b.x + b.w) AND greatest(a.y, b.y) < least(a.y + a.h, b.y + b.h) WHERE a.ord % 2 = 1)
     SELECT DISTINCT page, ord FROM p WHERE (o >= 0.8 AND (s = t OR (least(length(s), length(t)) >= 4 AND (contains(s, t) OR contains(t, s))))) OR (o >= 0.5 AND s = t)""")(
-    lambda v: (lambda a: joins.known_text(a.filter("ord % 2 = 1"), a.filter("ord % 2 = 0"), True))(v.text_items.filter(~c("text").rlike(r"[^\x00-\x7f]")))
+    lambda v: (lambda a: joins.known_text(a.filter("ord % 2 = 1"), a.filter("ord % 2 = 0"), True))(v.text_items)
 )
 query("known_text_similar")(lambda v: joins.known_text(v.text_items.filter("ord % 2 = 1"), v.text_items.filter("ord % 2 = 0")))
 query("targeted_sweep")(lambda v: greedy.two_views(v.text_items.filter("ord % 2 = 1"), v.text_items.filter("ord % 2 = 0")))
@@ -322,7 +322,7 @@ def _words(v: Views) -> DataFrame:
     return v.text_items.select("page", F.floor(c("ord") / 3).cast("int").alias("line"), "ord", "x", "y", "w", "h", "text", F.when(c("ord") % 5 == 0, -1.0).otherwise(c("confidence")).alias("confidence"))
 
 
-query("line_grouping", """WITH k AS (SELECT page, ord // 3 AS line, ord, x, y, w, h, trim(substr(text, 1, 9)) AS text, CASE WHEN ord % 5 = 0 THEN -1.0 ELSE confidence END AS c FROM text_items WHERE trim(substr(text, 1, 9)) <> ''),
+query("line_grouping", """WITH k AS (SELECT page, ord // 3 AS line, ord, x, y, w, h, trim(text) AS text, CASE WHEN ord % 5 = 0 THEN -1.0 ELSE confidence END AS c FROM text_items WHERE trim(text) <> ''),
     g AS (SELECT page, line, string_agg(text, '' ORDER BY ord) AS text, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, coalesce(avg(CAST(c AS DOUBLE)) FILTER (c >= 0), 0) AS confidence FROM k GROUP BY page, line)
     SELECT page, line, text, x, y, w, h, round(confidence, 9) AS confidence FROM g WHERE confidence >= 0.5 AND w >= 2 AND h >= 2""")(lambda v: rounded(aggregates.text_lines(_words(v), 0.5)))
 _OWN = lambda v: pixel_pairs(v).select("page", (c("p") > 60).alias("material"), c("m").alias("owned"), c("n").alias("generated"), (c("q") > 200).alias("text"))
@@ -373,7 +373,7 @@ query("edge_retention", "WITH k AS (SELECT page, count_if(p > 150 AND m) AS sour
 query("unchanged_residual_filter", "SELECT page FROM pairs WHERE m AND NOT n GROUP BY page HAVING avg(CAST(abs(p - q) < 100 AS INTEGER)) >= 0.75")(lambda v: pixel_pairs(v).filter("m and not n").groupBy("page").agg(F.avg((F.abs(c("p") - c("q")) < 100).cast("int")).alias("share")).filter("share >= 0.75").select("page"))
 query("text_overlap_filter", f"SELECT b.page, b.ord FROM ({_BX}) b LEFT JOIN cells c ON c.page = b.page AND c.mask AND c.x >= b.x AND c.y >= b.y AND c.x < b.x + b.w AND c.y < b.y + b.h GROUP BY b.page, b.ord HAVING count(c.page) / CAST(greatest(1, any_value(b.w * b.h)) AS DOUBLE) <= 0.5")(lambda v: graph.box_fill(v.cells, _BC(v)).filter("fill <= 0.5").select("page", "ord"))
 query("page_violations", """WITH v AS (SELECT page, coalesce(avg(abs(p - q)) FILTER (NOT n), 0) AS mae, coalesce(quantile_cont(CAST(abs(p - q) AS DOUBLE), 0.95) FILTER (NOT n), 0) AS p95, coalesce(avg(CAST(abs(p - q) > 3 AS INTEGER)) FILTER (NOT n), 0) AS ch FROM pairs GROUP BY page),
-    r AS (SELECT page, unnest(CASE WHEN x % 3 = 0 THEN ['edge_loss'] WHEN x % 3 = 1 THEN ['duplicate_pixels', 'edge_loss'] ELSE [] END || CASE WHEN w >= 100 THEN ['orphan_residual'] ELSE [] END) AS n FROM boxes WHERE page < 500),
+    r AS (SELECT page, unnest(CASE WHEN x % 3 = 0 THEN ['edge_loss'] WHEN x % 3 = 1 THEN ['duplicate_pixels', 'edge_loss'] ELSE [] END || CASE WHEN w >= 100 THEN ['orphan_residual'] ELSE [] END) AS n FROM boxes),
     u AS (SELECT page, n FROM r UNION SELECT page, CASE page % 3 WHEN 0 THEN 'pptx_reopen_unknown' WHEN 1 THEN 'pptx_reopen' END FROM v WHERE page % 3 <> 2 UNION SELECT page, 'visual_difference' FROM v WHERE mae > 8 OR p95 > 32 OR ch > 0.02)
     SELECT v.page, coalesce(string_agg(n, ',' ORDER BY n), '') AS violations, count(n) = 0 AS accepted FROM v LEFT JOIN u USING (page) GROUP BY v.page""")(
     lambda v: pipelines.page_quality(
@@ -556,7 +556,7 @@ query("node_contract", "SELECT 'box' AS rule, page, node FROM nodes WHERE w > 20
 query("classify_inputs", "WITH k AS (SELECT page, count(*) AS n, count_if(x % 5 = 0) AS pdf, count_if(x % 5 = 1) AS pptx FROM boxes GROUP BY page) SELECT page AS job, CASE WHEN pdf > 0 THEN 'pdf' WHEN pptx > 0 THEN 'pptx' ELSE 'images' END AS kind, CASE WHEN pdf + pptx > 0 AND n > 1 THEN 'must_be_the_only_input' END AS problem FROM k")(
     lambda v: files.classify(v.boxes.select(c("page").alias("job"), "ord", F.concat(F.lit("in/f."), F.when(c("x") % 5 == 0, "PDF").when(c("x") % 5 == 1, "pptx").otherwise("png")).alias("path")))
 )
-query("image_job", "SELECT 'page_' || lpad(CAST(doc_id + 1 AS VARCHAR), 3, '0') AS page_id, source, sha256(text) AS sha256, 'pending' AS state FROM documents WHERE doc_id < 900")(lambda v: files.image_job(v.table("documents").filter("doc_id < 900").select(c("doc_id").alias("ordinal"), c("source").alias("path"), F.sha2("text", 256).alias("sha256"))))
+query("image_job", "SELECT printf('page_%03d', doc_id + 1) AS page_id, source, sha256(text) AS sha256, 'pending' AS state FROM documents")(lambda v: files.image_job(v.table("documents").select(c("doc_id").alias("ordinal"), c("source").alias("path"), F.sha2("text", 256).alias("sha256"))))
 query("content_types", "WITH m AS (SELECT page, ord, tag, CASE WHEN tag = 'p' THEN 'a.XML' WHEN tag = 'b' THEN 'b.png' ELSE 'c' END AS name FROM tags WHERE ord % 10 = 0) SELECT page || ':' || ord AS path, name, CASE WHEN tag = 'p' AND ord % 20 = 0 THEN 'own' WHEN tag = 'p' THEN 'xml' WHEN tag = 'b' THEN 'png' END AS content_type FROM m")(
     lambda v: (lambda m: packages.content_types(m.select("path", F.explode(F.array(F.lit("xml"), F.lit("PNG"))).alias("extension")).withColumn("content_type", F.lower("extension")), m.filter("name = 'a.XML' and ord % 20 = 0").select("path", F.lit("/a.XML").alias("part"), F.lit("own").alias("content_type")), m))(v.tags.filter("ord % 10 = 0").select(F.concat_ws(":", "page", "ord").alias("path"), "ord", F.when(c("tag") == "p", "a.XML").when(c("tag") == "b", "b.png").otherwise("c").alias("name")))
 )

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
@@ -100,12 +101,14 @@ def _target(part: str, target: str) -> str | None:
     return None if path.startswith("..") else path
 
 
+_DIGITS = re.compile(r"[+-]?[0-9]+")
+
+
 def _integer(v):
-    try:
-        n = int(v)
-    except (TypeError, ValueError):
+    """As text.ooxml_integer: ASCII digits, at most 20 characters and 64 bits."""
+    if not isinstance(v, str) or len(v) > 20 or not _DIGITS.fullmatch(v):
         return None
-    return n if -(2**63) <= n < 2**63 else None
+    return int(v) if -(2**63) <= int(v) < 2**63 else None
 
 
 def _relations(z: zipfile.ZipFile, part: str, types: dict) -> dict:
@@ -122,14 +125,16 @@ def _relations(z: zipfile.ZipFile, part: str, types: dict) -> dict:
 
 
 def _children(parent, scopes):
-    """Shape nodes of a tree: of alternatives the first whose needs are met, else the fallback."""
+    """Shape nodes of a tree.  Of alternatives the first counts that names needs and whose
+    needs are all met, else the fallback; one that holds nothing is an error."""
+    met = lambda c: bool(needs := (c.get("Requires") or "").split()) and {scopes.get(p) for p in needs} <= set(SUPPORTED)
     for node in parent:
         if node.tag == MC + "AlternateContent":
-            chosen = next((c for c in node if c.tag == MC + "Choice" and all(scopes.get(p) in SUPPORTED for p in (c.get("Requires") or "").split())), None)
-            chosen = chosen if chosen is not None else next((c for c in node if c.tag == MC + "Fallback"), None)
-            if chosen is None:
+            fit = [c for c in node if c.tag == MC + "Choice" and met(c)] or [c for c in node if c.tag == MC + "Fallback"]
+            shapes = list(_children(fit[0], scopes)) if fit else []
+            if not shapes:
                 raise ValueError("alternatives")
-            yield from _children(chosen, scopes)
+            yield from shapes
         elif node.tag in (P + "sp", P + "pic", P + "grpSp", P + "graphicFrame", P + "cxnSp", P + "contentPart"):
             yield node
 

@@ -1,5 +1,6 @@
 """Registered queries use every row of their tables, against plain Python."""
 
+import pytest
 from types import SimpleNamespace
 
 from docloom import queries
@@ -40,3 +41,30 @@ def test_line_grouping_of_whole_texts(spark, monkeypatch):
             size = max(r[3] + r[5] for r in own) - x, max(r[4] + r[6] for r in own) - y
             want.add((page, line, "".join(r[2].strip(" ") for r in own), x, y, *size, round(sum(sure) / len(sure), 9)))
     assert {(r.page, r.line, r.text, r.x, r.y, r.w, r.h, r.confidence) for r in got} == want and len(got) == len(want)
+
+
+def test_texts_that_overlap_or_are_empty(spark):
+    """Overlapping pieces count as distance 0; an empty text is part of none."""
+    from docloom.operators import greedy
+
+    row = lambda o, x, w, text: (0, o, x, 0, w, 10, text, 10.0, "#000000", False, 1.0)
+    items = spark.createDataFrame([row(0, 0, 20, "a"), row(1, 17, 20, "b"), row(2, 38, 20, "c"), row(3, 500, 9, "z")], greedy.TEXT_SCHEMA)
+    assert [r.text for r in greedy.merge_texts(items).collect()] == ["z", "a b c"]
+    texts = [(0, 0, 0, 0, 10, 10, 1.0, "word"), (0, 1, 0, 0, 10, 10, 1.0, ""), (0, 2, 0, 0, 10, 10, 1.0, "a word here"), (0, 3, 0, 0, 10, 10, 1.0, " ")]
+    boxes = spark.createDataFrame(texts, "page long, ord int, x int, y int, w int, h int, confidence double, text string")
+    assert sorted(r.ord for r in greedy.deduplicate_texts(boxes).collect()) == [1, 2, 3]
+
+
+def test_package_integers_and_alternatives():
+    import xml.etree.ElementTree as ET
+
+    from docloom.sources import packages as p
+
+    assert [p._integer(v) for v in ("12", "-7", "+3", "1_000", " 7 ", "٣", "5\n", "0" * 21, "9" * 19, None, "")] == [12, -7, 3, None, None, None, None, None, None, None, None]
+    uri = next(iter(p.SUPPORTED))
+    tree = lambda needs, inner: ET.fromstring(f'<t xmlns:mc="{p.MC[1:-1]}" xmlns:p="{p.P[1:-1]}"><mc:AlternateContent><mc:Choice Requires="{needs}">{inner}</mc:Choice><mc:Fallback><p:pic/></mc:Fallback></mc:AlternateContent></t>')
+    found = lambda needs, inner, scopes: [n.tag for n in p._children(tree(needs, inner), scopes)]
+    assert found("x", "<p:sp/>", {"x": uri}) == [p.P + "sp"]
+    assert found("", "<p:sp/>", {"x": uri}) == found("x y", "<p:sp/>", {"x": uri}) == [p.P + "pic"]
+    with pytest.raises(ValueError):
+        found("x", "", {"x": uri})
