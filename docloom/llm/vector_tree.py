@@ -159,7 +159,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         return spark.createDataFrame([], schema)
     dim = lengths[0].dim
     own = own.filter(F.size("v") == dim)
-    most = max(LEAF, min(sample, NUMBERS // dim))
+    most = max(1, min(sample, max(LEAF, NUMBERS // dim)))
 
     # Of equal vectors only the k + 1 smallest ids can be among anybody's nearest.
     order = Window.partitionBy("h", "h2").orderBy("vec_id")
