@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next stage's docs.
+
+Every stage takes rows with nulls in any column, empty and very long texts, repeated rows
+and ids, and empty tables (no rows come out).  Null and empty texts are clean, copies of
+nothing and hold no repeated string, so they stay; mixing counts them as one token; they
+have no token ids.  Of repeated rows stage 2 keeps one; an id with several texts keeps each
+that isn't near to a kept one.  The stages up to mixing return the columns of documents.
 """
 
 from __future__ import annotations
