@@ -3,18 +3,22 @@
 What they do depends on what was kept before, so no join can express them.  Rows are
 dealt and sorted by page, and a task walks its pages in one stream: a task holds one
 page's rows at a time, whatever its number of pages, and a page costs no call of its own.
+Pairs of boxes come from the grid join; the walks see only those that meet.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
 from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import geometry as g
 from docloom.functions import text as t
+from docloom.operators import joins
 
 
 _KINDS = {"long": "Int64", "int": "Int32", "double": "float64", "boolean": "boolean", "string": "object"}
@@ -58,117 +62,239 @@ def _iou(a, b, floor: float = 1.0) -> float:
     return both / max(size(a) + size(b) - both, floor)
 
 
+def _shared(prefixes: tuple[str, str] = ("l_", "r_")) -> tuple[Column, Column, Column]:
+    """Areas of both boxes of a pair and of what they share."""
+    (x1, y1, x2, y2), (u1, v1, u2, v2) = (joins.corner_columns(p) for p in prefixes)
+    both = g.span(x1, x2, u1, u2) * g.span(y1, y2, v1, v2)
+    return (x2 - x1) * (y2 - y1), (u2 - u1) * (v2 - v1), both
+
+
+def _overlap() -> Column:
+    a, b, both = _shared()
+    return both / F.greatest(a + b - both, F.lit(1.0))
+
+
+def independent(rows: DataFrame, clashes: DataFrame, *order) -> DataFrame:
+    """page, ord, rank of rows taken in the given order, but for those that clash with one
+    taken before.
+
+    rows: page, ord and the columns of order; clashes: page, l_ord, r_ord, either way round.
+    Only the clashing pairs reach the walk, so a page costs as much as it has of them.
+    """
+    nodes = rows.select("page", F.struct(*order, F.col("ord")).alias("place"), "ord", F.lit(None).cast("int").alias("other"))
+    pairs = clashes.select("page", F.explode(F.array(*[F.struct(F.col(a).alias("ord"), F.col(b).alias("other")) for a, b in (("l_ord", "r_ord"), ("r_ord", "l_ord"))])).alias("p"))
+    links = pairs.select("page", F.lit(None).cast(nodes.schema["place"].dataType).alias("place"), "p.ord", "p.other")
+    numbered = nodes.unionAll(links)
+
+    def run(rows: list[dict]) -> list[tuple]:
+        near: dict[int, list[int]] = {}
+        for r in rows:
+            if r["place"] is None:
+                near.setdefault(int(r["ord"]), []).append(int(r["other"]))
+        barred: set[int] = set()
+        out: list[tuple] = []
+        for r in sorted((r for r in rows if r["place"] is not None), key=lambda r: tuple(r["place"].values())):
+            if r["ord"] not in barred:
+                out.append((r["ord"], len(out) + 1))
+                barred.update(near.get(r["ord"], ()))
+        return out
+
+    return by_page(numbered, run, "page long, ord int, rank int")
+
+
+#: Fixed values of proposals: largest share of page and crop, an icon's shape, what makes a duplicate, what makes people separate.
+PAGE_SHARE, PORTRAIT_SHARE, ICON_SHAPE, LIKE_SIZE, LIKE_BOX, APART = 0.85, 0.80, 0.85, 0.85, 0.75, 0.05
+
+
 def filter_proposals(proposals: DataFrame, width: int, height: int, crop_w: int, crop_h: int) -> DataFrame:
     """page, ord of the proposals kept: eligible, not a duplicate of one kept before, and no
     weak container around two separate people.
 
     proposals: page, ord, x, y, w, h, score, label, edge.
     """
-    tok, role = t.tokens(F.col("label")), t.role(F.col("label"))
+    found = proposals.select("page", "ord", "x", "y", "w", "h", "score", "edge", t.role(F.col("label")).alias("role"), t.tokens(F.col("label")).alias("tok"))
+    has = lambda word: F.array_contains("tok", word)
     size = F.col("w") * F.col("h")
-    shape = F.least("w", "h") / F.greatest(F.col("w"), F.col("h"), F.lit(1.0))
-    icon = (F.size(tok) == 2) & F.array_contains(tok, "information") & F.array_contains(tok, "icon") & (shape < 0.85)
-    eligible = (size / max(width * height, 1) < 0.85) & ~(F.array_contains(tok, "portrait") & (size / max(crop_w * crop_h, 1) >= 0.80)) & ~icon
-    rows = proposals.filter(eligible).select("page", "ord", "x", "y", "w", "h", "score", "edge", role.alias("role"), tok.alias("tok"))
+    too_large = size / max(width * height, 1) >= PAGE_SHARE
+    whole_crop = has("portrait") & (size / max(crop_w * crop_h, 1) >= PORTRAIT_SHARE)
+    info_icon = has("information") & has("icon") & (F.size("tok") == 2) & (F.least("w", "h") / F.greatest(F.col("w"), F.col("h"), F.lit(1.0)) < ICON_SHAPE)
+    rows = found.filter(~(too_large | whole_crop | info_icon))
 
-    def run(rows: list[dict]) -> list[tuple]:
-        rows = sorted(rows, key=lambda r: (r["edge"], -r["score"], r["ord"]))
-        for r in rows:
-            r["box"] = (r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"])
-            r["set"] = set(r["tok"])
-        kept: list[dict] = []
-        for r in rows:
-            if not any(r["role"] == k["role"] and (r["role"] != "object" or r["set"] & k["set"]) and _near(r, k) for k in kept):
-                kept.append(r)
-        people = [k for k in kept if k["role"] == "person"]
-        out = []
-        for k in kept:
-            if k["role"] in ("container", "mixed") and not k["set"] & set(t.STRONG_CONTAINER):
-                b = k["box"]
-                inside = [p["box"] for p in people if b[0] <= (p["box"][0] + p["box"][2]) / 2 <= b[2] and b[1] <= (p["box"][1] + p["box"][3]) / 2 <= b[3]]
-                if any(_iou(p, q) <= 0.05 for i, p in enumerate(inside) for q in inside[i + 1 :]):
-                    continue
-            out.append(k["ord"])
-        return [(o,) for o in sorted(out)]
+    a, b, _ = _shared()
+    same_kind = (F.col("l_role") == F.col("r_role")) & ((F.col("l_role") != "object") | F.arrays_overlap("l_tok", "r_tok"))
+    like = (F.least(a, b) / F.greatest(a, b, F.lit(1.0)) >= LIKE_SIZE) & (_overlap() >= LIKE_BOX)
+    slim = rows.drop("score", "edge")
+    clashes = joins.overlapping_pairs(slim, slim).filter((F.col("l_ord") < F.col("r_ord")) & same_kind & like)
+    kept = rows.join(independent(rows, clashes, F.col("edge"), -F.col("score")), ["page", "ord"], "left_semi")
+    return kept.select("page", "ord").join(_around_people(kept), ["page", "ord"], "left_anti")
 
-    def _near(a, b) -> bool:
-        sa, sb = a["w"] * a["h"], b["w"] * b["h"]
-        return min(sa, sb) / max(sa, sb, 1.0) >= 0.85 and _iou(a["box"], b["box"]) >= 0.75
 
-    return by_page(rows, run, "page long, ord int")
+def _around_people(rows: DataFrame) -> DataFrame:
+    """page, ord of weak containers that hold the centres of two people that don't overlap.
+
+    People are paired only where they meet: n of them are all close to each other if the
+    close pairs number n (n - 1) / 2, so separate ones are never listed.
+    """
+    weak = rows.filter(F.col("role").isin("container", "mixed") & ~F.arrays_overlap("tok", F.array(*[F.lit(w) for w in t.STRONG_CONTAINER])))
+    people = rows.filter(F.col("role") == "person").select("page", "ord", "x", "y", "w", "h")
+    (x1, y1, x2, y2), cx, cy = joins.corner_columns(""), F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    # A pixel more on each side, as the grid pairs insides only and a centre may lie on an edge.
+    holders = weak.select("page", "ord", (x1 - 1).alias("x"), (y1 - 1).alias("y"), (x2 - x1 + 2).alias("w"), (y2 - y1 + 2).alias("h"))
+    centres = people.select("page", "ord", (cx - 1).alias("x"), (cy - 1).alias("y"), F.lit(2.0).alias("w"), F.lit(2.0).alias("h"))
+    at = lambda v: F.col(f"r_{v}") + 1
+    within = F.lit(True)
+    for v, side in (("x", "w"), ("y", "h")):
+        within &= at(v).between(F.col(f"l_{v}") + 1, F.col(f"l_{v}") + F.col(f"l_{side}") - 1)
+    held = joins.overlapping_pairs(holders, centres).filter(within).select("page", F.col("l_ord").alias("ord"), F.col("r_ord").alias("person"))
+    close = joins.overlapping_pairs(people, people).filter((F.col("l_ord") < F.col("r_ord")) & (_overlap() > APART)).select("page", F.col("l_ord").alias("person"), F.col("r_ord").alias("second"))
+    together = held.join(close, ["page", "person"]).join(held.withColumnRenamed("person", "second"), ["page", "ord", "second"]).groupBy("page", "ord").agg(F.count("*").alias("close"))
+    n = F.col("n")
+    counts = held.groupBy("page", "ord").agg(F.count("*").alias("n")).join(together, ["page", "ord"], "left")
+    return counts.filter(F.coalesce("close", F.lit(0)) < n * (n - 1) / 2).select("page", "ord")
 
 
 def deduplicate_texts(items: DataFrame) -> DataFrame:
     """page, ord of texts kept: of overlapping ones (0.8 of the smaller) where one text holds
-    the other, the longer stays, then the surer, then the earlier.  Empty texts stay."""
+    the other, the longer stays, then the surer, then the earlier.  Empty texts stay.
+
+    Texts come in their order; one that clashes with several held ones contends for the
+    place that was taken first.
+    """
+    slim = items.select("page", "ord", "x", "y", "w", "h", "confidence", t.compact(F.col("text")).alias("t"))
+    a, b, both = _shared()
+    nested = F.contains("l_t", "r_t") | F.contains("r_t", "l_t")
+    met = joins.overlapping_pairs(slim.drop("confidence"), slim.drop("confidence"))
+    pairs = met.filter((F.col("l_ord") < F.col("r_ord")) & (F.col("l_t") != "") & (F.col("r_t") != "") & nested & (both / F.greatest(F.least(a, b), F.lit(1)) >= 0.8))
+    nodes = slim.select("page", "ord", F.lit(None).cast("int").alias("before"), F.length("t").alias("long"), "confidence")
+    links = pairs.select("page", F.col("r_ord").alias("ord"), F.col("l_ord").alias("before"), F.lit(None).cast("int").alias("long"), F.lit(None).cast("double").alias("confidence"))
 
     def run(rows: list[dict]) -> list[tuple]:
-        kept: list[dict] = []
-        for r in sorted(rows, key=lambda r: r["ord"]):
-            clash = None
-            for k in kept:
-                both = max(0, min(r["x"] + r["w"], k["x"] + k["w"]) - max(r["x"], k["x"])) * max(0, min(r["y"] + r["h"], k["y"] + k["h"]) - max(r["y"], k["y"]))
-                if both / max(1, min(r["w"] * r["h"], k["w"] * k["h"])) >= 0.8 and r["t"] and k["t"] and (r["t"] in k["t"] or k["t"] in r["t"]):
-                    clash = k
-                    break
+        worth = {r["ord"]: (r["long"], r["confidence"]) for r in rows if pd.isna(r["before"])}
+        earlier: dict[int, list[int]] = {}
+        for r in rows:
+            if not pd.isna(r["before"]):
+                earlier.setdefault(r["ord"], []).append(int(r["before"]))
+        holder: list[int] = []  # of each place
+        place: dict[int, int] = {}
+        for o in sorted(worth):
+            clash = min((place[b] for b in earlier.get(o, ()) if b in place), default=None)
             if clash is None:
-                kept.append(r)
-            elif (len(r["t"]), r["confidence"]) > (len(clash["t"]), clash["confidence"]):
-                kept[kept.index(clash)] = r
-        return [(o,) for o in sorted(k["ord"] for k in kept)]
+                place[o] = len(holder)
+                holder.append(o)
+            elif worth[o] > worth[holder[clash]]:
+                del place[holder[clash]]
+                place[o], holder[clash] = clash, o
+        return [(o,) for o in sorted(place)]
 
-    slim = items.select("page", "ord", "x", "y", "w", "h", "confidence", t.compact(F.col("text")).alias("t"))
-    return by_page(slim, run, "page long, ord int")
-
-
-def can_merge(a: dict, b: dict) -> bool:
-    """b stands right of a on one line, in like size, weight and colour."""
-    if b["x"] < a["x"] or max(0, min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"])) / max(1, min(a["h"], b["h"])) < 0.60:
-        return False
-    gap, tall = b["x"] - (a["x"] + a["w"]), max(a["h"], b["h"])
-    if gap < -0.35 * tall or gap > max(6, 0.45 * tall) or a["bold"] != b["bold"]:
-        return False
-    if abs(a["font_size"] - b["font_size"]) / max(a["font_size"], b["font_size"], 1) > 0.25:
-        return False
-    try:
-        p, q = ([int(c[i : i + 2], 16) for i in (1, 3, 5)] for c in (a["color"], b["color"]))
-    except (TypeError, ValueError):
+    return by_page(nodes.unionAll(links), run, "page long, ord int")
+
+
+#: Fixed values of merging, heights as shares of the smaller (shared rows) or larger box:
+#: shared rows, overlap and gap allowed, gap always allowed, difference of size, of colour.
+SHARED_ROWS, OVERLAP, GAP, LEAST_GAP, SIZE_STEP, COLOUR_STEP = 0.60, 0.35, 0.45, 6, 0.25, 48.0
+
+TEXT_SCHEMA = "page long, ord int, x int, y int, w int, h int, text string, font_size double, color string, bold boolean, confidence double"
+
+#: Height of the bands in which neighbours of a line are looked up.
+BAND = 32
+
+
+class _Lines:
+    """The texts of a page, found by the bands of rows that they touch."""
+
+    def __init__(self):
+        self.items: list[dict | None] = []
+        self.bands: dict[int, set[int]] = {}
+
+    @staticmethod
+    def _touched(item: dict) -> range:
+        return range(item["y"] // BAND, (item["y"] + max(item["h"], 1) - 1) // BAND + 1)
+
+    def add(self, item: dict) -> int:
+        at = len(self.items)
+        self.items.append(item)
+        for band in self._touched(item):
+            self.bands.setdefault(band, set()).add(at)
+        return at
+
+    def take(self, at: int) -> dict:
+        item, self.items[at] = self.items[at], None
+        for band in self._touched(item):
+            self.bands[band].discard(at)
+        return item
+
+    def neighbours(self, at: int) -> Iterator[tuple[float, float, int, int]]:
+        """(gap, distance of middles, left, right) of what may be merged with an item."""
+        item = self.items[at]
+        for other in set().union(*(self.bands[b] for b in self._touched(item))) - {at}:
+            for i, j in ((at, other), (other, at)):
+                gap = _gap_on_a_line(self.items[i], self.items[j])
+                if gap is not None:
+                    yield max(gap, 0), abs(self._middle(i) - self._middle(j)), i, j
+
+    def _middle(self, at: int) -> float:
+        return self.items[at]["y"] + self.items[at]["h"] / 2
+
+
+def _gap_on_a_line(a: dict, b: dict) -> int | None:
+    """The gap from a to b where b goes on in a's line and style, else null."""
+    low, tall = sorted((a["h"], b["h"]))
+    rows = min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"])
+    gap = b["x"] - a["x"] - a["w"]
+    sizes = a["font_size"], b["font_size"]
+    fits = (
+        a["x"] <= b["x"]
+        and rows / max(low, 1) >= SHARED_ROWS
+        and -OVERLAP * tall <= gap <= max(LEAST_GAP, GAP * tall)
+        and a["bold"] == b["bold"]
+        and max(sizes) - min(sizes) <= SIZE_STEP * max(*sizes, 1)
+        and _like_colours(a, b)
+    )
+    return gap if fits else None
+
+
+def _like_colours(a: dict, b: dict) -> bool:
+    if a["rgb"] is None or b["rgb"] is None:
         return a["color"] == b["color"]
-    return float(np.linalg.norm(np.array(p) - np.array(q))) <= 48.0
+    return sum((p - q) ** 2 for p, q in zip(a["rgb"], b["rgb"], strict=True)) <= COLOUR_STEP**2
 
 
-def merge_pair(a: dict, b: dict) -> dict:
-    cjk = lambda c: "一" <= c <= "鿿" if c else False
-    tight = cjk(b["text"][:1]) and (cjk(a["text"][-1:]) or a["text"][-1:].isdigit())
-    x, y = min(a["x"], b["x"]), min(a["y"], b["y"])
-    return a | {
-        "x": x, "y": y, "w": max(a["x"] + a["w"], b["x"] + b["w"]) - x, "h": max(a["y"] + a["h"], b["y"] + b["h"]) - y,
-        "text": a["text"] + ("" if tight else " ") + b["text"], "font_size": max(a["font_size"], b["font_size"]), "confidence": min(a["confidence"], b["confidence"]),
-    }
+_CJK, _CJK_OR_DIGIT = re.compile(t.CJK), re.compile(rf"(?:{t.CJK}|\d)\Z")
 
 
-TEXT_SCHEMA = "page long, ord int, x int, y int, w int, h int, text string, font_size double, color string, bold boolean, confidence double"
+def _joined(a: dict, b: dict) -> dict:
+    """One text of two: no blank where CJK follows CJK or a digit."""
+    blank = "" if _CJK.match(b["text"]) and _CJK_OR_DIGIT.search(a["text"]) else " "
+    pair = (a, b)
+    out = dict(a, text=blank.join(p["text"] for p in pair), font_size=max(p["font_size"] for p in pair), confidence=min(p["confidence"] for p in pair))
+    for low, side in (("x", "w"), ("y", "h")):
+        out[low] = min(p[low] for p in pair)
+        out[side] = max(p[low] + p[side] for p in pair) - out[low]
+    return out
 
 
 def merge_texts(items: DataFrame) -> DataFrame:
     """Neighbouring texts of a line merged, the closest pair first (overlapping ones are at
-    distance 0), until none is left; a merged text stands behind all others."""
+    distance 0), until none is left; a merged text stands behind all others.
+
+    Pairs wait in a heap, and a merged text meets only what shares its rows.
+    """
 
     def run(rows: list[dict]) -> list[tuple]:
-        rows = sorted(rows, key=lambda r: (r["y"], r["x"], r["ord"]))
-        while True:
-            best = None
-            for i, a in enumerate(rows):
-                for j, b in enumerate(rows):
-                    if i != j and can_merge(a, b):
-                        key = (max(b["x"] - a["x"] - a["w"], 0), abs(a["y"] + a["h"] / 2 - b["y"] - b["h"] / 2), i, j)
-                        if best is None or key < best:
-                            best = key
-            if best is None:
-                break
-            i, j = best[2], best[3]
-            rows = [r for n, r in enumerate(rows) if n not in (i, j)] + [merge_pair(rows[i], rows[j])]
-        return [tuple(r[n] for n in names[1:]) for r in rows]
+        page = _Lines()
+        for r in sorted(rows, key=lambda r: (r["y"], r["x"], r["ord"])):
+            hexes = re.match(r".([0-9a-fA-F]{2})([0-9a-fA-F]{2})([0-9a-fA-F]{2})", r["color"] or "")
+            r["rgb"] = tuple(int(v, 16) for v in hexes.groups()) if hexes else None
+            page.add(r)
+        waiting = [p for at in range(len(page.items)) for p in page.neighbours(at) if p[2] == at]
+        heapq.heapify(waiting)
+        while waiting:
+            _, _, i, j = heapq.heappop(waiting)
+            if page.items[i] is not None and page.items[j] is not None:
+                merged = page.add(_joined(page.take(i), page.take(j)))
+                for pair in page.neighbours(merged):
+                    heapq.heappush(waiting, pair)
+        return [tuple(r[n] for n in names[1:]) for r in page.items if r is not None]
 
     names = [c.split()[0] for c in TEXT_SCHEMA.split(", ")]
     return by_page(items.select(*names), run, TEXT_SCHEMA)
@@ -179,27 +305,28 @@ def two_views(first: DataFrame, second: DataFrame, least: float = 0.5) -> DataFr
 
     Consistent where the compacted texts agree; unmatched rows have other null.
     """
-    a = first.select("page", F.lit(0).alias("v"), "ord", "x", "y", "w", "h", t.compact(F.col("text")).alias("t"))
-    b = second.select("page", F.lit(1).alias("v"), "ord", "x", "y", "w", "h", t.compact(F.col("text")).alias("t"))
+    if least <= 0:
+        raise ValueError("least must be over 0: boxes that don't meet are no match")
+    side = lambda df: df.select("page", "ord", "x", "y", "w", "h", t.compact(F.col("text")).alias("t"))
+    size_a, size_b, both = _shared()
+    share = both / F.greatest(F.least(size_a, size_b), F.lit(1))
+    met = joins.overlapping_pairs(side(first), side(second)).withColumn("share", share).filter(F.col("share") >= least)
+    pairs = met.select("page", F.col("l_ord").alias("ord"), F.col("r_ord").alias("other"), "share", F.col("l_t").eqNullSafe(F.col("r_t")).alias("same"))
+    alone = first.select("page", "ord", F.lit(None).cast("int").alias("other"), F.lit(-1.0).alias("share"), F.lit(False).alias("same"))
 
     def run(rows: list[dict]) -> list[tuple]:
-        left, right = [r for r in rows if r["v"] == 0], [r for r in rows if r["v"] == 1]
-        scored = []
-        for p in left:
-            for q in right:
-                both = max(0, min(p["x"] + p["w"], q["x"] + q["w"]) - max(p["x"], q["x"])) * max(0, min(p["y"] + p["h"], q["y"] + q["h"]) - max(p["y"], q["y"]))
-                share = both / max(1, min(p["w"] * p["h"], q["w"] * q["h"]))
-                if share >= least:
-                    scored.append((-share, p["ord"], q["ord"], p["t"] == q["t"]))
         used, taken, out = set(), set(), []
-        for _, i, j, same in sorted(scored):
-            if i not in used and j not in taken:
-                used.add(i)
-                taken.add(j)
-                out.append((i, j, same))
-        return out + [(p["ord"], None, False) for p in left if p["ord"] not in used]
+        for r in sorted(rows, key=lambda r: (-r["share"], r["ord"], -1 if pd.isna(r["other"]) else r["other"])):
+            if r["ord"] not in used and r["other"] not in taken:
+                used.add(r["ord"])
+                if pd.isna(r["other"]):
+                    out.append((r["ord"], None, False))
+                else:
+                    taken.add(r["other"])
+                    out.append((r["ord"], int(r["other"]), bool(r["same"])))
+        return out
 
-    return by_page(a.unionAll(b), run, "page long, ord int, other int, consistent boolean")
+    return by_page(pairs.unionAll(alone), run, "page long, ord int, other int, consistent boolean")
 
 
 def text_metrics(expected: DataFrame, rendered: DataFrame) -> DataFrame:
@@ -228,16 +355,11 @@ def text_metrics(expected: DataFrame, rendered: DataFrame) -> DataFrame:
 
 def mask_nms(candidates: DataFrame, most_iou: float = 0.92) -> DataFrame:
     """page, ord, rank of box candidates kept by falling score; a dropped one suppresses nobody."""
-
-    def run(rows: list[dict]) -> list[tuple]:
-        kept: list[tuple] = []
-        for r in sorted(rows, key=lambda r: (-r["score"], r["ord"])):
-            box = (r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"])
-            if all(_iou(box, k[1]) < most_iou for k in kept):
-                kept.append((r["ord"], box))
-        return [(k[0], i) for i, k in enumerate(kept, start=1)]
-
-    return by_page(candidates.select("page", "ord", "x", "y", "w", "h", "score"), run, "page long, ord int, rank int")
+    if most_iou <= 0:
+        raise ValueError("most_iou must be over 0: boxes that don't meet suppress nobody")
+    boxes = candidates.select("page", "ord", "x", "y", "w", "h")
+    clashes = joins.overlapping_pairs(boxes, boxes).filter((F.col("l_ord") < F.col("r_ord")) & (_overlap() >= most_iou))
+    return independent(candidates, clashes, -F.col("score"))
 
 
 def entity_count(pairs: DataFrame, members: DataFrame) -> DataFrame:

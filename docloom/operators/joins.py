@@ -19,7 +19,7 @@ CELL = 128
 
 def _cells(df: DataFrame, cell: int, grow: int = 0) -> DataFrame:
     low = lambda c: F.floor((F.col(c) - grow) / cell).cast("long")
-    high = lambda a, b: F.greatest(low(a), F.floor((F.col(a) + F.col(b) + grow - 1) / cell).cast("long"))
+    high = lambda a, b: F.greatest(low(a), F.floor((F.ceil(F.col(a) + F.col(b)) + grow - 1) / cell).cast("long"))
     return df.withColumn("_gx", F.explode(F.sequence(low("x"), high("x", "w")))).withColumn("_gy", F.explode(F.sequence(low("y"), high("y", "h"))))
 
 
