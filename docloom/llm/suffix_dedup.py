@@ -221,25 +221,28 @@ def _parts(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by group: whole groups are suffix-sorted, several in one chunk."""
+    """Rows sorted by group: whole groups are suffix-sorted, several in one chunk.
+
+    Contexts that occur more than once only serve the others: they are repeated as a whole.
+    """
     held: list[tuple] = []
     size = 0
 
     def done():
         # Equal windows have equal groups, so groups may share a suffix array.
         flags = repeated_windows([r[2] for r in held])
-        hits = [(g, c, np.packbits(f).tobytes(), len(f), level) for (g, c, _, level), f in zip(held, flags, strict=True) if f.any()]
+        hits = [(g, c, np.packbits(f).tobytes(), len(f), level) for (g, c, _, level, once), f in zip(held, flags, strict=True) if once and f.any()]
         return pd.DataFrame(hits, columns=["grp", "ctx2", "bits", "n", "level"]).astype({"grp": "int64", "ctx2": "int64", "n": "int32", "level": "int32"})
 
     for pdf in batches:
-        for g, c, own, level in zip(pdf["grp"].tolist(), pdf["ctx2"].tolist(), pdf["own"].tolist(), pdf["level"].tolist(), strict=True):
+        for g, c, own, level, once in zip(*(pdf[x].tolist() for x in ("grp", "ctx2", "own", "level", "once")), strict=True):
             if size >= CHUNK and (held[-1][3], held[-1][0]) != (level, g):
                 yield done()
                 held, size = [], 0
             if held and held[-1][3] != level:  # a window is judged within one level
                 yield done()
                 held, size = [], 0
-            held.append((g, c, bytes(own), level))
+            held.append((g, c, bytes(own), level, once))
             size += len(own)
     if held:
         yield done()
@@ -294,18 +297,22 @@ def _flagged(texts: DataFrame, ws: Workspace) -> DataFrame:
         fold = ws.store(dealt.groupBy("grp", "ctx2").agg(F.sum("c").alias("c"), F.first("own").alias("own")), "fold" + name)
         per = fold.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
         levels.append(ws.store(fold.join(per, "grp").select("grp", "ctx2", "own", "c", "n"), "level" + name))
-        ties.append(ws.store(dealt.select("up_grp", "up_ctx", "shift", "grp", "ctx2"), "ties" + name))
+        # Contexts that occur more than once need no marks from their parts.
+        ties.append(ws.store(dealt.filter("c = 1").select("up_grp", "up_ctx", "shift", "grp", "ctx2"), "ties" + name))
         ws.drop("dealt" + name, "fold" + name)
         most *= 2
     last = len(levels) - 1 if most >= 2 * grams else None  # no hash is left to deal by
-    to_sort = [x.filter((F.col("n") > 1) & ((F.col("n") <= HOT) | F.lit(i == last))).select("grp", "ctx2", "own", F.lit(i).alias("level")) for i, x in enumerate(levels)]
+    to_sort = [x.filter((F.col("n") > 1) & ((F.col("n") <= HOT) | F.lit(i == last))).select("grp", "ctx2", "own", F.lit(i).alias("level"), (F.col("c") == 1).alias("once")) for i, x in enumerate(levels)]
     both = to_sort[0]
     for x in to_sort[1:]:
         both = both.unionAll(x)
     # Groups of two levels never share a name but by chance, and are kept apart anyway.
     sorted_ = both.repartition(n, "level", "grp").sortWithinPartitions("level", "grp", "ctx2").mapInPandas(_sort_groups, "grp long, ctx2 long, bits binary, n int, level int")
     hits = ws.store(sorted_, "hits")
-    found = None  # marks on the contexts of a level: place, bits, count
+    # Marks on the contexts of a level: place, bits, count.  A context that occurs more than
+    # once has one mark, for the whole of it, and one that occurs once has one tie: the join
+    # with the ties gives no more rows than there are marks and ties.
+    found = None
     for i in range(len(levels) - 1, -1, -1):
         own = hits.filter(F.col("level") == i).select("grp", "ctx2", F.lit(0).alias("at"), "bits", "n")
         if i:
@@ -315,11 +322,9 @@ def _flagged(texts: DataFrame, ws: Workspace) -> DataFrame:
         if i:
             found = found.join(ties[i - 1], ["grp", "ctx2"]).select(F.col("up_grp").alias("grp"), F.col("up_ctx").alias("ctx2"), (F.col("at") + F.col("shift")).cast("int").alias("at"), "bits", "n")
     found = found.select(F.col("grp").alias("gram"), F.col("ctx2").alias("ctx"), F.col("at").alias("shift"), "bits", "n")
-    # Contexts that occur more than once are repeated as a whole; the others by their bits.
+    # Here, too, contexts that occur more than once are repeated as a whole.
     whole = known.filter("c > 1").select("gram", "ctx", F.lit(0).alias("shift"), F.lit(None).cast("binary").alias("bits"), F.lit(-1).alias("n"))
-    single = known.filter("c = 1").select("gram", "ctx")
-    marks = whole.unionAll(found.join(single, ["gram", "ctx"], "left_semi"))
-    on_text = runs.join(marks, ["gram", "ctx"]).select("k", (F.col("first") + F.col("shift")).alias("at"), "bits", F.when(F.col("n") < 0, F.col("last") - F.col("first") + 1).otherwise(F.col("n")).alias("n"))
+    on_text = runs.join(whole.unionAll(found), ["gram", "ctx"]).select("k", (F.col("first") + F.col("shift")).alias("at"), "bits", F.when(F.col("n") < 0, F.col("last") - F.col("first") + 1).otherwise(F.col("n")).alias("n"))
     marked = ws.store(on_text.groupBy("k").agg(F.collect_list(F.struct("at", "bits", "n")).alias("marks")), "marks")
     ws.drop("repeated", "contexts", *[name for name in ws.paths if name.split("-")[0] in ("owned", "hits", "level", "ties")])
     ws.release()
