@@ -25,15 +25,16 @@ def components(edges: DataFrame, ws: Workspace | None = None, name: str = "edges
     Nodes without an edge to another don't appear.  Each round replaces every node's
     neighbours by the smallest one (large star, then small star); the rounds grow with
     the logarithm of the size.  Minima are partial aggregates and the joins that follow
-    are plain equi-joins, which adaptive execution splits at hubs.
+    are sort-merge joins, which adaptive execution splits at hubs; none is broadcast, as the
+    planner knows only the size of the compressed edges.
     """
     ws = ws or Workspace(edges.sparkSession)
     e = ws.store(_lower_first(edges), name)
     while not _is_stars(e):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+        large = both.join(low.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").unionAll(low.select("a", F.col("m").alias("b")))
+        small = large.join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").unionAll(low.select("a", F.col("m").alias("b")))
         e = ws.store(small.distinct(), name)
     return e.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -20,6 +20,10 @@ Components are found by alternating stars.
 
 Distinct texts are written once, bucketed by their MD5: no later step shuffles texts that
 nobody asks for, at any size.
+
+Joins of tables that grow with the nodes carry a merge hint: the planner takes a table's
+size from its compressed file and doesn't count the rows that explode() adds, so it would
+broadcast, through the driver, tables many times larger than its threshold.
 """
 
 from __future__ import annotations
@@ -181,7 +185,7 @@ def _cells(batches: Iterator[pd.DataFrame], sets: Sets) -> Iterator[pd.DataFrame
 def _verify(asked: DataFrame, nodes: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
     """asked: (g, i, j, role, doc_id, label), a cell being (g, i, j)."""
     n = partitions(asked.sparkSession)
-    asked = asked.join(nodes.select(F.col("node").alias("doc_id"), "k"), "doc_id")
+    asked = asked.join(nodes.select(F.col("node").alias("doc_id"), "k").hint("merge"), "doc_id")
     rows = texts.select("k", "text").join(asked.hint("merge"), "k").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "role", "doc_id")
     return rows.select("g", "i", "j", "role", "doc_id", "label", "text").mapInPandas(lambda b: _cells(b, sets), "a long, b long")
 
@@ -190,7 +194,7 @@ def _star_cells(stars: DataFrame) -> DataFrame:
     """(a, b, la, lb): cells of a and at most about CELL of its b."""
     salts = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("s"), F.first("la").alias("la"))
     heads = salts.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("role"), F.col("a").alias("doc_id"), F.col("la").alias("label"))
-    tails = stars.join(salts.select("a", "s"), "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("role"), F.col("b").alias("doc_id"), F.col("lb").alias("label"))
+    tails = stars.join(salts.select("a", "s").hint("merge"), "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("role"), F.col("b").alias("doc_id"), F.col("lb").alias("label"))
     return heads.unionAll(tails)
 
 
@@ -227,7 +231,7 @@ def _linked(nodes: DataFrame, texts: DataFrame, sets: Sets, ws: Workspace) -> tu
     width = 2 * rows
     keyed = nodes.select("node", "regs", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("b")).select("node", F.expr(f"xxhash64(b, substring(regs, b * {width} + 1, {width}))").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("node").alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    stars = ws.store(keyed.join(pivots, "key").filter("node > p").select("p", "node").distinct(), "stars")
+    stars = ws.store(keyed.join(pivots.hint("merge"), "key").filter("node > p").select("p", "node").distinct(), "stars")
     ws.release()
     cells = _star_cells(stars.select(F.col("p").alias("a"), F.col("node").alias("b"), F.col("p").alias("la"), F.col("node").alias("lb")))
     links = ws.store(_verify(cells, nodes, texts, sets), "links")
@@ -237,7 +241,7 @@ def _linked(nodes: DataFrame, texts: DataFrame, sets: Sets, ws: Workspace) -> tu
 def _labelled(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
     """df with the label of a node column; a node without links is its own."""
     found = labels.select(F.col("node").alias(node), F.col("label").alias("_l"))
-    return df.join(found, node, "left").withColumn(label, F.coalesce("_l", node)).drop("_l")
+    return df.join(found.hint("merge"), node, "left").withColumn(label, F.coalesce("_l", node)).drop("_l")
 
 
 def _second_round(stars: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, sets: Sets, ws: Workspace) -> tuple[DataFrame, DataFrame]:
