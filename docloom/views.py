@@ -96,7 +96,7 @@ class Views:
         return e.select(
             F.col("user_id").alias("page"),
             "event_id",
-            F.col("ts").cast("timestamp").alias("ts"),
+            "ts",
             _map(F.col("event_type"), TRACE_KIND).alias("event"),
             F.concat(F.lit("stage"), (F.col("event_id") % 5).cast("string")).alias("stage"),
             F.concat(F.lit("model"), (F.col("event_id") % 3).cast("string")).alias("model"),

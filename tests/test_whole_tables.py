@@ -68,3 +68,14 @@ def test_package_integers_and_alternatives():
     assert found("", "<p:sp/>", {"x": uri}) == found("x y", "<p:sp/>", {"x": uri}) == [p.P + "pic"]
     with pytest.raises(ValueError):
         found("x", "", {"x": uri})
+
+
+def test_paired_loads_of_lone_and_undated_events(spark):
+    """As its SQL: a count is null where no row tells, and rows without a time come last."""
+    from docloom.operators import aggregates
+
+    start, finish = "model_load_start", "model_load_finish"
+    rows = [("lone finish", 1, 1, finish, "success"), ("failed finish", 1, 2, finish, "error"), ("lone start", 1, 3, start, "success"), ("undated", None, 4, finish, "success"), ("undated", 1, 5, start, "success")]
+    trace = spark.createDataFrame([(0, *r) for r in rows], "page long, model string, ts int, event_id long, event string, status string")
+    got = {r.model: (r.loads, r.unpaired) for r in aggregates.paired_loads(trace).collect()}
+    assert got == {"lone finish": (None, 1), "failed finish": (0, 1), "lone start": (0, None), "undated": (1, 0)}
