@@ -141,6 +141,19 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def similar(a, b, least) -> Column:
+    """Whether the matching-blocks ratio of two texts reaches `least`."""
+    return F.pandas_udf(_similar, "boolean")(a, b, least)
+
+
+def _similar(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    def reaches(x: str, y: str, ratio: float) -> bool:
+        match = difflib.SequenceMatcher(None, x, y)
+        return match.quick_ratio() >= ratio and match.ratio() >= ratio  # the first is never less than the second
+
+    return pd.Series([reaches(x or "", y or "", r) for x, y, r in zip(a, b, least, strict=True)], dtype="bool")
+
+
 def meaningful(text) -> Column:
     """Letters, digits and CJK characters."""
     return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\u4e00-\u9fff\u3400-\u4dbf]", ""))

@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from docloom.functions import geometry as g
 from docloom.functions import text as t
 
-CELL = 128
+#: Width and height of a cell for boxes of any shape, and for lines of text, which are wide
+#: and flat: a line stays in one or two cells, and its text with it.
+CELL, LINE_CELL = (128, 128), (2048, 128)
 
 
-def _cells(df: DataFrame, cell: int, grow: int = 0) -> DataFrame:
-    low = lambda c: F.floor((F.col(c) - grow) / cell).cast("long")
-    high = lambda a, b: F.greatest(low(a), F.floor((F.ceil(F.col(a) + F.col(b)) + grow - 1) / cell).cast("long"))
-    return df.withColumn("_gx", F.explode(F.sequence(low("x"), high("x", "w")))).withColumn("_gy", F.explode(F.sequence(low("y"), high("y", "h"))))
+def _cells(df: DataFrame, cell: tuple[int, int]) -> DataFrame:
+    low = lambda c, size: F.floor(F.col(c) / size).cast("long")
+    high = lambda a, b, size: F.greatest(low(a, size), F.floor((F.ceil(F.col(a) + F.col(b)) - 1) / size).cast("long"))
+    return df.withColumn("_gx", F.explode(F.sequence(low("x", cell[0]), high("x", "w", cell[0])))).withColumn("_gy", F.explode(F.sequence(low("y", cell[1]), high("y", "h", cell[1]))))
 
 
-def overlapping_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("page",), cell: int = CELL) -> DataFrame:
+def overlapping_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("page",), cell: tuple[int, int] = CELL) -> DataFrame:
     """Pairs of size boxes (x, y, w, h) of equal keys whose insides meet.
 
     left's columns become l_*, right's r_*; the keys keep their names.
@@ -33,7 +35,7 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...] =
     c = F.col
     x1, y1 = F.greatest("l_x", "r_x"), F.greatest("l_y", "r_y")
     meet = (x1 < F.least(c("l_x") + c("l_w"), c("r_x") + c("r_w"))) & (y1 < F.least(c("l_y") + c("l_h"), c("r_y") + c("r_h")))
-    own = (F.floor(x1 / cell) == c("_gx")) & (F.floor(y1 / cell) == c("_gy"))
+    own = (F.floor(x1 / cell[0]) == c("_gx")) & (F.floor(y1 / cell[1]) == c("_gy"))
     return a.join(b, [*keys, "_gx", "_gy"]).filter(meet & own).drop("_gx", "_gy")
 
 
@@ -64,16 +66,16 @@ def known_text(items: DataFrame, known: DataFrame, exact_only: bool = False) ->
     norm = t.compact_ascii if exact_only else t.compact
     a = items.select("page", "ord", "x", "y", "w", "h", norm(F.col("text")).alias("t"))
     b = known.select("page", "ord", "x", "y", "w", "h", norm(F.col("text")).alias("t"))
-    p = overlapping_pairs(a, b)
+    p = overlapping_pairs(a, b, cell=LINE_CELL)
     c = F.col
     over = g.overlap_of_smaller([c(f"l_{n}") for n in "xywh"], [c(f"r_{n}") for n in "xywh"])
     short = F.least(F.length("l_t"), F.length("r_t"))
     held = (short >= 4) & (F.contains("l_t", "r_t") | F.contains("r_t", "l_t"))
     p = p.withColumn("over", over).filter("over >= 0.5")
     same = c("l_t") == c("r_t")
-    sure = p.filter(same | ((c("over") >= 0.8) & held))
+    sure = same | ((c("over") >= 0.8) & held)
     if exact_only:
-        return sure.select("page", F.col("l_ord").alias("ord")).distinct()
+        return p.filter(sure).select("page", F.col("l_ord").alias("ord")).distinct()
     most = F.greatest
     near = (
         (F.least("l_w", "r_w") / most(F.lit(1), "l_w", "r_w") >= 0.75)
@@ -81,10 +83,14 @@ def known_text(items: DataFrame, known: DataFrame, exact_only: bool = False) ->
         & (F.abs(c("l_x") + c("l_w") / 2 - c("r_x") - c("r_w") / 2) <= most("l_w", "r_w") * 0.20)
         & (F.abs(c("l_y") + c("l_h") / 2 - c("r_y") - c("r_h") / 2) <= most("l_h", "r_h") * 0.25)
     )
-    maybe = p.filter((c("over") >= 0.8) & ~same & ~held & near).withColumn("ratio", t.similarity("l_t", "r_t"))
+    # One pass over the pairs: texts go to Python only where the ratio decides, which is at
+    # most twice the shorter text over both.
     long = most(F.length("l_t"), F.length("r_t"))
-    similar = (c("ratio") >= 0.88) | ((long >= 20) & (short / most(F.lit(1), long) <= 0.75) & (c("ratio") >= 0.5))
-    return sure.select("page", F.col("l_ord").alias("ord")).unionAll(maybe.filter(similar).select("page", F.col("l_ord").alias("ord"))).distinct()
+    least = F.when((long >= 20) & (short / most(F.lit(1), long) <= 0.75), 0.5).otherwise(0.88)
+    p = p.withColumn("sure", F.coalesce(sure, F.lit(False)))
+    p = p.filter(c("sure") | ((c("over") >= 0.8) & ~same & ~held & near & (2 * short / most(F.lit(1), short + long) >= least)))
+    similar = t.similar(*[F.when(~c("sure"), c(s)) for s in ("l_t", "r_t")], least)
+    return p.filter(c("sure") | similar).select("page", F.col("l_ord").alias("ord")).distinct()
 
 
 def uncovered(diagnostics: DataFrame, items: DataFrame, least: float = 0.80) -> DataFrame:
