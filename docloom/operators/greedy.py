@@ -163,7 +163,7 @@ def deduplicate_texts(items: DataFrame) -> DataFrame:
     slim = items.select("page", "ord", "x", "y", "w", "h", "confidence", t.compact(F.col("text")).alias("t"))
     a, b, both = _shared()
     nested = F.contains("l_t", "r_t") | F.contains("r_t", "l_t")
-    met = joins.overlapping_pairs(slim.drop("confidence"), slim.drop("confidence"))
+    met = joins.overlapping_pairs(slim.drop("confidence"), slim.drop("confidence"), cell=joins.LINE_CELL)
     pairs = met.filter((F.col("l_ord") < F.col("r_ord")) & (F.col("l_t") != "") & (F.col("r_t") != "") & nested & (both / F.greatest(F.least(a, b), F.lit(1)) >= 0.8))
     nodes = slim.select("page", "ord", F.lit(None).cast("int").alias("before"), F.length("t").alias("long"), "confidence")
     links = pairs.select("page", F.col("r_ord").alias("ord"), F.col("l_ord").alias("before"), F.lit(None).cast("int").alias("long"), F.lit(None).cast("double").alias("confidence"))
@@ -310,7 +310,7 @@ def two_views(first: DataFrame, second: DataFrame, least: float = 0.5) -> DataFr
     side = lambda df: df.select("page", "ord", "x", "y", "w", "h", t.compact(F.col("text")).alias("t"))
     size_a, size_b, both = _shared()
     share = both / F.greatest(F.least(size_a, size_b), F.lit(1))
-    met = joins.overlapping_pairs(side(first), side(second)).withColumn("share", share).filter(F.col("share") >= least)
+    met = joins.overlapping_pairs(side(first), side(second), cell=joins.LINE_CELL).withColumn("share", share).filter(F.col("share") >= least)
     pairs = met.select("page", F.col("l_ord").alias("ord"), F.col("r_ord").alias("other"), "share", F.col("l_t").eqNullSafe(F.col("r_t")).alias("same"))
     alone = first.select("page", "ord", F.lit(None).cast("int").alias("other"), F.lit(-1.0).alias("share"), F.lit(False).alias("same"))
 
