@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import joins
 from docloom.operators.greedy import by_page
 
 
@@ -198,6 +199,18 @@ def region_labels(texts: DataFrame, boxes: DataFrame) -> DataFrame:
     return texts.join(own, ["page", "y", "x"], "left")
 
 
+def box_labels(texts: DataFrame, boxes: DataFrame) -> DataFrame:
+    """As region_labels, of whole boxes: page, ord, x, y, w, h.
+
+    Pixels and boxes meet in cells of the grid, so no box is spread to its pixels and what
+    is held grows with the text pixels.
+    """
+    pixels = texts.select("page", "y", "x", F.lit(1).alias("w"), F.lit(1).alias("h")).distinct()
+    met = joins.overlapping_pairs(pixels, boxes.select("page", "ord", "x", "y", "w", "h"))
+    own = met.groupBy("page", F.col("l_y").alias("y"), F.col("l_x").alias("x")).agg(F.min("r_ord").alias("label"))
+    return texts.join(own, ["page", "y", "x"], "left")
+
+
 def largest_label(labels: DataFrame) -> DataFrame:
     """page, pixels: the size of the page's largest label."""
     return labels.filter("label is not null").groupBy("page", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("page").agg(F.max("n").alias("pixels"))

@@ -355,10 +355,10 @@ _BC = lambda v: v.boxes.select("page", "ord", F.floor(c("x") / 100).cast("int").
 _BX = "SELECT page, ord, x // 100 AS x, y // 100 AS y, w % 3 + 1 AS w, h % 3 + 1 AS h FROM boxes"
 query("text_mask", f"SELECT page, ord, yy AS y, xx AS x FROM (SELECT *, unnest(generate_series(greatest(0, x - 1), least(7, x + w))) AS xx FROM (SELECT *, unnest(generate_series(greatest(0, y - 1), least(7, y + h))) AS yy FROM ({_BX}) WHERE x - 1 < 8 AND y - 1 < 8))")(lambda v: graph.box_cells(_BC(v), 1, 8, 8))
 query("text_region_labels", f"WITH k AS (SELECT page, min(ord) AS label, yy AS y, xx AS x FROM (SELECT *, unnest(generate_series(x, least(7, x + w - 1))) AS xx FROM (SELECT *, unnest(generate_series(y, least(7, y + h - 1))) AS yy FROM ({_BX}) WHERE x < 8 AND y < 8)) GROUP BY page, yy, xx) SELECT c.page, c.y, c.x, k.label FROM cells c LEFT JOIN k ON k.page = c.page AND k.y = c.y AND k.x = c.x WHERE c.mask")(
-    lambda v: graph.region_labels(v.cells.filter("mask").select("page", "y", "x"), graph.box_cells(_BC(v), 0, 8, 8))
+    lambda v: graph.box_labels(v.cells.filter("mask").select("page", "y", "x"), _BC(v))
 )
 query("largest_text_region", f"WITH k AS (SELECT page, min(ord) AS label, yy AS y, xx AS x FROM (SELECT *, unnest(generate_series(x, least(7, x + w - 1))) AS xx FROM (SELECT *, unnest(generate_series(y, least(7, y + h - 1))) AS yy FROM ({_BX}) WHERE x < 8 AND y < 8)) GROUP BY page, yy, xx) SELECT page, max(n) AS pixels FROM (SELECT c.page, k.label, count(*) AS n FROM cells c JOIN k ON k.page = c.page AND k.y = c.y AND k.x = c.x WHERE c.mask GROUP BY ALL) GROUP BY page")(
-    lambda v: graph.largest_label(graph.region_labels(v.cells.filter("mask").select("page", "y", "x"), graph.box_cells(_BC(v), 0, 8, 8)))
+    lambda v: graph.largest_label(graph.box_labels(v.cells.filter("mask").select("page", "y", "x"), _BC(v)))
 )
 query("mask_projection", f"WITH k AS ({_CLAIMS}) SELECT page, owner, count(*) AS outside FROM k WHERE x >= 8 GROUP BY ALL")(lambda v: graph.project(_claims(v), 8, 8)[1])
 query("mask_box_fill", f"SELECT b.page, b.ord, count(CASE WHEN c.mask THEN 1 END) / CAST(greatest(1, any_value(b.w * b.h)) AS DOUBLE) AS fill FROM ({_BX}) b LEFT JOIN cells c ON c.page = b.page AND c.x >= b.x AND c.y >= b.y AND c.x < b.x + b.w AND c.y < b.y + b.h GROUP BY b.page, b.ord")(lambda v: graph.box_fill(v.cells, _BC(v)))
