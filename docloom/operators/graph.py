@@ -124,17 +124,36 @@ def delta_scope(nodes: DataFrame, changed: DataFrame, reach: int = 3, most: int
     scope closes over parents, children and adjacent nodes.  A page whose scope would
     exceed `most` nodes is unprovable: node null, everything is to be computed anew.
     """
-    from docloom.operators.joins import overlapping_pairs
-
     wide = nodes.select("page", "node", (F.col("x") - reach).alias("x"), (F.col("y") - reach).alias("y"), (F.col("w") + 2 * reach).alias("w"), (F.col("h") + 2 * reach).alias("h"))
-    plain = nodes.select("page", "node", "x", "y", "w", "h")
-    touched = overlapping_pairs(wide, changed.select("page", "x", "y", "w", "h")).select("page", F.col("l_node").alias("node")).distinct()
-    near = overlapping_pairs(wide, plain).filter("l_node <> r_node").select("page", F.col("l_node").alias("a"), F.col("r_node").alias("b"))
-    kin = nodes.filter("parent is not null").select("page", F.col("node").alias("a"), F.col("parent").alias("b"))
-    links = near.unionAll(kin).unionAll(kin.select("page", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    found = reached(links, touched, True)
-    size = found.groupBy("page").agg(F.count(F.lit(1)).alias("_n"))
-    return found.join(size, "page").select("page", F.when(F.col("_n") <= most, F.col("node")).alias("node")).distinct()
+    row = lambda what, a, b: ("page", F.lit(what).alias("what"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+    touched = joins.overlapping_pairs(wide, changed.select("page", "x", "y", "w", "h")).select(*row(0, "l_node", "l_node"))
+    # The same rows on both sides, widened, so that they are shuffled once; r is made plain after
+    # the join.  Boxes that have a size are near each other or not; one without is nobody's neighbour.
+    at = lambda n, side: F.greatest(f"l_{n}", F.col(f"r_{n}") + reach) < F.least(F.col(f"l_{n}") + F.col(f"l_{side}"), F.col(f"r_{n}") + F.col(f"r_{side}") - reach)
+    sized = F.least("l_w", "l_h", "r_w", "r_h") > 2 * reach
+    pairs = joins.overlapping_pairs(wide, wide).filter(at("x", "w") & at("y", "h") & ((F.col("l_node") < F.col("r_node")) | ((F.col("l_node") > F.col("r_node")) & ~sized)))
+    near = pairs.select("page", F.when(sized, 2).otherwise(1).alias("what"), F.col("l_node").cast("long").alias("a"), F.col("r_node").cast("long").alias("b"))
+    kin = nodes.filter("parent is not null").select(*row(2, "node", "parent"))
+
+    def run(rows: list[dict]) -> list[tuple]:
+        to: dict = {}
+        found = {r["a"] for r in rows if r["what"] == 0}
+        if not found:
+            return []
+        for r in rows:
+            if r["what"]:
+                to.setdefault(r["a"], []).append(r["b"])
+            if r["what"] == 2:
+                to.setdefault(r["b"], []).append(r["a"])
+        todo = list(found)
+        while todo and len(found) <= most:
+            for b in to.get(todo.pop(), ()):
+                if b not in found:
+                    found.add(b)
+                    todo.append(b)
+        return [(n,) for n in found] if len(found) <= most else [(None,)]
+
+    return by_page(touched.unionAll(near).unionAll(kin), run, "page long, node long")
 
 
 def can_reuse(scope: DataFrame, pages: DataFrame, hashes: DataFrame) -> DataFrame:
