@@ -108,8 +108,13 @@ def deactivate_descendants(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     return nodes.join(hit, ["page", "node"], "left").withColumn("state", F.when(F.col("_d"), "inactive").otherwise(F.col("state"))).drop("_d")
 
 
-def related_inactive(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """page, target, source of pairs whose target is above the source, or its sibling."""
+def related_inactive(pairs: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """page, target, source of pairs whose target is above the source, or its sibling.
+
+    Without pairs: of all pairs of two nodes of a page, which are then never listed.
+    """
+    if pairs is None:
+        return by_page(_parent_links(nodes), _related, "page long, target long, source long")
     above = ancestors(nodes).select("page", F.col("node").alias("source"), F.col("ancestor").alias("target"))
     p = nodes.select("page", "node", "parent")
     s = pairs.join(p.select("page", F.col("node").alias("source"), F.col("parent").alias("sp")), ["page", "source"]).join(p.select("page", F.col("node").alias("target"), F.col("parent").alias("tp")), ["page", "target"])
@@ -117,6 +122,24 @@ def related_inactive(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("page", "source", "target").join(above, ["page", "source", "target"], "left_semi").union(sibling).distinct()
 
 
+def _related(rows: list[dict]) -> Iterator[tuple]:
+    """target, source, each pair once, where a node may have several parents, too."""
+    above: dict = {}
+    below: dict = {}
+    for r in rows:
+        above.setdefault(r["node"], set()).add(r["parent"])
+        below.setdefault(r["parent"], set()).add(r["node"])
+    for node, parents in above.items():
+        related, todo = set(parents), list(parents)
+        while todo:
+            for up in above.get(todo.pop(), ()):
+                if up not in related:
+                    related.add(up)
+                    todo.append(up)
+        for target in related.union(*(below[p] for p in parents)) - {node}:
+            yield target, node
+
+
 def delta_scope(nodes: DataFrame, changed: DataFrame, reach: int = 3, most: int = 64) -> DataFrame:
     """page, node: what a change of text makes stale.
 

@@ -445,7 +445,7 @@ query("deactivate_descendants", _UP + "SELECT page, node, CASE WHEN EXISTS (SELE
     lambda v: graph.deactivate_descendants(v.nodes, v.nodes.filter("x % 4 = 0")).select("page", "node", "state")
 )
 query("related_inactive", _UP + "SELECT s.page, t.node AS target, s.node AS source FROM nodes s JOIN nodes t ON s.page = t.page AND s.node <> t.node WHERE EXISTS (SELECT 1 FROM a WHERE a.page = s.page AND a.node = s.node AND a.ancestor = t.node) OR s.parent = t.parent")(
-    lambda v: graph.related_inactive((lambda n: n.select("page", c("node").alias("source")).join(n.select("page", c("node").alias("target")), "page").filter("source <> target"))(v.nodes), v.nodes).select("page", "target", "source")
+    lambda v: graph.related_inactive(None, v.nodes).select("page", "target", "source")
 )
 query("delta_scope", """WITH RECURSIVE k AS (SELECT a.page, a.node AS a, b.node AS b FROM nodes a JOIN nodes b ON a.page = b.page AND a.node <> b.node AND greatest(a.x - 3, b.x) < least(a.x + a.w + 3, b.x + b.w) AND greatest(a.y - 3, b.y) < least(a.y + a.h + 3, b.y + b.h) UNION SELECT page, node, parent FROM nodes WHERE parent IS NOT NULL UNION SELECT page, parent, node FROM nodes WHERE parent IS NOT NULL),
     s AS (SELECT page, node FROM nodes WHERE greatest(x - 3, 100) < least(x + w + 3, 260) AND greatest(y - 3, 100) < least(y + h + 3, 260) UNION SELECT s.page, k.b FROM s JOIN k ON k.page = s.page AND k.a = s.node), n AS (SELECT page, count(*) AS n FROM s GROUP BY page)

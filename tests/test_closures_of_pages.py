@@ -45,3 +45,13 @@ def test_scope_against_plain_python(spark):
         got = [(r.page, r.node) for r in scope.collect()]
         assert set(got) == want and len(got) == len(want)
     assert plan(scope).count("MapInPandas") == 1 and "Aggregate" not in plan(scope)  # one walk; links go to it as they are
+
+
+def test_related_without_listed_pairs(spark):
+    nodes = [(1, 1, None), (1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 5, 2), (1, 6, 4), (1, 7, None), (2, 1, 2), (2, 2, 1), (2, 3, 1), (3, 5, 5), (3, 6, None)]
+    df = spark.createDataFrame(nodes, "page long, node long, parent long")
+    ids = df.select("page", "node")
+    pairs = ids.withColumnRenamed("node", "source").join(ids.withColumnRenamed("node", "target"), "page").filter("source <> target")
+    row = lambda d: sorted((r.page, r.target, r.source) for r in d.collect())
+    assert row(graph.related_inactive(None, df)) == row(graph.related_inactive(pairs, df)) != []
+    assert "Join" not in plan(queries.queries()["related_inactive"](spark, "/root/testdata/sf0.001"))
