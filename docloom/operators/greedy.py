@@ -121,16 +121,41 @@ def filter_proposals(proposals: DataFrame, width: int, height: int, crop_w: int,
     rows = found.filter(~(too_large | whole_crop | info_icon))
 
     a, b, _ = _shared()
-    same_kind = (F.col("l_role") == F.col("r_role")) & ((F.col("l_role") != "object") | F.arrays_overlap("l_tok", "r_tok"))
+    same_kind = (F.col("role") != "object") | F.arrays_overlap("l_tok", "r_tok")  # roles are equal, by the join
     like = (F.least(a, b) / F.greatest(a, b, F.lit(1.0)) >= LIKE_SIZE) & (_overlap() >= LIKE_BOX)
-    slim = rows.drop("score", "edge")
-    clashes = joins.overlapping_pairs(slim, slim).filter((F.col("l_ord") < F.col("r_ord")) & same_kind & like)
-    kept = rows.join(independent(rows, clashes, F.col("edge"), -F.col("score")), ["page", "ord"], "left_semi")
-    return kept.select("page", "ord").join(_around_people(kept), ["page", "ord"], "left_anti")
+    slim = rows.select("page", "role", "ord", "x", "y", "w", "h", "score", "edge", F.when(F.col("role") == "object", F.col("tok")).alias("tok"))
+    clashes = joins.overlapping_pairs(slim, slim, ("page", "role")).filter((F.col("l_ord") < F.col("r_ord")) & same_kind & like)
+    dropped = _beaten(clashes.withColumns({f"{p}last": -F.col(f"{p}score") for p in ("l_", "r_")}), "edge", "last")
+    out = dropped.unionAll(_around_people(rows, dropped))
+    return rows.select("page", "ord").join(out, ["page", "ord"], "left_anti")
 
 
-def _around_people(rows: DataFrame) -> DataFrame:
-    """page, ord of weak containers that hold the centres of two people that don't overlap.
+def _beaten(clashes: DataFrame, *order) -> DataFrame:
+    """page, ord of what independent() leaves out, from the pairs alone: rows that clash with
+    none are never walked.
+
+    clashes: page, and ord and the columns of order as l_* and r_*.
+    """
+    side = lambda p: F.struct(*[F.col(f"{p}{n}") for n in order], F.col(f"{p}ord").alias("ord")).alias(f"{p}place")
+
+    def run(rows: list[dict]) -> list[tuple]:
+        near: dict[tuple, list[tuple]] = {}
+        for r in rows:
+            a, b = tuple(r["l_place"].values()), tuple(r["r_place"].values())
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+        barred: set[tuple] = set()
+        for place in sorted(near):
+            if place not in barred:
+                barred.update(near[place])
+        return [(place[-1],) for place in barred]
+
+    return by_page(clashes.select("page", side("l_"), side("r_")), run, "page long, ord int")
+
+
+def _around_people(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """page, ord of weak containers that hold the centres of two people that don't overlap,
+    none of them dropped.
 
     People are paired only where they meet: n of them are all close to each other if the
     close pairs number n (n - 1) / 2, so separate ones are never listed.
@@ -146,6 +171,7 @@ def _around_people(rows: DataFrame) -> DataFrame:
     for v, side in (("x", "w"), ("y", "h")):
         within &= at(v).between(F.col(f"l_{v}") + 1, F.col(f"l_{v}") + F.col(f"l_{side}") - 1)
     held = joins.overlapping_pairs(holders, centres).filter(within).select("page", F.col("l_ord").alias("ord"), F.col("r_ord").alias("person"))
+    held = held.join(dropped, ["page", "ord"], "left_anti").join(dropped.withColumnRenamed("ord", "person"), ["page", "person"], "left_anti")
     close = joins.overlapping_pairs(people, people).filter((F.col("l_ord") < F.col("r_ord")) & (_overlap() > APART)).select("page", F.col("l_ord").alias("person"), F.col("r_ord").alias("second"))
     together = held.join(close, ["page", "person"]).join(held.withColumnRenamed("person", "second"), ["page", "ord", "second"]).groupBy("page", "ord").agg(F.count("*").alias("close"))
     n = F.col("n")

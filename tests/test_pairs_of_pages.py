@@ -86,3 +86,13 @@ def test_merged_texts_are_closed_and_lose_nothing(spark):
         assert all(greedy._gap_on_a_line(a, b) is None for a in out for b in out if a is not b)
         letters = lambda items: sorted(c for r in items for c in r["text"] if c != " ")
         assert letters(out) == letters(rows)
+
+
+def test_only_clashing_proposals_are_walked(spark, monkeypatch):
+    walked = []
+    by_page = greedy.by_page
+    monkeypatch.setattr(greedy, "by_page", lambda df, *a: walked.append(df) or by_page(df, *a))
+    rows = [(0, i, 40 * i, 0, 30, 30, 0.5, "logo", False) for i in range(50)] + [(0, 50, 0, 0, 30, 30, 0.9, "logo", False), (0, 51, 40, 0, 30, 30, 0.9, "chart", False)]
+    df = spark.createDataFrame(rows, "page long, ord int, x int, y int, w int, h int, score double, label string, edge boolean")
+    assert {r.ord for r in greedy.filter_proposals(df, 9000, 9000, 900, 900).collect()} == set(range(1, 52))
+    assert sum(d.count() for d in walked) == 1
